@@ -76,23 +76,19 @@ def fingerprint(columns: list[str]) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns])
 
 
-def event_time(ms: Column | str) -> Column:
+def event_time(ms: str) -> Column:
     """Epoch milliseconds as a zone-free timestamp, the same under every session time zone."""
-    name = ms if isinstance(ms, str) else None
-    if name is None:
-        raise TypeError("pass the column name")
-    return F.expr(f"timestampadd(MILLISECOND, {name}, timestamp_ntz'1970-01-01 00:00:00')")
+    return F.expr(f"timestampadd(MILLISECOND, {ms}, timestamp_ntz'1970-01-01 00:00:00')")
 
 
 def hour_of_day(ms: str) -> Column:
-    """UTC hour by arithmetic on the epoch, so no zone can enter."""
-    return F.floor(F.pmod(F.col(ms), F.lit(DAY_MS)) / F.lit(float(HOUR_MS))).cast("bigint")
+    """UTC hour by whole-number arithmetic on the epoch, so no zone can enter."""
+    return F.expr(f"pmod({ms}, {DAY_MS}L) div {HOUR_MS}L")
 
 
 def day_of_week(ms: str) -> Column:
     """UTC day of the week, Sunday = 0. 1970-01-01 was a Thursday (4)."""
-    days = F.floor(F.col(ms) / F.lit(float(DAY_MS)))
-    return F.pmod(days + 4, F.lit(7)).cast("bigint")
+    return F.expr(f"pmod(({ms} - pmod({ms}, {DAY_MS}L)) div {DAY_MS}L + 4, 7L)")
 
 
 def funnel_stage(action: Column | str = "product_action") -> Column:

@@ -9,7 +9,7 @@ from wayfare.functions import columns as c
 from wayfare.operators.ordered import number_sliced, quantiles, running_totals
 from wayfare.operators.tables import one_row
 
-CONCENTRATION = {"top_1_pct": 0.01, "top_10_pct": 0.10, "top_20_pct": 0.20}  # fixed values
+CONCENTRATION = {"top_1_pct": 1, "top_10_pct": 10, "top_20_pct": 20}  # fixed values: percent of SKUs
 LETTERS = 26  # categories beyond this rank are numbered
 LORENZ_HEAD, LORENZ_STEP = 50, 200  # fixed values: curve points kept
 
@@ -167,11 +167,11 @@ def demand_concentration(products: DataFrame, slices: int | None = None) -> Data
     blocks = products.groupBy(F.col("sessions_viewed").alias("views")).agg(_count().alias("n"))
     blocks = blocks.withColumn("mass", F.col("views") * F.col("n"))
     run = running_totals(blocks, [], [F.col("views").desc()], {"n": "skus_to", "mass": "views_to"}, slices)
-    skus, views = F.col("skus_to_total"), F.col("views_to_total")
+    views = F.col("views_to_total")
     before = F.col("skus_to") - F.col("n")
     shares = []
     for name, part in CONCENTRATION.items():
-        rank = F.floor(skus * F.lit(part))
+        rank = F.expr(f"skus_to_total * {part} div 100")  # whole numbers: no rounding at the border
         inside = (before < rank) & (rank <= F.col("skus_to"))
         upto = F.col("views_to") - F.col("mass") + (rank - before) * F.col("views")
         shares.append(F.max(F.when(inside, c.rate(upto, views))).alias(name))

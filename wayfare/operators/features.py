@@ -6,11 +6,11 @@ Each event of a cart session carries the sequence number, time and SKU of the se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.marts import in_stage
+from wayfare.operators.marts import in_stage, valid_clicks
 from wayfare.operators.ordered import hot_keys, join_unique
 from wayfare.operators.staging import SESSION, TS
 
@@ -41,13 +41,21 @@ def _flag(condition: Column) -> Column:
     return F.max(F.when(condition, 1).otherwise(0)).cast("bigint")
 
 
+def by_cart(staged: DataFrame) -> GroupedData:
+    """Events of cart sessions by session. The anchor is a function of the session and rides in the
+    key: as an aggregate, its text SKU would turn the hash aggregation into a sort."""
+    return cart_events(staged).groupBy(
+        SESSION,
+        F.col("cart_seq").alias("add_seq"),
+        F.col("cart_ts").alias("add_ts"),
+        F.col("cart_sku").alias("added_sku"),
+    )
+
+
 def truncated_columns() -> list[Column]:
     before, detail = _before(), in_stage("product_detail")
     same_sku = F.col("product_sku_hash") == F.col("cart_sku")
     return [
-        F.min("cart_seq").alias("add_seq"),
-        F.min("cart_ts").alias("add_ts"),
-        F.min("cart_sku").alias("added_sku"),
         F.count_if(before).alias("pre_n_events"),
         F.count_if(before & in_stage("pageview")).alias("pre_n_pageviews"),
         F.count_if(before & detail).alias("pre_n_product_views"),
@@ -69,7 +77,7 @@ def label_columns() -> list[Column]:
 
 
 def truncated_features(staged: DataFrame) -> DataFrame:
-    return cart_events(staged).groupBy(SESSION).agg(*truncated_columns())
+    return by_cart(staged).agg(*truncated_columns())
 
 
 def cart_label(staged: DataFrame) -> DataFrame:
@@ -83,14 +91,14 @@ def pre_search_features(
 
     `anchors` has one row per session (`first_add`); sessions with very many searches are handled apart.
     """
-    events = searches.select(SESSION, TS, "is_zero_result", F.size("valid_clicked_skus").alias("__clicks"))
+    events = searches.select(SESSION, TS, "is_zero_result", valid_clicks().alias("__clicks"))
     point = anchors.select(SESSION, "add_ts")
     hot = hot_keys(events, [SESSION], hot_rows)
     early = join_unique(events, point, [SESSION], "inner", hot, F.col(TS) <= F.col("add_ts"))
     return early.groupBy(SESSION).agg(
         F.count(F.lit(1)).alias("pre_n_searches"),
         F.count_if("is_zero_result").alias("pre_n_zero_result"),
-        F.sum(F.col("__clicks").cast("bigint")).alias("pre_n_search_clicks"),
+        F.sum("__clicks").alias("pre_n_search_clicks"),
     )
 
 
@@ -130,7 +138,7 @@ def cart_sessions(
 ) -> DataFrame:
     """The feature table: one row per session with an add, features before it, label after it."""
     anchors = first_add(staged)
-    carts = cart_events(staged).groupBy(SESSION).agg(*truncated_columns(), *label_columns())
+    carts = by_cart(staged).agg(*truncated_columns(), *label_columns())
     searched = carts.join(pre_search_features(anchors, searches, hot_rows), SESSION, "left")
     product = dimension.select(
         F.col("product_sku_hash").alias("added_sku"), "price_bucket", "category_lvl1", "category_depth"

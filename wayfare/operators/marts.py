@@ -51,12 +51,17 @@ def session_rollup(staged: DataFrame) -> DataFrame:
     )
 
 
+def valid_clicks() -> Column:
+    """Clicks inside the result list, from the two counts: the lists themselves stay unread."""
+    return F.col("n_clicks") - F.col("n_phantom_clicks")
+
+
 def session_search_rollup(searches: DataFrame) -> DataFrame:
     return searches.groupBy(SESSION).agg(
         F.count(F.lit(1)).alias("n_searches"),
         F.count_if("is_zero_result").alias("n_zero_result_searches"),
         F.sum("n_clicks").alias("n_search_clicks"),
-        F.sum(F.size("valid_clicked_skus").cast("bigint")).alias("n_valid_search_clicks"),
+        F.sum(valid_clicks()).alias("n_valid_search_clicks"),
         F.sum("n_results").alias("n_search_impressions"),
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.metrics import evaluate
 from wayfare.operators.ordered import hot_keys, join_unique, number_sliced, quantiles, running_totals
 from wayfare.operators.staging import SESSION
+from wayfare.session import written
 
 # Fixed values of the modelling task.
 SEED = 42
@@ -129,9 +130,11 @@ def prepared(carts: DataFrame, slices: int | None = None) -> DataFrame:
     )
     hot = _one_hot(encoded, int(width))
     assembled = VectorAssembler(inputCols=[*NUMERIC, "level_vector"], outputCol="features").transform(hot)
-    return assembled.select(
+    ready = assembled.select(
         SESSION, "add_ts", "is_train", "features", F.col("purchased").cast("double").alias("label")
     )
+    # The fits read it many times.
+    return written(ready, "model-rows")
 
 
 def _one_hot(rows: DataFrame, width: int) -> DataFrame:
@@ -214,7 +217,8 @@ def leaky_rows(sessions: DataFrame, names: list[str], slices: int | None = None)
     split = temporal_split(carts, "session_start", slices)
     statistics = numeric_statistics(split.filter("is_train"), names, slices)
     scaled = impute_scale(split, statistics, names)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+    return written(assembled.select(SESSION, "is_train", "features", "label"), "model-rows")
 
 
 def leakage_demo(sessions: DataFrame, slices: int | None = None) -> DataFrame:

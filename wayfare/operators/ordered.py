@@ -61,13 +61,13 @@ def split_hot(
     )
 
 
-def _slice_count(df: DataFrame, slices: int | None) -> int:
-    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _sliced(df: DataFrame, keys: list[str], order: list[Column], slices: int | None) -> DataFrame:
-    """Cut `df` into range slices by (keys, order); the written copy fixes the slice numbers."""
-    ranged = df.repartitionByRange(_slice_count(df, slices), *keys, *order)
+    """Cut `df` into range slices by (keys, order); the written copy fixes the slice numbers.
+
+    Without a number of slices the shuffle partitions are used, merged by AQE where they are small.
+    """
+    count = [] if slices is None else [slices]
+    ranged = df.repartitionByRange(*count, *keys, *order)
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 

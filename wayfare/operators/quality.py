@@ -126,13 +126,26 @@ def order_inversions(
     )
 
 
+def _instants(browsing: DataFrame) -> DataFrame:
+    """Events per (session, millisecond, URL), and whether a known URL has a detail and a pageview."""
+    details = F.count_if(F.col("product_action") == "detail")
+    pageviews = F.count_if(F.col("event_type") == "pageview")
+    return browsing.groupBy(*INSTANT).agg(
+        _count().alias("n"),
+        (F.col("hashed_url").isNotNull() & (details > 0) & (pageviews > 0)).alias("pair"),
+    )
+
+
 def timestamp_collisions(browsing: DataFrame) -> DataFrame:
     """(session, millisecond) pairs with two or more events, the pairs explained by the product-page
-    double fire, and the rest. The two groupings share no key, so each is one narrow pass."""
-    ties = (
-        browsing.groupBy(SESSION, TS).agg(_count().alias("n")).agg(F.count_if(F.col("n") > 1).alias("collisions"))
+    double fire, and the rest. One scan: the second grouping runs on the instants of the first."""
+    moments = _instants(browsing).groupBy(SESSION, TS).agg(
+        F.sum("n").alias("n"), F.count_if("pair").alias("pairs")
+    )
+    row = moments.agg(
+        F.count_if(F.col("n") > 1).alias("collisions"),
+        F.coalesce(F.sum("pairs"), _long(0)).alias("pdp_pairs"),
     )
-    row = one_row(ties, pdp_pairs(browsing))
     return row.select(
         "collisions",
         "pdp_pairs",
@@ -143,16 +156,8 @@ def timestamp_collisions(browsing: DataFrame) -> DataFrame:
 
 def pdp_pairs(browsing: DataFrame) -> DataFrame:
     """Instants (session, millisecond, known URL) with both a detail and a pageview."""
-    instants = (
-        browsing.filter(F.col("hashed_url").isNotNull())
-        .groupBy(*INSTANT)
-        .agg(
-            F.count_if(F.col("product_action") == "detail").alias("details"),
-            F.count_if(F.col("event_type") == "pageview").alias("pageviews"),
-        )
-    )
-    both = (F.col("details") > 0) & (F.col("pageviews") > 0)
-    return instants.agg(F.count_if(both).alias("pdp_pairs"))
+    known = browsing.filter(F.col("hashed_url").isNotNull())
+    return _instants(known).agg(F.count_if("pair").alias("pdp_pairs"))
 
 
 def session_gaps(

@@ -75,20 +75,16 @@ def position_bias(searches: DataFrame) -> DataFrame:
 
 def position_curve(searches: DataFrame) -> DataFrame:
     """Share and cumulative share of all valid clicks for the first 20 positions."""
-    positions = click_positions(searches)
-    row = Window.partitionBy(F.lit(0))
-    # The total is taken over all positions before the curve is cut; both windows see at most one row
-    # per list position, and the running sum at most 20.
-    total = positions.agg(F.sum("clicks").alias("total"))
-    curve = positions.filter(F.col("position") <= CURVE_POSITIONS)
-    running = F.sum("clicks").over(row.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    with_total = curve.withColumn("total", total.scalar())
-    return with_total.select(
+    # One row per list position: both windows see at most as many rows as the longest list has places.
+    every = Window.partitionBy(F.lit(0))
+    upto = every.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = click_positions(searches).select(
         "position",
         "clicks",
-        c.percent(F.col("clicks"), F.col("total")).alias("share_pct"),
-        c.percent(running, F.col("total")).alias("cumulative_pct"),
-    ).orderBy("position")
+        c.percent(F.col("clicks"), F.sum("clicks").over(every)).alias("share_pct"),
+        c.percent(F.sum("clicks").over(upto), F.sum("clicks").over(every)).alias("cumulative_pct"),
+    )
+    return shares.filter(F.col("position") <= CURVE_POSITIONS).orderBy("position")
 
 
 def click_rank_stats(searches: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
 from wayfare.operators.ordered import hot_keys, number_sliced, split_hot
+from wayfare.session import written
 
 SESSION = "session_id_hash"
 TS = "server_timestamp_epoch_ms"
@@ -141,7 +142,8 @@ def _stage_ordinary(events: DataFrame) -> DataFrame:
 def _stage_hot(events: DataFrame, slices: int | None) -> DataFrame:
     described = describe_events(collapse_double_fire(dedup_events(events)))
     order = [F.col(TS), F.col("file_row_idx")]
-    sequenced = number_sliced(described, [SESSION], order, "event_seq", slices)
+    # Read four times below.
+    sequenced = written(number_sliced(described, [SESSION], order, "event_seq", slices), "hot-events")
 
     def firsts(column: str, extra: list[str], name: str) -> DataFrame:
         # One row per distinct value, merged before the shuffle; (session, seq) names one event.

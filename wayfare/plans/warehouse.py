@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,18 +74,18 @@ class Warehouse:
         raise KeyError(name)
 
 
-@lru_cache(maxsize=8)
-def _warehouse(application: str, sf_dir: str) -> Warehouse:
-    spark = SparkSession.getActiveSession()
-    return Warehouse(
-        {
-            "raw_browsing": lambda: driver_tables.raw_browsing(spark, sf_dir),
-            "raw_search": lambda: driver_tables.raw_search(spark, sf_dir),
-            "raw_catalog": lambda: driver_tables.raw_catalog(spark, sf_dir),
-        }
-    )
+_OPEN: dict[tuple[str, str], Warehouse] = {}
 
 
 def of_driver_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse over the given tables; one per application and folder."""
-    return _warehouse(spark.sparkContext.applicationId, str(sf_dir))
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _OPEN:
+        _OPEN[key] = Warehouse(
+            {
+                "raw_browsing": lambda: driver_tables.raw_browsing(spark, sf_dir),
+                "raw_search": lambda: driver_tables.raw_search(spark, sf_dir),
+                "raw_catalog": lambda: driver_tables.raw_catalog(spark, sf_dir),
+            }
+        )
+    return _OPEN[key]

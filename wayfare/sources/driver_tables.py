@@ -36,8 +36,10 @@ def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "purchase")
         .when(kind == "error", "remove")
     )
-    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    date = F.replace(F.substring(F.col("ts").cast("string"), 1, 10), F.lit("-"), F.lit(""))
+    # Date and hour of a zone-free timestamp depend on no session setting.
+    day = F.col("ts").cast("date")
+    ms = F.unix_date(day).cast("bigint") * c.DAY_MS + F.hour("ts").cast("bigint") * c.HOUR_MS
+    date = F.replace(day.cast("string"), F.lit("-"), F.lit(""))
     copies = F.when(scrambled % COPY_EVERY == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (
         table(spark, sf_dir, "events")
@@ -48,7 +50,7 @@ def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(kind == "signup", "pageview").otherwise("event_product").alias("event_type"),
             action.alias("product_action"),
             F.when(kind != "signup", F.get_json_object("props", "$.k")).alias("product_sku_hash"),
-            (F.col("ms") - F.pmod("ms", F.lit(c.HOUR_MS))).alias("server_timestamp_epoch_ms"),
+            F.col("ms").alias("server_timestamp_epoch_ms"),
             F.when(place % 10 != 9, (F.col("user_id") % 7).cast("string")).alias("hashed_url"),
         )
     )

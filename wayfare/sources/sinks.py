@@ -93,8 +93,8 @@ def export_csv(df: DataFrame, contract: T.StructType, path: str, header: bool =
     """Distributed CSV with an explicit column list; NULL is written as \\N, so '' stays apart."""
     chosen = df.select(*contract.fieldNames())
     chosen.write.mode("overwrite").option("header", header).option("nullValue", NULL_TEXT).option(
-        "emptyValue", ""
-    ).option("escape", '"').csv(path)
+        "escape", '"'
+    ).csv(path)
 
 
 def read_export(spark: SparkSession, contract: T.StructType, path: str, header: bool = False) -> DataFrame:

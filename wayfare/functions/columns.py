@@ -56,7 +56,7 @@ def parse_vector(column: Column | str) -> Column:
 def format_list(column: Column | str) -> Column:
     """The inverse of `parse_list`: array -> `['a', 'b']`, NULL or empty -> NULL."""
     array = F.col(column) if isinstance(column, str) else column
-    return F.when(F.size(array) > 0, F.concat(F.lit("['"), F.array_join(array, "', '"), F.lit("']")))
+    return F.when(F.array_size(array) > 0, F.concat(F.lit("['"), F.array_join(array, "', '"), F.lit("']")))
 
 
 def hierarchy(column: Column | str) -> dict[str, Column]:
@@ -67,7 +67,7 @@ def hierarchy(column: Column | str) -> dict[str, Column]:
         "category_lvl1": F.get(path, F.lit(0)),
         "category_lvl2": F.get(path, F.lit(1)),
         "category_lvl3": F.get(path, F.lit(2)),
-        "category_depth": F.when(path.isNotNull(), F.size(path)).cast("bigint"),
+        "category_depth": F.when(path.isNotNull(), F.array_size(path)).cast("bigint"),
     }
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wayfare.session import written
 
-HOT_ROWS = 1_000_000  # rows a single task may hold for one key
+HOT_ROWS = 1_000_000  # rows a single task may hold for one key; spark.wayfare.hotRows overrides
 MAX_HOT_KEYS = 100_000  # keys handled apart; the broadcast of their hashes is under 1 MB
 SLICE = "__slice"
 KEY_HASH = "__key_hash"
@@ -34,7 +34,8 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Dat
     all rows and is handled exactly by the ordinary path. Two keys with one hash are both treated as
     hot, which is slower but not wrong.
     """
-    threshold = HOT_ROWS if hot_rows is None else hot_rows
+    named = df.sparkSession.conf.get("spark.wayfare.hotRows", str(HOT_ROWS))
+    threshold = int(named) if hot_rows is None else hot_rows
     counted = (
         df.select(F.xxhash64(*keys).alias(KEY_HASH))
         .groupBy(KEY_HASH)

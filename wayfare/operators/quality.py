@@ -257,8 +257,8 @@ def search_lists(search: DataFrame) -> DataFrame:
     row = search.agg(
         _count().alias("queries"),
         F.count_if(F.col("product_skus").isNull()).alias("null_results"),
-        F.count_if(F.size("product_skus") == 0).alias("empty_results"),
-        F.count_if(F.size("clicked_skus") > 0).alias("with_click"),
+        F.count_if(F.array_size("product_skus") == 0).alias("empty_results"),
+        F.count_if(F.array_size("clicked_skus") > 0).alias("with_click"),
         F.count_distinct(SESSION).alias("sessions"),
     )
     return row.select(
@@ -283,7 +283,7 @@ def search_phantom(search: DataFrame) -> DataFrame:
 def search_sizes(search: DataFrame) -> DataFrame:
     """Result list sizes. A list size is a small whole number, so Spark's exact percentile keeps one
     counter per size however many queries there are."""
-    sizes = search.filter(F.size("product_skus") > 0).select(F.size("product_skus").alias("n"))
+    sizes = search.filter(F.array_size("product_skus") > 0).select(F.array_size("product_skus").alias("n"))
     return sizes.agg(
         F.percentile("n", F.lit(0.5)).alias("median_size"),
         F.percentile("n", F.lit(0.95)).alias("p95_size"),

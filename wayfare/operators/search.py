@@ -21,7 +21,7 @@ def _count() -> Column:
 
 
 def _clicked() -> Column:
-    return F.size("valid_clicked_skus") > 0
+    return F.array_size("valid_clicked_skus") > 0
 
 
 def volume(searches: DataFrame) -> DataFrame:

@@ -199,10 +199,10 @@ def stage_search(raw_search: DataFrame) -> DataFrame:
         c.event_time(TS).alias("event_ts"),
         "result_skus",
         "clicked_skus",
-        F.size("result_skus").cast("bigint").alias("n_results"),
-        F.size("clicked_skus").cast("bigint").alias("n_clicks"),
-        (F.size("result_skus") == 0).alias("is_zero_result"),
-        F.size(misses).cast("bigint").alias("n_phantom_clicks"),
+        F.array_size("result_skus").cast("bigint").alias("n_results"),
+        F.array_size("clicked_skus").cast("bigint").alias("n_clicks"),
+        (F.array_size("result_skus") == 0).alias("is_zero_result"),
+        F.array_size(misses).cast("bigint").alias("n_phantom_clicks"),
         hits.alias("valid_clicked_skus"),
         "file_row_idx",
     )

@@ -16,17 +16,15 @@ from pyspark.sql import functions as F
 from wayfare.functions import columns as c
 from wayfare.operators import (
     features,
-    funnel,
     marts,
     metrics,
     model,
-    product,
     quality,
-    search,
     staging,
 )
 from wayfare.operators.ordered import hot_keys, join_unique, number_rows
 from wayfare.operators.staging import SESSION, TS
+from wayfare.plans.reports import REPORTS
 from wayfare.plans.warehouse import Warehouse, of_driver_tables
 from wayfare.session import shared_folder
 from wayfare.sources import csv_files, driver_tables, sinks
@@ -99,7 +97,7 @@ def parse_list_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal.select(
         "file_row_idx",
         *[F.array_join(c.parse_list(n), ",").alias(n) for n in ("product_skus", "clicked_skus")],
-        *[F.size(c.parse_list(n)).cast("bigint").alias(f"n_{n}") for n in ("product_skus", "clicked_skus")],
+        *[F.array_size(c.parse_list(n)).cast("bigint").alias(f"n_{n}") for n in ("product_skus", "clicked_skus")],
     )
 
 
@@ -119,7 +117,7 @@ def parse_vector_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return parsed.select(
         "vec_id",
-        F.size("v").cast("bigint").alias("dims"),
+        F.array_size("v").cast("bigint").alias("dims"),
         F.get("v", F.lit(0)).alias("first"),
         F.element_at("v", -1).alias("last"),
         F.round(total, 6).alias("total"),
@@ -135,7 +133,7 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     narrow = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
     longest = vectors.join(rows.select("vec_id", "label"), "vec_id").groupBy("label").agg(
-        F.max(F.size("query_vector")).cast("bigint").alias("dims"),
+        F.max(F.array_size("query_vector")).cast("bigint").alias("dims"),
         F.count("query_vector").alias("n_vectors"),
     )
     return narrow.join(longest, "label")
@@ -362,60 +360,12 @@ on_tables("join_left_dim", left_dimension, "stg_browsing", "dim_product")
 on_tables("semi_join", with_activity, "dim_product", "fct_product_performance")
 on_tables("anti_join_orphans", without_catalog, "stg_browsing", "raw_catalog")
 
-# --- data quality -----------------------------------------------------------------------------------
-
-_RAW = ("raw_browsing", "raw_search", "raw_catalog")
-on_tables("dq_volume", quality.volume, *_RAW)
-on_tables("dq_span", quality.span, "raw_browsing")
-on_tables("dq_completeness", quality.completeness, "raw_browsing")
-on_tables("dq_event_taxonomy", quality.event_taxonomy, "raw_browsing")
-on_tables("dq_consistency", quality.consistency, "raw_browsing")
-on_tables("dq_duplicates", quality.duplicates, "raw_browsing")
-on_tables("order_inversions", quality.order_inversions, "raw_browsing")
-on_tables("timestamp_collisions", quality.timestamp_collisions, "raw_browsing")
-on_tables("pdp_pairs", quality.pdp_pairs, "raw_browsing")
-on_tables("session_gaps", quality.session_gaps, "raw_browsing")
-on_tables("session_duration_stats", quality.session_duration_stats, "raw_browsing")
-on_tables("dq_orphan_skus", quality.orphan_skus, "raw_browsing", "raw_catalog")
-on_tables("dq_catalog_missing", quality.catalog_missing, "raw_catalog")
-on_tables("category_depth_hist", quality.category_depth, "raw_catalog")
-on_tables("dq_funnel_integrity", quality.funnel_integrity, "raw_browsing")
-on_tables("dq_search", quality.search_lists, "raw_search")
-on_tables("dq_search_phantom", quality.search_phantom, "raw_search")
-on_tables("dq_search_sizes", quality.search_sizes, "raw_search")
-on_tables("dq_search_orphans", quality.search_orphans, "raw_search", "raw_browsing")
-on_tables("dq_findings", quality.findings, *_RAW)
-
-# --- funnel, search, product ------------------------------------------------------------------------
-
-on_tables("funnel_overview", funnel.overview, "fct_session")
-on_tables("funnel_headline", funnel.headline, "fct_session")
-on_tables("cart_abandonment", funnel.abandonment, "fct_session")
-on_tables("conversion_by_cart_size", funnel.by_cart_size, "fct_session")
-on_tables("session_depth", funnel.session_depth, "fct_session")
-on_tables("timing_medians", funnel.timing_medians, "fct_session")
-on_tables("search_influence", funnel.search_influence, "fct_session")
-on_tables("dow_pattern", funnel.by_weekday, "fct_session")
-on_tables("hourly_pattern", funnel.by_hour, "fct_session")
-on_tables("hourly_extremes", funnel.hourly_extremes, "fct_session")
-on_tables("v_funnel", funnel.funnel_view, "fct_session")
-on_tables("search_volume", search.volume, "stg_search")
-on_tables("position_bias", search.position_bias, "stg_search")
-on_tables("position_curve", search.position_curve, "stg_search")
-on_tables("click_rank_stats", search.click_rank_stats, "stg_search")
-on_tables("search_click_outcome", search.click_outcome, "stg_search", "stg_browsing")
-on_tables("zero_result_impact", search.zero_result_impact, "fct_session")
-on_tables("catalog_coverage", product.coverage, "dim_product", "fct_product_performance")
-on_tables("coverage_by_traffic", product.coverage_by_traffic, "fct_product_performance")
-on_tables("missingness_xtab", product.missingness, "fct_product_performance")
-on_tables("unviewed_behaviour", product.behaviour_by_view, "fct_product_performance")
-on_tables("category_performance", product.category_performance, "fct_product_performance")
-on_tables("price_sensitivity", product.price_sensitivity, "fct_product_performance")
-on_tables("price_extremes", product.price_extremes, "fct_product_performance")
-on_tables("assortment_shape", product.assortment_shape, "fct_product_performance")
-on_tables("demand_concentration", product.demand_concentration, "fct_product_performance")
-on_tables("lorenz_curve", product.lorenz_curve, "fct_product_performance")
-on_tables("v_category_performance", product.category_view, "fct_product_performance", "dim_product")
+# --- reports ----------------------------------------------------------------------------------------
+
+for _group in ("data_quality", "funnel", "search", "product"):
+    for _name, (_operator, _tables) in REPORTS[_group].items():
+        on_tables(_name, _operator, *_tables)
+QUERIES["category_performance_view"] = QUERIES["v_category_performance"]
 
 # --- modelling --------------------------------------------------------------------------------------
 
@@ -481,17 +431,5 @@ on_tables("roc_curve", lambda t: metrics.roc_curve(scored_carts(t)), "ml_cart_se
 on_tables("pr_curve", lambda t: metrics.pr_curve(scored_carts(t)), "ml_cart_sessions")
 
 
-def logistic_report(carts: DataFrame) -> DataFrame:
-    data = model.prepared(carts)
-    return metrics.evaluate(model.score(model.fit_logistic(data), data), "Logistic regression")
-
-
-def gbt_report(carts: DataFrame) -> DataFrame:
-    data = model.prepared(carts)
-    return metrics.evaluate(model.score(model.fit_gbt(data), data), "Gradient boosting")
-
-
-on_tables("fit_logistic", logistic_report, "ml_cart_sessions")
-on_tables("fit_gbt", gbt_report, "ml_cart_sessions")
-on_tables("leakage_demo", model.leakage_demo, "fct_session")
-on_tables("accounting_identity", model.accounting_identity, "fct_session")
+for _name in ("fit_logistic", "fit_gbt", "leakage_demo", "accounting_identity"):
+    on_tables(_name, REPORTS["purchase_intent"][_name][0], *REPORTS["purchase_intent"][_name][1])

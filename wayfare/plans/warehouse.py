@@ -1,4 +1,4 @@
-"""The tables in dependency order, each built once per Spark application and input folder."""
+"""The tables in dependency order, each built once and read back by what comes after it."""
 
 from __future__ import annotations
 
@@ -9,23 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.operators import features, marts, staging
 from wayfare.session import written
 from wayfare.sources import driver_tables
+from wayfare.sources.csv_files import (
+    BROWSING_FILE,
+    CATALOG_FILE,
+    SEARCH_FILE,
+    ingest_browsing,
+    ingest_catalog,
+    ingest_search,
+)
+from wayfare.sources.sinks import write_table
+
+
+TABLES = [
+    "stg_browsing",
+    "stg_search",
+    "dim_product",
+    "fct_session",
+    "fct_product_performance",
+    "ml_cart_sessions",
+]
+RAW_TABLES = ["raw_browsing", "raw_search", "raw_catalog"]
 
 
 class Warehouse:
     """Raw tables in, staged tables and marts out.
 
-    `table(name)` is lazy. Staged tables and marts are written to the shared folder when first asked for
-    and read back by everything downstream; the raw tables are used as they come, but for the
-    search lists, whose assembly is worth keeping. `refresh()` forgets what was built.
+    `table(name)` is lazy: a staged table or mart is written when first asked for and read back by everything
+    downstream. It goes to `target/name`, replacing what is there, or without a target to the shared folder.
+    `keep` names raw tables that are written as well, because making them costs more than reading them.
+    `refresh()` forgets what was built.
     """
 
     def __init__(
         self,
         raw: dict[str, Callable[[], DataFrame]],
+        target: str | None = None,
+        keep: tuple[str, ...] = (),
         hot_rows: int | None = None,
         slices: int | None = None,
     ) -> None:
         self._raw = raw
+        self._target = target
+        self._keep = keep
         self._hot_rows = hot_rows
         self._slices = slices
         self._built: dict[str, DataFrame] = {}
@@ -41,19 +66,16 @@ class Warehouse:
         self._built.clear()
 
     def build_all(self) -> dict[str, DataFrame]:
-        names = [
-            "dim_product",
-            "fct_session",
-            "fct_product_performance",
-            "ml_cart_sessions",
-        ]
-        return {name: self.table(name) for name in names}
+        return {name: self.table(name) for name in TABLES}
 
     def _build(self, name: str) -> DataFrame:
         if name in self._raw:
             df = self._raw[name]()
-            return written(df, name) if name == "raw_search" else df
-        return written(self.define(name), name)
+            return self._write(df, name) if name in self._keep else df
+        return self._write(self.define(name), name)
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if self._target is None else write_table(df, f"{self._target}/{name}")
 
     def define(self, name: str) -> DataFrame:
         """The query that makes a table from the tables before it, not yet run."""
@@ -74,6 +96,24 @@ class Warehouse:
         raise KeyError(name)
 
 
+def of_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables an earlier run wrote to `folder`."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in [*RAW_TABLES, *TABLES]}
+
+
+def of_csv(spark: SparkSession, folder: str, target: str) -> Warehouse:
+    """The warehouse over the three CSV files in `folder`, written to `target`."""
+    return Warehouse(
+        {
+            "raw_browsing": lambda: ingest_browsing(spark, f"{folder}/{BROWSING_FILE}"),
+            "raw_search": lambda: ingest_search(spark, f"{folder}/{SEARCH_FILE}")["raw_search"],
+            "raw_catalog": lambda: ingest_catalog(spark, f"{folder}/{CATALOG_FILE}")["raw_catalog"],
+        },
+        target,
+        keep=tuple(RAW_TABLES),
+    )
+
+
 _OPEN: dict[tuple[str, str], Warehouse] = {}
 
 
@@ -86,6 +126,7 @@ def of_driver_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
                 "raw_browsing": lambda: driver_tables.raw_browsing(spark, sf_dir),
                 "raw_search": lambda: driver_tables.raw_search(spark, sf_dir),
                 "raw_catalog": lambda: driver_tables.raw_catalog(spark, sf_dir),
-            }
+            },
+            keep=("raw_search",),
         )
     return _OPEN[key]

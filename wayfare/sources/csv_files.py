@@ -41,6 +41,9 @@ CATALOG_CSV = _schema(
     price_bucket=TEXT,
 )
 
+# The file names of the three sources.
+BROWSING_FILE, SEARCH_FILE, CATALOG_FILE = "browsing_train.csv", "search_train.csv", "sku_to_content.csv"
+
 MAX_BLOCKS_BROADCAST = 200_000  # file splits whose offsets are sent to every executor
 _PLACE = ["__file", "__block", "__row"]
 

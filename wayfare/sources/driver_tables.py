@@ -93,7 +93,7 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "server_timestamp_epoch_ms"
             ),
             shown.alias("product_skus"),
-            F.when(F.size(clicks) > 0, clicks).alias("clicked_skus"),
+            F.when(F.array_size(clicks) > 0, clicks).alias("clicked_skus"),
         )
     )
 

@@ -51,12 +51,16 @@ def category_pseudonym(carts: DataFrame, slices: int | None = None) -> DataFrame
 def temporal_split(
     rows: DataFrame, time: str = "add_ts", slices: int | None = None
 ) -> DataFrame:
-    """Earliest 80 % train, the rest test, ties in time by session id. Adds `is_train`."""
-    marked = rows.withColumn("__one", F.lit(1).cast("bigint"))
-    order = [F.col(time), F.col(SESSION)]
-    placed = running_totals(marked, [], order, {"__one": "__at"}, slices)
-    train = F.col("__at") <= F.expr("__at_total * 4 div 5")
-    return placed.withColumn("is_train", train).drop("__one", "__at", "__at_total")
+    """Earliest 80 % train, the rest test, ties in time by session id. Adds `is_train`.
+
+    Only (time, session) is ordered, to find the last training row; the wide rows stay where they are and
+    compare themselves with it.
+    """
+    placed = number_sliced(rows.select(time, SESSION), [], [F.col(time), F.col(SESSION)], "__at", slices)
+    size = rows.agg(F.expr("count(1) * 4 div 5").alias("n"))
+    here = F.struct(F.col(time).alias("t"), F.col(SESSION).alias("s"))
+    cut = placed.filter(F.col("__at") <= size.scalar()).agg(F.max(here).alias("cut"))
+    return rows.withColumn("is_train", F.coalesce(here <= cut.scalar(), F.lit(False)))
 
 
 def numeric_statistics(train: DataFrame, names: list[str], slices: int | None = None) -> DataFrame:

@@ -74,21 +74,29 @@ def dedup_events_by_fingerprint(events: DataFrame) -> DataFrame:
     return single.unionByName(checked)
 
 
-def is_paired_pageview() -> Column:
-    """A pageview with a `detail` at the same session, millisecond and (known) URL.
+def _may_repeat() -> Column:
+    """Only a pageview with a known URL can repeat a detail; a NULL event type is neither here nor dropped."""
+    pageview = (F.col("event_type") == "pageview") & F.col("hashed_url").isNotNull()
+    return F.coalesce(pageview, F.lit(False))
+
+
+def collapse_double_fire(deduped: DataFrame) -> DataFrame:
+    """Drop pageviews with a `detail` at the same session, millisecond and URL.
 
-    NULL event types are kept: the test is false for them, not unknown.
+    A window over the instant: with the rows already together by session it moves nothing.
     """
     detail = F.max(F.when(F.col("product_action") == "detail", 1).otherwise(0)).over(
         Window.partitionBy(*INSTANT)
     )
-    pageview = (F.col("event_type") == "pageview") & F.col("hashed_url").isNotNull()
-    return F.coalesce(pageview & (detail == 1), F.lit(False))
+    marked = deduped.withColumn("__paired", _may_repeat() & (detail == 1))
+    return marked.filter(~F.col("__paired")).drop("__paired")
 
 
-def collapse_double_fire(deduped: DataFrame) -> DataFrame:
-    """Drop pageviews that repeat a product detail view. One group holds distinct events of one instant."""
-    return deduped.withColumn("__paired", is_paired_pageview()).filter(~F.col("__paired")).drop("__paired")
+def collapse_double_fire_spread(deduped: DataFrame) -> DataFrame:
+    """The same without gathering an instant: candidates meet one row per instant that has a detail."""
+    details = deduped.filter((F.col("product_action") == "detail") & F.col("hashed_url").isNotNull())
+    kept = deduped.filter(_may_repeat()).join(details.select(*INSTANT).distinct(), INSTANT, "left_anti")
+    return kept.unionByName(deduped.filter(~_may_repeat()))
 
 
 def describe_events(events: DataFrame) -> DataFrame:
@@ -140,7 +148,7 @@ def _stage_ordinary(events: DataFrame) -> DataFrame:
 
 
 def _stage_hot(events: DataFrame, slices: int | None) -> DataFrame:
-    described = describe_events(collapse_double_fire(dedup_events(events)))
+    described = describe_events(collapse_double_fire_spread(dedup_events(events)))
     order = [F.col(TS), F.col("file_row_idx")]
     # Read four times below.
     sequenced = written(number_sliced(described, [SESSION], order, "event_seq", slices), "hot-events")

@@ -252,7 +252,7 @@ def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["dedup_events"] = lambda spark, sf: staging.dedup_events(usable(spark, sf))
 QUERIES["dedup_two_stage"] = lambda spark, sf: staging.dedup_events_by_fingerprint(usable(spark, sf))
-QUERIES["pdp_double_fire"] = lambda spark, sf: staging.collapse_double_fire(
+QUERIES["pdp_double_fire"] = lambda spark, sf: staging.collapse_double_fire_spread(
     staging.dedup_events(usable(spark, sf))
 )
 

@@ -16,8 +16,8 @@ from wayfare.functions import columns as c
 BLOCK = 1024  # file order is scrambled inside blocks of this many events
 STRIDE = 389  # odd, so that i -> i * 389 mod 1024 is one-to-one
 COPY_EVERY = 50
-SKUS = 100  # SKU ids are 0..99, which bounds every result list
-PHANTOM_SKU = "999"
+RANGE = 100  # each group of ten users browses and searches its own hundred SKUs; bounds every result list
+PHANTOM_SKU = "phantom"
 SEARCH_START_MS = 1_704_067_200_000
 
 
@@ -26,7 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as a browsing log: user-days are sessions, times are cut to the hour."""
+    """`events` as a browsing log: user-days are sessions, times are cut to the hour.
+
+    The SKU is the event's number k inside the hundred SKUs of the user's group, so SKUs grow with users.
+    """
     place = F.col("event_id")
     scrambled = place - place % BLOCK + (place * STRIDE) % BLOCK
     kind = F.col("event_type")
@@ -36,6 +39,7 @@ def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "purchase")
         .when(kind == "error", "remove")
     )
+    sku = F.expr(f"user_id div 10 * {RANGE}") + F.get_json_object("props", "$.k").cast("bigint")
     # Date and hour of a zone-free timestamp depend on no session setting.
     day = F.col("ts").cast("date")
     ms = F.unix_date(day).cast("bigint") * c.DAY_MS + F.hour("ts").cast("bigint") * c.HOUR_MS
@@ -49,7 +53,7 @@ def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.col("user_id").cast("string"), F.lit("-"), "date").alias("session_id_hash"),
             F.when(kind == "signup", "pageview").otherwise("event_product").alias("event_type"),
             action.alias("product_action"),
-            F.when(kind != "signup", F.get_json_object("props", "$.k")).alias("product_sku_hash"),
+            F.when(kind != "signup", sku.cast("string")).alias("product_sku_hash"),
             F.col("ms").alias("server_timestamp_epoch_ms"),
             F.when(place % 10 != 9, (F.col("user_id") % 7).cast("string")).alias("hashed_url"),
         )
@@ -59,24 +63,27 @@ def raw_browsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as queries; the SKUs of the order's lines, by first line, as the result list.
 
-    Lines are merged to one row per (order, SKU) before any list is built, so a list holds at most
-    SKUS entries however many lines an order has.
+    Lines are merged to one row per (order, place in the hundred) before any list is built, so a list holds
+    at most RANGE entries however many lines an order has. A customer searches as user `o_custkey div 10`.
     """
     lines = table(spark, sf_dir, "lineitem")
-    sku = F.col("l_partkey") % SKUS
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-    entries = lines.groupBy("l_orderkey", sku.alias("sku")).agg(
+    entries = lines.groupBy("l_orderkey", (F.col("l_partkey") % RANGE).alias("sku")).agg(
         F.min("l_linenumber").alias("place"), F.max(returned).alias("clicked")
     )
     lists = entries.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("place", "sku", "clicked"))).alias("entries")
     )
-    clicked = F.filter("entries", lambda e: e["clicked"])
     key = F.col("o_orderkey")
-    shown = F.transform("entries", lambda e: e["sku"].cast("string"))
-    chosen = F.coalesce(F.transform(clicked, lambda e: e["sku"].cast("string")), F.array().cast("array<string>"))
-    phantom = F.when(key % 20 == 0, F.array(F.lit(PHANTOM_SKU))).otherwise(F.array().cast("array<string>"))
-    clicks = F.concat(chosen, phantom)
+    group = F.expr(f"o_custkey div 100 * {RANGE}")
+    none = F.array().cast("array<string>")
+
+    def named(entries: F.Column) -> F.Column:
+        return F.transform(entries, lambda e: (e["sku"] + group).cast("string"))
+
+    shown = named(F.col("entries"))
+    chosen = F.coalesce(named(F.filter("entries", lambda e: e["clicked"])), none)
+    clicks = F.concat(chosen, F.when(key % 20 == 0, F.array(F.lit(PHANTOM_SKU))).otherwise(none))
     day = 1 + key % 30
     return (
         table(spark, sf_dir, "orders")
@@ -99,14 +106,15 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part keys below 100 that are no multiple of 5 as the catalog; even keys have no attributes."""
+    """`part` as the catalog: even keys carry no attributes, every fifth part is listed under another
+    number than the one browsed, so both unlisted SKUs and never-browsed catalog rows exist."""
     key = F.col("p_partkey")
-    listed = table(spark, sf_dir, "part").filter((key < SKUS) & (key % 5 != 0))
     third = F.when(key % 3 == 0, F.concat(F.lit("/"), F.col("p_name"))).otherwise("")
     path = F.when(key % 2 != 0, F.concat("p_type", F.lit("/"), "p_brand", third))
-    bucket = F.when(key % 2 != 0, (1 + F.expr("p_partkey div 10")).cast("double"))
-    described = listed.select(
-        key.cast("string").alias("product_sku_hash"),
+    bucket = F.when(key % 2 != 0, (1 + F.expr("p_partkey div 10") % 10).cast("double"))
+    number = key.cast("string")
+    described = table(spark, sf_dir, "part").select(
+        F.when(key % 5 == 0, F.concat(F.lit("new-"), number)).otherwise(number).alias("product_sku_hash"),
         path.alias("category_hash"),
         bucket.alias("price_bucket"),
     )

@@ -119,10 +119,11 @@ def test_quality_checks(skewed):
 def test_numbering_and_previous_value(skewed):
     events = skewed.select("session_id_hash", "server_timestamp_epoch_ms", "file_row_idx")
     key, order = ["session_id_hash"], [F.col("server_timestamp_epoch_ms"), F.col("file_row_idx")]
-    assert rows(number_rows(events, key, order, "n", 10, 6)) == rows(number_rows(events, key, order, "n"))
+    hot = hot_keys(events, key, 10)
+    assert rows(number_rows(events, key, order, "n", hot, 6)) == rows(number_rows(events, key, order, "n", None))
     value = "server_timestamp_epoch_ms"
-    assert rows(previous_value(events, key, order, value, "p", 10, 6)) == rows(
-        previous_value(events, key, order, value, "p")
+    assert rows(previous_value(events, key, order, value, "p", hot, 6)) == rows(
+        previous_value(events, key, order, value, "p", None)
     )
 
 

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from wayfare.operators import marts, staging
+from wayfare.operators import marts, quality, staging
 from wayfare.plans.warehouse import of_driver_tables
 
 FITS = {"fit_gbt", "fit_logistic", "leakage_demo"}
@@ -31,6 +31,11 @@ def test_staging_moves_rows_once(spark, warehouse):
     assert len(exchanges(staged)) == 1, plan(staged)
 
 
+def test_both_session_orders_share_one_shuffle(warehouse):
+    checked = quality.session_order(warehouse["raw_browsing"])
+    assert len(exchanges(checked)) == 1, plan(checked)
+
+
 def test_session_fact_moves_only_partial_sums(spark, warehouse):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -59,7 +59,7 @@ def temporal_split(
     placed = number_sliced(rows.select(time, SESSION), [], [F.col(time), F.col(SESSION)], "__at", slices)
     size = rows.agg(F.expr("count(1) * 4 div 5").alias("n"))
     here = F.struct(F.col(time).alias("t"), F.col(SESSION).alias("s"))
-    cut = placed.filter(F.col("__at") <= size.scalar()).agg(F.max(here).alias("cut"))
+    cut = written(placed.filter(F.col("__at") <= size.scalar()).agg(F.max(here).alias("cut")), "cut")
     return rows.withColumn("is_train", F.coalesce(here <= cut.scalar(), F.lit(False)))
 
 

@@ -118,11 +118,11 @@ def number_rows(
     keys: list[str],
     order: list[Column],
     name: str,
-    hot_rows: int | None = None,
+    hot: DataFrame | None,
     slices: int | None = None,
 ) -> DataFrame:
-    """`row_number() over (partition by keys order by order)` that survives hot keys."""
-    hot, cold = split_hot(df, keys, hot_keys(df, keys, hot_rows))
+    """`row_number() over (partition by keys order by order)`; `hot` comes from `hot_keys`."""
+    hot, cold = split_hot(df, keys, hot)
     window = Window.partitionBy(*keys).orderBy(*order)
     numbered = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
     if hot is None:
@@ -136,14 +136,14 @@ def previous_value(
     order: list[Column],
     value: str,
     name: str,
-    hot_rows: int | None = None,
+    hot: DataFrame | None,
     slices: int | None = None,
 ) -> DataFrame:
-    """`lag(value) over (partition by keys order by order)` that survives hot keys.
+    """`lag(value) over (partition by keys order by order)`; `hot` comes from `hot_keys`.
 
     `order` is a list of ascending plain columns and a total order within a key.
     """
-    hot, cold = split_hot(df, keys, hot_keys(df, keys, hot_rows))
+    hot, cold = split_hot(df, keys, hot)
     window = Window.partitionBy(*keys).orderBy(*order)
     lagged = cold.withColumn(name, F.lag(value).over(window))
     if hot is None:

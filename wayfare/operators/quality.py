@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import previous_value, quantiles
+from wayfare.operators.ordered import hot_keys, previous_value, quantiles
 from wayfare.operators.staging import INSTANT, SESSION, TS, dedup_events, usable_events
 from wayfare.operators.tables import one_row, stacked
 
@@ -77,13 +77,17 @@ def event_taxonomy(browsing: DataFrame) -> DataFrame:
     )
 
 
+def _action_without_sku() -> Column:
+    return F.count_if(F.col("product_action").isNotNull() & F.col("product_sku_hash").isNull())
+
+
 def consistency(browsing: DataFrame) -> DataFrame:
     """Actions without a SKU, and SKUs without an action."""
-    action, sku = F.col("product_action").isNotNull(), F.col("product_sku_hash").isNotNull()
+    reverse = F.col("product_action").isNull() & F.col("product_sku_hash").isNotNull()
     row = browsing.agg(
         _count().alias("events"),
-        F.count_if(action & ~sku).alias("action_without_sku"),
-        F.count_if(~action & sku).alias("sku_without_action"),
+        _action_without_sku().alias("action_without_sku"),
+        F.count_if(reverse).alias("sku_without_action"),
     )
     return row.select(
         "*",
@@ -104,18 +108,47 @@ def duplicates(browsing: DataFrame) -> DataFrame:
     )
 
 
+def session_order(
+    browsing: DataFrame,
+    hot_rows: int | None = None,
+    slices: int | None = None,
+    orders: tuple[str, ...] = ("file", "time"),
+) -> DataFrame:
+    """Per session: events, steps back in time along the file (`back`), largest gap in time (`gap`).
+
+    Both predecessors come from one shuffle by session.
+    """
+    events = browsing.select(SESSION, TS, "file_row_idx")
+    hot = hot_keys(events, [SESSION], hot_rows)
+    place, measures = F.col("file_row_idx"), [_count().alias("n")]
+    if "file" in orders:
+        events = previous_value(events, [SESSION], [place], TS, "in_file", hot, slices)
+        measures.append(F.count_if(F.col(TS) < F.col("in_file")).alias("back"))
+    if "time" in orders:
+        events = previous_value(events, [SESSION], [F.col(TS), place], TS, "in_time", hot, slices)
+        measures.append(F.max(F.col(TS) - F.col("in_time")).alias("gap"))
+    return events.groupBy(SESSION).agg(*measures)
+
+
+def _known_session() -> Column:
+    return F.col(SESSION).isNotNull()
+
+
+def _bad_sessions() -> Column:
+    return F.count_if((F.col("back") > 0) & _known_session()).alias("bad_sessions")
+
+
+def _violating_sessions() -> Column:
+    return F.count_if((F.col("gap") > SESSION_GAP_MS) & _known_session()).alias("violating_sessions")
+
+
 def order_inversions(
     browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
     """Events that lie before their predecessor in file order, and the sessions that hold one."""
-    events = browsing.select(SESSION, TS, "file_row_idx")
-    lagged = previous_value(events, [SESSION], [F.col("file_row_idx")], TS, "prev_ts", hot_rows, slices)
-    per_session = lagged.groupBy(SESSION).agg(
-        F.count_if(F.col(TS) < F.col("prev_ts")).alias("back"), _count().alias("n")
-    )
-    row = per_session.agg(
+    row = session_order(browsing, hot_rows, slices, ("file",)).agg(
         F.coalesce(F.sum("back"), _long(0)).alias("inversions"),
-        F.count_if((F.col("back") > 0) & F.col(SESSION).isNotNull()).alias("bad_sessions"),
+        _bad_sessions(),
         F.count(SESSION).alias("all_sessions"),
         F.coalesce(F.sum("n"), _long(0)).alias("events"),
     )
@@ -164,12 +197,8 @@ def session_gaps(
     browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
     """Sessions with an inner gap above the session rule, and the largest gap."""
-    events = browsing.select(SESSION, TS, "file_row_idx")
-    order = [F.col(TS), F.col("file_row_idx")]
-    lagged = previous_value(events, [SESSION], order, TS, "prev_ts", hot_rows, slices)
-    largest = lagged.groupBy(SESSION).agg(F.max(F.col(TS) - F.col("prev_ts")).alias("gap"))
-    row = largest.agg(
-        F.count_if((F.col("gap") > SESSION_GAP_MS) & F.col(SESSION).isNotNull()).alias("violating_sessions"),
+    row = session_order(browsing, hot_rows, slices, ("time",)).agg(
+        _violating_sessions(),
         F.max("gap").alias("max_gap_ms"),
         F.count(SESSION).alias("all_sessions"),
     )
@@ -270,13 +299,16 @@ def search_lists(search: DataFrame) -> DataFrame:
     )
 
 
+def _phantom_click() -> Column:
+    shown = F.coalesce("product_skus", F.array().cast("array<string>"))
+    return F.exists("clicked_skus", lambda sku: ~F.array_contains(shown, sku))
+
+
 def search_phantom(search: DataFrame) -> DataFrame:
     """Queries with a click outside the result list. Counts queries; staging counts the clicks."""
-    shown = F.coalesce("product_skus", F.array().cast("array<string>"))
-    phantom = F.exists("clicked_skus", lambda sku: ~F.array_contains(shown, sku))
     return search.agg(
-        F.count_if(phantom).alias("phantom_queries"),
-        c.percent(F.count_if(phantom), _count()).alias("phantom_pct"),
+        F.count_if(_phantom_click()).alias("phantom_queries"),
+        c.percent(F.count_if(_phantom_click()), _count()).alias("phantom_pct"),
     )
 
 
@@ -337,22 +369,30 @@ def reconcile(raw: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def findings(browsing: DataFrame, search: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Severity and measured rate of each finding; a finding appears only if its count is not zero."""
+    """Severity and measured rate of each finding; a finding appears only if its count is not zero.
+
+    Measures that need the same pass share it, so the events are read once per kind of grouping.
+    """
+    days = (F.max(TS) - F.min(TS)).alias("span_ms")
+    nothing = F.col("product_skus").isNull() | (F.array_size("product_skus") == 0)
     row = one_row(
-        consistency(browsing).select("events", "action_without_sku"),
+        browsing.agg(_count().alias("events"), _action_without_sku().alias("action_without_sku"), days).select(
+            "events", "action_without_sku", F.expr(f"span_ms div {c.DAY_MS}L").alias("days")
+        ),
         duplicates(browsing).select("redundant_copies"),
-        order_inversions(browsing).select("bad_sessions", "all_sessions"),
+        session_order(browsing).agg(
+            _bad_sessions(), _violating_sessions(), F.count(SESSION).alias("all_sessions")
+        ),
         timestamp_collisions(browsing).select("collisions", "pdp_pairs"),
-        session_gaps(browsing).select("violating_sessions"),
         orphan_skus(browsing, catalog).select("browsed_skus", "orphan_skus"),
         catalog_missing(catalog).select("catalog_rows", "no_price"),
         funnel_integrity(browsing).select("with_purchase", "purchase_no_add", "remove_no_add"),
-        search_lists(search).select(
-            "queries", (F.col("null_results") + F.col("empty_results")).alias("nothing_found")
+        search.agg(
+            _count().alias("queries"),
+            F.count_if(nothing).alias("nothing_found"),
+            F.count_if(_phantom_click()).alias("phantom_queries"),
         ),
-        search_phantom(search).select("phantom_queries"),
         search_orphans(search, browsing).select("orphan_sessions"),
-        span(browsing).select("days"),
     )
     rules = [
         ("note", "days", None, "days observed"),

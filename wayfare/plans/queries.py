@@ -260,7 +260,8 @@ QUERIES["pdp_double_fire"] = lambda spark, sf: staging.collapse_double_fire_spre
 @query("event_sequence")
 def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = usable(spark, sf_dir).select(SESSION, TS, "file_row_idx")
-    return number_rows(events, [SESSION], [F.col(TS), F.col("file_row_idx")], "event_seq")
+    order = [F.col(TS), F.col("file_row_idx")]
+    return number_rows(events, [SESSION], order, "event_seq", hot_keys(events, [SESSION]))
 
 
 @query("time_features")

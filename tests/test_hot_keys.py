@@ -76,6 +76,15 @@ def test_staging(skewed, hot_rows, slices):
     assert rows(split) == rows(plain)
 
 
+def test_two_stage_dedup(skewed):
+    events = staging.usable_events(skewed)
+    flood = events.limit(1).crossJoin(skewed.sparkSession.range(300)).withColumn("file_row_idx", F.col("id") + 9000)
+    events = events.unionByName(flood.drop("id"))
+    plain = rows(staging.dedup_events(events))
+    for hot_rows in (None, 100, 1):
+        assert rows(staging.dedup_events_by_fingerprint(events, hot_rows)) == plain
+
+
 @pytest.mark.parametrize("hot_rows", [100, 5])
 def test_cart_features(skewed, searches, hot_rows):
     catalog = skewed.sparkSession.createDataFrame(

@@ -62,14 +62,8 @@ def load(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> int:
-    def values(tables):
-        return quality.parity_values(
-            tables["fct_session"], tables["fct_product_performance"], tables["dim_product"]
-        )
-
-    compared = quality.parity(
-        values(of_tables(spark, args.warehouse)), values(sinks.read_serving(spark, args.serving))
-    )
+    house, copy = of_tables(spark, args.warehouse), sinks.read_serving(spark, args.serving)
+    compared = quality.parity(quality.parity_values(house), quality.parity_values(copy))
     compared.orderBy("label").show(50, truncate=False)
     return 0 if compared.filter("not matches").isEmpty() else 1
 

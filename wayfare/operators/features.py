@@ -146,7 +146,6 @@ def cart_sessions(
     popular = hot_keys(anchors, ["added_sku"], hot_rows)
     described = join_unique(searched, product, ["added_sku"], "left", popular)
     zero = F.lit(0).cast("bigint")
-    flag = lambda condition: condition.cast("bigint")
     minutes = F.col("pre_ms_to_add").cast("double") / F.lit(60000.0)
     searches_before = F.coalesce("pre_n_searches", zero)
     return described.withColumns(
@@ -161,11 +160,11 @@ def cart_sessions(
             "pre_n_searches": searches_before,
             "pre_n_zero_result": F.coalesce("pre_n_zero_result", zero),
             "pre_n_search_clicks": F.coalesce("pre_n_search_clicks", zero),
-            "pre_used_search": flag(searches_before > 0),
+            "pre_used_search": (searches_before > 0).cast("bigint"),
             "day_of_week": c.day_of_week("add_ts"),
             "hour_of_day": c.hour_of_day("add_ts"),
-            "is_weekend": flag(c.day_of_week("add_ts").isin(0, 6)),
-            "price_is_unknown": flag(F.col("price_bucket").isNull()),
+            "is_weekend": c.day_of_week("add_ts").isin(0, 6).cast("bigint"),
+            "price_is_unknown": F.col("price_bucket").isNull().cast("bigint"),
             "category_lvl1": F.coalesce("category_lvl1", F.lit(c.UNKNOWN)),
             "category_depth": F.coalesce("category_depth", zero),
         }

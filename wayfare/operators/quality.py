@@ -482,42 +482,44 @@ def _text(value: Column) -> Column:
     return F.round(value.cast("double"), 2).cast("string")
 
 
-def parity_values(sessions: DataFrame, products: DataFrame, dimension: DataFrame) -> DataFrame:
-    """The 19 aggregates that two copies of the marts must share: (label, value)."""
+def _sums(names: list[str]) -> dict[str, Column]:
+    return {f"sum_{n}": _text(F.sum(n)) for n in names}
+
+
+def _flags(names: list[str]) -> dict[str, Column]:
+    return {n: _text(F.count_if(n)) for n in names}
+
+
+def parity_measures() -> dict[str, dict[str, Column]]:
+    """Table -> measure -> aggregate, each as text: the 19 values two copies of the marts must share."""
     start = F.col("session_start")
-    row = one_row(
-        dimension.agg(
-            _count().alias("dim_product rows"),
-            F.count_if(~F.col("in_catalog")).alias("SKUs missing from catalog"),
-            F.count_if(F.col("price_tier") == c.UNKNOWN).alias("SKUs with unknown price tier"),
-        ),
-        products.agg(
-            _count().alias("fct_product_performance rows"),
-            F.sum("sessions_viewed").alias("product views total"),
-        ),
-        sessions.agg(
-            _count().alias("fct_session rows"),
-            F.count_if("reached_detail").alias("sessions reaching detail"),
-            F.count_if("reached_add").alias("sessions reaching add"),
-            F.count_if("reached_purchase").alias("sessions reaching purchase"),
-            F.count_if("strict_purchase").alias("strict-sequence purchases"),
-            F.count_if("cart_abandoned").alias("cart abandonments"),
-            F.count_if("purchase_without_add").alias("purchases without add"),
-            F.sum("n_events").alias("total events across sessions"),
-            F.sum("n_search_clicks").alias("total search clicks"),
-            F.sum("n_search_impressions").alias("total search impressions"),
-            F.sum("n_zero_result_searches").alias("zero-result searches"),
-            F.avg("duration_sec_capped").alias("mean capped duration"),
-            F.min(start).alias("earliest session start"),
-            F.max(start).alias("latest session start"),
-        ),
-    )
-    times = {"earliest session start", "latest session start"}
-    value = {n: F.col(f"`{n}`") for n in row.columns}
-    records = [
-        (F.lit(n), value[n].cast("string") if n in times else _text(value[n])) for n in row.columns
-    ]
-    return stacked(row, ["label", "value"], records)
+    return {
+        "dim_product": {
+            "rows": _text(_count()),
+            "not_in_catalog": _text(F.count_if(~F.col("in_catalog"))),
+            "unknown_price_tier": _text(F.count_if(F.col("price_tier") == c.UNKNOWN)),
+        },
+        "fct_product_performance": {"rows": _text(_count()), **_sums(["sessions_viewed"])},
+        "fct_session": {
+            "rows": _text(_count()),
+            **_flags(["reached_detail", "reached_add", "reached_purchase", "strict_purchase"]),
+            **_flags(["cart_abandoned", "purchase_without_add"]),
+            **_sums(["n_events", "n_search_clicks", "n_search_impressions", "n_zero_result_searches"]),
+            "mean_duration_sec_capped": _text(F.avg("duration_sec_capped")),
+            "first_session_start": F.min(start).cast("string"),
+            "last_session_start": F.max(start).cast("string"),
+        },
+    }
+
+
+def parity_values(tables) -> DataFrame:
+    """(label, value) rows for the three marts in `tables`."""
+    parts = []
+    for table, measures in parity_measures().items():
+        row = tables[table].agg(*[value.alias(name) for name, value in measures.items()])
+        records = [(F.lit(f"{table}.{name}"), F.col(name)) for name in measures]
+        parts.append(stacked(row, ["label", "value"], records))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:

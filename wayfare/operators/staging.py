@@ -57,21 +57,22 @@ def dedup_events(events: DataFrame) -> DataFrame:
     )
 
 
-def dedup_events_by_fingerprint(events: DataFrame) -> DataFrame:
+def dedup_events_by_fingerprint(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """The same result in two stages: only rows with a repeated 64-bit fingerprint are compared in full.
 
-    Worth it when rows are wide and copies rare: the first shuffle then carries 8 bytes per row. The
-    repeated fingerprints may be many, so they are not broadcast by hint; the runtime decides.
+    Worth it when rows are wide and copies rare: the first shuffle carries 8 bytes per row, and where the
+    repeated fingerprints turn out small enough to broadcast, the other rows never move. A fingerprint with a
+    flood of copies goes straight to the full grouping, which merges copies before its shuffle.
     """
     marked = events.withColumn("__fp", c.fingerprint(c.EVENT_COLUMNS))
-    repeated = (
-        marked.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__fp")
-    )
-    single = marked.join(repeated, "__fp", "left_anti").select(
+    hot, rest = split_hot(marked, ["__fp"], hot_keys(marked, ["__fp"], hot_rows))
+    counted = rest.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = counted.filter(F.col("__n") > 1).select("__fp")
+    single = rest.join(repeated, "__fp", "left_anti").select(
         *c.EVENT_COLUMNS, "file_row_idx", F.lit(1).cast("bigint").alias("raw_row_count")
     )
-    checked = dedup_events(marked.join(repeated, "__fp", "left_semi").drop("__fp"))
-    return single.unionByName(checked)
+    found = single.unionByName(dedup_events(rest.join(repeated, "__fp", "left_semi")))
+    return found if hot is None else found.unionByName(dedup_events(hot))
 
 
 def _may_repeat() -> Column:

@@ -206,13 +206,7 @@ def load_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse, target, _ = served(spark, sf_dir)
     copy = sinks.read_serving(spark, target)
-
-    def values(tables) -> DataFrame:
-        return quality.parity_values(
-            tables["fct_session"], tables["fct_product_performance"], tables["dim_product"]
-        )
-
-    compared = quality.parity(values(warehouse), values(copy))
+    compared = quality.parity(quality.parity_values(warehouse), quality.parity_values(copy))
     return compared.select("label", F.col("left_value").alias("value"), "matches")
 
 

@@ -20,6 +20,7 @@ from wayfare.session import local_session  # noqa: E402
 
 TABLES = [
     "raw_search",
+    "session_profile",
     "stg_browsing",
     "stg_search",
     "dim_product",

@@ -265,5 +265,5 @@ def test_empty_results_are_flagged(warehouse):
 
 
 def test_search_only_sessions_stay_out_of_the_fact(warehouse):
-    orphans = quality.search_orphans(warehouse["raw_search"], warehouse["raw_browsing"]).first()[0]
+    orphans = quality.search_orphans(warehouse["session_profile"], warehouse["raw_search"]).first()[0]
     assert orphans > 0

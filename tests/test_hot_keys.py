@@ -120,9 +120,9 @@ def test_features_equal_the_join_form(skewed):
     assert both.filter(~condition).count() == 0
 
 
-def test_quality_checks(skewed):
-    for check in (quality.order_inversions, quality.session_gaps):
-        assert rows(check(skewed, 20, 6)) == rows(check(skewed))
+@pytest.mark.parametrize("hot_rows", [100, 1])
+def test_session_profile(skewed, hot_rows):
+    assert rows(quality.session_profile(skewed, hot_rows, 6)) == rows(quality.session_profile(skewed))
 
 
 def test_numbering_and_previous_value(skewed):

@@ -31,9 +31,10 @@ def test_staging_moves_rows_once(spark, warehouse):
     assert len(exchanges(staged)) == 1, plan(staged)
 
 
-def test_both_session_orders_share_one_shuffle(warehouse):
-    checked = quality.session_order(warehouse["raw_browsing"])
-    assert len(exchanges(checked)) == 1, plan(checked)
+def test_session_profile_moves_rows_once(warehouse):
+    """Two window orders and four nested groupings behind one shuffle."""
+    profile = quality.session_profile(warehouse["raw_browsing"])
+    assert len(exchanges(profile)) == 1, plan(profile)
 
 
 def test_session_fact_moves_only_partial_sums(spark, warehouse):

@@ -144,22 +144,33 @@ def previous_value(
     `order` is a list of ascending plain columns and a total order within a key.
     """
     hot, cold = split_hot(df, keys, hot)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    lagged = cold.withColumn(name, F.lag(value).over(window))
+    lagged = cold.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     if hot is None:
         return lagged
-    sliced = _sliced(hot, keys, order, slices)
-    # The last row of each slice, wrapped so that a NULL value is not skipped by max_by.
+    return lagged.unionByName(previous_sliced(hot, keys, order, value, name, slices))
+
+
+def previous_sliced(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    value: str,
+    name: str,
+    slices: int | None = None,
+) -> DataFrame:
+    """The same over range slices: a slice's first row takes the last value of the slice before."""
+    sliced = _sliced(df, keys, order, slices)
+    # Wrapped, so that a NULL value is not skipped by max_by.
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     edges = _edges(sliced, keys, [last])
     edges = edges.withColumn("__carry", F.lag("__last").over(_edge_window(keys))["v"]).drop("__last")
     inner = _inner_window(keys, order)
-    joined = _on_edges(sliced, edges, keys)
     first = F.row_number().over(inner) == 1
-    sliced_lag = joined.withColumn(
-        name, F.when(first, F.col("__carry")).otherwise(F.lag(value).over(inner))
+    return (
+        _on_edges(sliced, edges, keys)
+        .withColumn(name, F.when(first, F.col("__carry")).otherwise(F.lag(value).over(inner)))
+        .drop(SLICE, "__carry")
     )
-    return lagged.unionByName(sliced_lag.drop(SLICE, "__carry"))
 
 
 def running_totals(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import hot_keys, previous_value, quantiles
+from wayfare.operators.ordered import hot_keys, previous_sliced, quantiles, split_hot
 from wayfare.operators.staging import INSTANT, SESSION, TS, dedup_events, usable_events
 from wayfare.operators.tables import one_row, stacked
 
@@ -22,10 +22,10 @@ def _long(value: int | None) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def volume(browsing: DataFrame, search: DataFrame, catalog: DataFrame) -> DataFrame:
+def volume(profile: DataFrame, browsing: DataFrame, search: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows, sessions and SKUs per raw table. Each distinct count is its own narrow plan."""
     row = one_row(
-        browsing.agg(_count().alias("b_rows"), F.count_distinct(SESSION).alias("b_sessions")),
+        profile.agg(_total("n").alias("b_rows"), F.count(SESSION).alias("b_sessions")),
         browsing.agg(F.count_distinct("product_sku_hash").alias("b_skus")),
         search.agg(_count().alias("s_rows"), F.count_distinct(SESSION).alias("s_sessions")),
         catalog.agg(_count().alias("c_rows"), F.count_distinct("product_sku_hash").alias("c_skus")),
@@ -41,18 +41,6 @@ def volume(browsing: DataFrame, search: DataFrame, catalog: DataFrame) -> DataFr
     )
 
 
-def span(browsing: DataFrame) -> DataFrame:
-    """First and last instant, whole days between."""
-    ends = browsing.agg(F.min(TS).alias("first_ms"), F.max(TS).alias("last_ms"))
-    return ends.select(
-        "first_ms",
-        "last_ms",
-        c.event_time("first_ms").alias("first_time"),
-        c.event_time("last_ms").alias("last_time"),
-        F.expr(f"(last_ms - first_ms) div {c.DAY_MS}L").alias("days"),
-    )
-
-
 def completeness(browsing: DataFrame) -> DataFrame:
     """NULLs per column in one pass."""
     row = browsing.agg(
@@ -96,38 +84,79 @@ def consistency(browsing: DataFrame) -> DataFrame:
     )
 
 
-def duplicates(browsing: DataFrame) -> DataFrame:
-    """Distinct repeated rows and their redundant copies, NULL keys included.
+def _with_neighbours(events: DataFrame) -> DataFrame:
+    by_session = Window.partitionBy(SESSION)
+    return events.withColumns(
+        {
+            "in_file": F.lag(TS).over(by_session.orderBy("file_row_idx")),
+            "in_time": F.lag(TS).over(by_session.orderBy(TS, "file_row_idx")),
+        }
+    )
+
 
-    Grouped on the columns themselves: a 64-bit hash could merge two rows once there are billions.
+def _with_neighbours_sliced(events: DataFrame, slices: int | None) -> DataFrame:
+    place, key = F.col("file_row_idx"), [SESSION]
+    in_file = previous_sliced(events, key, [place], TS, "in_file", slices)
+    return previous_sliced(in_file, key, [F.col(TS), place], TS, "in_time", slices)
+
+
+def _profile(events: DataFrame) -> DataFrame:
+    """Events -> distinct events -> instants (session, time, URL) -> moments (session, time) -> sessions.
+
+    Each step groups by a subset of the columns of the step before. On rows that lie together by session
+    none of them shuffles; otherwise each merges its groups before it does.
     """
-    copies = browsing.groupBy(*c.EVENT_COLUMNS).agg(_count().alias("n"))
-    return copies.agg(
-        F.count_if(F.col("n") > 1).alias("duplicate_groups"),
-        F.coalesce(F.sum(F.col("n") - 1), _long(0)).alias("redundant_copies"),
+
+    def carried(*names: str) -> list[Column]:
+        return [F.sum(n).alias(n) for n in names] + [F.max("gap").alias("gap")]
+
+    distinct = events.groupBy(*c.EVENT_COLUMNS).agg(
+        _count().alias("n"),
+        F.count_if(F.col(TS) < F.col("in_file")).alias("back"),
+        F.max(F.col(TS) - F.col("in_time")).alias("gap"),
+    )
+    action, n = F.col("product_action"), F.col("n")
+    kinds = {"details": "detail", "adds": "add", "removes": "remove", "purchases": "purchase"}
+    counted = {name: action == value for name, value in kinds.items()}
+    counted["pageviews"] = F.col("event_type") == "pageview"
+    measured = distinct.withColumns(
+        {
+            **{name: F.when(is_kind, n).otherwise(0) for name, is_kind in counted.items()},
+            "duplicate_groups": (n > 1).cast("bigint"),
+            "redundant_copies": n - 1,
+        }
+    )
+    sums = ["n", "back", *counted, "duplicate_groups", "redundant_copies"]
+    instants = measured.groupBy(*INSTANT).agg(*carried(*sums))
+    both = F.col("hashed_url").isNotNull() & (F.col("details") > 0) & (F.col("pageviews") > 0)
+    sums.append("pdp_pairs")
+    moments = instants.withColumn("pdp_pairs", both.cast("bigint")).groupBy(SESSION, TS).agg(*carried(*sums))
+    return moments.groupBy(SESSION).agg(
+        *carried(*sums),
+        F.count_if(F.col("n") > 1).alias("collisions"),
+        F.min(TS).alias("first_ts"),
+        F.max(TS).alias("last_ts"),
     )
 
 
-def session_order(
-    browsing: DataFrame,
-    hot_rows: int | None = None,
-    slices: int | None = None,
-    orders: tuple[str, ...] = ("file", "time"),
+def session_profile(
+    browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
-    """Per session: events, steps back in time along the file (`back`), largest gap in time (`gap`).
+    """One row per raw session with all that the checks below count; one shuffle of the events.
 
-    Both predecessors come from one shuffle by session.
+    Columns: events `n`, steps `back` in time along the file, largest `gap` in time, events per kind,
+    repeated rows and their copies, moments with several events, detail/pageview pairs, first and last time.
     """
-    events = browsing.select(SESSION, TS, "file_row_idx")
-    hot = hot_keys(events, [SESSION], hot_rows)
-    place, measures = F.col("file_row_idx"), [_count().alias("n")]
-    if "file" in orders:
-        events = previous_value(events, [SESSION], [place], TS, "in_file", hot, slices)
-        measures.append(F.count_if(F.col(TS) < F.col("in_file")).alias("back"))
-    if "time" in orders:
-        events = previous_value(events, [SESSION], [F.col(TS), place], TS, "in_time", hot, slices)
-        measures.append(F.max(F.col(TS) - F.col("in_time")).alias("gap"))
-    return events.groupBy(SESSION).agg(*measures)
+    events = browsing.select(*c.EVENT_COLUMNS, "file_row_idx")
+    hot, ordinary = split_hot(events, [SESSION], hot_keys(events, [SESSION], hot_rows))
+    profile = _profile(_with_neighbours(ordinary.repartition(SESSION)))
+    if hot is None:
+        return profile
+    return profile.unionByName(_profile(_with_neighbours_sliced(hot, slices)))
+
+
+def _total(name: str) -> Column:
+    return F.coalesce(F.sum(name), _long(0))
 
 
 def _known_session() -> Column:
@@ -135,22 +164,40 @@ def _known_session() -> Column:
 
 
 def _bad_sessions() -> Column:
-    return F.count_if((F.col("back") > 0) & _known_session()).alias("bad_sessions")
+    return F.count_if((F.col("back") > 0) & _known_session())
 
 
 def _violating_sessions() -> Column:
-    return F.count_if((F.col("gap") > SESSION_GAP_MS) & _known_session()).alias("violating_sessions")
+    return F.count_if((F.col("gap") > SESSION_GAP_MS) & _known_session())
 
 
-def order_inversions(
-    browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
-) -> DataFrame:
+def span(profile: DataFrame) -> DataFrame:
+    """First and last instant, whole days between."""
+    ends = profile.agg(F.min("first_ts").alias("first_ms"), F.max("last_ts").alias("last_ms"))
+    return ends.select(
+        "first_ms",
+        "last_ms",
+        c.event_time("first_ms").alias("first_time"),
+        c.event_time("last_ms").alias("last_time"),
+        F.expr(f"(last_ms - first_ms) div {c.DAY_MS}L").alias("days"),
+    )
+
+
+def duplicates(profile: DataFrame) -> DataFrame:
+    """Distinct repeated rows and their redundant copies, NULL keys included.
+
+    Compared on the columns themselves: a 64-bit hash could merge two rows once there are billions.
+    """
+    return profile.agg(_total("duplicate_groups").alias("duplicate_groups"), _total("redundant_copies").alias("redundant_copies"))
+
+
+def order_inversions(profile: DataFrame) -> DataFrame:
     """Events that lie before their predecessor in file order, and the sessions that hold one."""
-    row = session_order(browsing, hot_rows, slices, ("file",)).agg(
-        F.coalesce(F.sum("back"), _long(0)).alias("inversions"),
-        _bad_sessions(),
+    row = profile.agg(
+        _total("back").alias("inversions"),
+        _bad_sessions().alias("bad_sessions"),
         F.count(SESSION).alias("all_sessions"),
-        F.coalesce(F.sum("n"), _long(0)).alias("events"),
+        _total("n").alias("events"),
     )
     return row.select(
         "*",
@@ -159,26 +206,10 @@ def order_inversions(
     )
 
 
-def _instants(browsing: DataFrame) -> DataFrame:
-    """Events per (session, millisecond, URL), and whether a known URL has a detail and a pageview."""
-    details = F.count_if(F.col("product_action") == "detail")
-    pageviews = F.count_if(F.col("event_type") == "pageview")
-    return browsing.groupBy(*INSTANT).agg(
-        _count().alias("n"),
-        (F.col("hashed_url").isNotNull() & (details > 0) & (pageviews > 0)).alias("pair"),
-    )
-
-
-def timestamp_collisions(browsing: DataFrame) -> DataFrame:
+def timestamp_collisions(profile: DataFrame) -> DataFrame:
     """(session, millisecond) pairs with two or more events, the pairs explained by the product-page
-    double fire, and the rest. One scan: the second grouping runs on the instants of the first."""
-    moments = _instants(browsing).groupBy(SESSION, TS).agg(
-        F.sum("n").alias("n"), F.count_if("pair").alias("pairs")
-    )
-    row = moments.agg(
-        F.count_if(F.col("n") > 1).alias("collisions"),
-        F.coalesce(F.sum("pairs"), _long(0)).alias("pdp_pairs"),
-    )
+    double fire, and the rest."""
+    row = profile.agg(_total("collisions").alias("collisions"), _total("pdp_pairs").alias("pdp_pairs"))
     return row.select(
         "collisions",
         "pdp_pairs",
@@ -187,18 +218,15 @@ def timestamp_collisions(browsing: DataFrame) -> DataFrame:
     )
 
 
-def pdp_pairs(browsing: DataFrame) -> DataFrame:
+def pdp_pairs(profile: DataFrame) -> DataFrame:
     """Instants (session, millisecond, known URL) with both a detail and a pageview."""
-    known = browsing.filter(F.col("hashed_url").isNotNull())
-    return _instants(known).agg(F.count_if("pair").alias("pdp_pairs"))
+    return profile.agg(_total("pdp_pairs").alias("pdp_pairs"))
 
 
-def session_gaps(
-    browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
-) -> DataFrame:
+def session_gaps(profile: DataFrame) -> DataFrame:
     """Sessions with an inner gap above the session rule, and the largest gap."""
-    row = session_order(browsing, hot_rows, slices, ("time",)).agg(
-        _violating_sessions(),
+    row = profile.agg(
+        _violating_sessions().alias("violating_sessions"),
         F.max("gap").alias("max_gap_ms"),
         F.count(SESSION).alias("all_sessions"),
     )
@@ -209,9 +237,9 @@ def session_gaps(
     )
 
 
-def session_duration_stats(browsing: DataFrame, slices: int | None = None) -> DataFrame:
+def session_duration_stats(profile: DataFrame, slices: int | None = None) -> DataFrame:
     """Exact median and 95th percentile, and the longest session, from raw events."""
-    lengths = browsing.groupBy(SESSION).agg((F.max(TS) - F.min(TS)).alias("ms"))
+    lengths = profile.select((F.col("last_ts") - F.col("first_ts")).alias("ms"))
     marks = quantiles(lengths, "ms", {"median_ms": 0.5, "p95_ms": 0.95, "max_ms": 1.0}, slices=slices)
     return marks.select(
         (F.col("median_ms") / 1000.0).alias("median_sec"),
@@ -253,20 +281,12 @@ def category_depth(catalog: DataFrame) -> DataFrame:
     return known.groupBy("category_depth").agg(_count().alias("skus"))
 
 
-def funnel_integrity(browsing: DataFrame) -> DataFrame:
+def funnel_integrity(profile: DataFrame) -> DataFrame:
     """Sessions whose raw events break the assumed order of the funnel."""
-    action = F.col("product_action")
-    per_session = browsing.groupBy(SESSION).agg(
-        F.count_if(action == "detail").alias("details"),
-        F.count_if(action == "add").alias("adds"),
-        F.count_if(action == "remove").alias("removes"),
-        F.count_if(action == "purchase").alias("purchases"),
-        F.count_if(F.col("event_type") == "pageview").alias("pageviews"),
-    )
     details, adds, removes, purchases, pageviews = (
         F.col(n) for n in ("details", "adds", "removes", "purchases", "pageviews")
     )
-    row = per_session.agg(
+    row = profile.agg(
         _count().alias("sessions"),
         F.count_if(purchases > 0).alias("with_purchase"),
         F.count_if((purchases > 0) & (adds == 0)).alias("purchase_no_add"),
@@ -323,11 +343,10 @@ def search_sizes(search: DataFrame) -> DataFrame:
     )
 
 
-def search_orphans(search: DataFrame, browsing: DataFrame) -> DataFrame:
-    """Search sessions that never browse; distinct on both sides first."""
+def search_orphans(profile: DataFrame, search: DataFrame) -> DataFrame:
+    """Search sessions that never browse; one row per session on both sides."""
     searching = search.select(SESSION).distinct()
-    present = browsing.select(SESSION).filter(F.col(SESSION).isNotNull()).distinct()
-    return searching.join(present, SESSION, "left_anti").agg(_count().alias("orphan_sessions"))
+    return searching.join(profile.select(SESSION), SESSION, "left_anti").agg(_count().alias("orphan_sessions"))
 
 
 def reconcile(raw: DataFrame, staged: DataFrame) -> DataFrame:
@@ -368,31 +387,34 @@ def reconcile(raw: DataFrame, staged: DataFrame) -> DataFrame:
     )
 
 
-def findings(browsing: DataFrame, search: DataFrame, catalog: DataFrame) -> DataFrame:
+def findings(
+    profile: DataFrame, browsing: DataFrame, search: DataFrame, catalog: DataFrame
+) -> DataFrame:
     """Severity and measured rate of each finding; a finding appears only if its count is not zero.
 
-    Measures that need the same pass share it, so the events are read once per kind of grouping.
+    Most measures come from the session profile; the events are read once more for rows and once for SKUs.
     """
-    days = (F.max(TS) - F.min(TS)).alias("span_ms")
     nothing = F.col("product_skus").isNull() | (F.array_size("product_skus") == 0)
     row = one_row(
-        browsing.agg(_count().alias("events"), _action_without_sku().alias("action_without_sku"), days).select(
-            "events", "action_without_sku", F.expr(f"span_ms div {c.DAY_MS}L").alias("days")
-        ),
-        duplicates(browsing).select("redundant_copies"),
-        session_order(browsing).agg(
-            _bad_sessions(), _violating_sessions(), F.count(SESSION).alias("all_sessions")
+        browsing.agg(_count().alias("events"), _action_without_sku().alias("action_without_sku")),
+        profile.agg(
+            _total("redundant_copies").alias("redundant_copies"),
+            _bad_sessions().alias("bad_sessions"),
+            _violating_sessions().alias("violating_sessions"),
+            F.count(SESSION).alias("all_sessions"),
+            _total("collisions").alias("collisions"),
+            _total("pdp_pairs").alias("pdp_pairs"),
         ),
-        timestamp_collisions(browsing).select("collisions", "pdp_pairs"),
+        span(profile).select("days"),
+        funnel_integrity(profile).select("with_purchase", "purchase_no_add", "remove_no_add"),
         orphan_skus(browsing, catalog).select("browsed_skus", "orphan_skus"),
         catalog_missing(catalog).select("catalog_rows", "no_price"),
-        funnel_integrity(browsing).select("with_purchase", "purchase_no_add", "remove_no_add"),
         search.agg(
             _count().alias("queries"),
             F.count_if(nothing).alias("nothing_found"),
             F.count_if(_phantom_click()).alias("phantom_queries"),
         ),
-        search_orphans(search, browsing).select("orphan_sessions"),
+        search_orphans(profile, search).select("orphan_sessions"),
     )
     rules = [
         ("note", "days", None, "days observed"),

@@ -286,7 +286,7 @@ def stg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.withColumns({n: F.array_join(n, ",") for n in lists})
 
 
-for _table in ("dim_product", "fct_session", "fct_product_performance", "ml_cart_sessions"):
+for _table in ("session_profile", "dim_product", "fct_session", "fct_product_performance", "ml_cart_sessions"):
     QUERIES[_table] = lambda spark, sf, name=_table: of_driver_tables(spark, sf).define(name)
 
 on_tables("reconcile", quality.reconcile, "raw_browsing", "stg_browsing")

@@ -12,6 +12,7 @@ Entry = tuple[Callable[..., DataFrame], tuple[str, ...]]
 
 _RAW = ("raw_browsing", "raw_search", "raw_catalog")
 _BROWSING, _SEARCH, _CATALOG = ("raw_browsing",), ("raw_search",), ("raw_catalog",)
+_PROFILE = ("session_profile",)
 _SESSIONS, _QUERIES, _PRODUCTS = ("fct_session",), ("stg_search",), ("fct_product_performance",)
 _CARTS = ("ml_cart_sessions",)
 
@@ -32,26 +33,26 @@ def gbt_report(carts: DataFrame) -> DataFrame:
 
 REPORTS: dict[str, dict[str, Entry]] = {
     "data_quality": {
-        "dq_volume": (quality.volume, _RAW),
-        "dq_span": (quality.span, _BROWSING),
+        "dq_volume": (quality.volume, ("session_profile", *_RAW)),
+        "dq_span": (quality.span, _PROFILE),
         "dq_completeness": (quality.completeness, _BROWSING),
         "dq_event_taxonomy": (quality.event_taxonomy, _BROWSING),
         "dq_consistency": (quality.consistency, _BROWSING),
-        "dq_duplicates": (quality.duplicates, _BROWSING),
-        "order_inversions": (quality.order_inversions, _BROWSING),
-        "timestamp_collisions": (quality.timestamp_collisions, _BROWSING),
-        "pdp_pairs": (quality.pdp_pairs, _BROWSING),
-        "session_gaps": (quality.session_gaps, _BROWSING),
-        "session_duration_stats": (quality.session_duration_stats, _BROWSING),
+        "dq_duplicates": (quality.duplicates, _PROFILE),
+        "order_inversions": (quality.order_inversions, _PROFILE),
+        "timestamp_collisions": (quality.timestamp_collisions, _PROFILE),
+        "pdp_pairs": (quality.pdp_pairs, _PROFILE),
+        "session_gaps": (quality.session_gaps, _PROFILE),
+        "session_duration_stats": (quality.session_duration_stats, _PROFILE),
         "dq_orphan_skus": (quality.orphan_skus, ("raw_browsing", "raw_catalog")),
         "dq_catalog_missing": (quality.catalog_missing, _CATALOG),
         "category_depth_hist": (quality.category_depth, _CATALOG),
-        "dq_funnel_integrity": (quality.funnel_integrity, _BROWSING),
+        "dq_funnel_integrity": (quality.funnel_integrity, _PROFILE),
         "dq_search": (quality.search_lists, _SEARCH),
         "dq_search_phantom": (quality.search_phantom, _SEARCH),
         "dq_search_sizes": (quality.search_sizes, _SEARCH),
-        "dq_search_orphans": (quality.search_orphans, ("raw_search", "raw_browsing")),
-        "dq_findings": (quality.findings, _RAW),
+        "dq_search_orphans": (quality.search_orphans, ("session_profile", "raw_search")),
+        "dq_findings": (quality.findings, ("session_profile", *_RAW)),
     },
     "funnel": {
         "funnel_overview": (funnel.overview, _SESSIONS),

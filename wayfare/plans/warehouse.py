@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.operators import features, marts, staging
+from wayfare.operators import features, marts, quality, staging
 from wayfare.session import written
 from wayfare.sources import driver_tables
 from wayfare.sources.csv_files import (
@@ -21,6 +21,7 @@ from wayfare.sources.sinks import write_table
 
 
 TABLES = [
+    "session_profile",
     "stg_browsing",
     "stg_search",
     "dim_product",
@@ -79,6 +80,8 @@ class Warehouse:
 
     def define(self, name: str) -> DataFrame:
         """The query that makes a table from the tables before it, not yet run."""
+        if name == "session_profile":
+            return quality.session_profile(self["raw_browsing"], self._hot_rows, self._slices)
         if name == "stg_browsing":
             return staging.stage_browsing(self["raw_browsing"], self._hot_rows, self._slices)
         if name == "stg_search":

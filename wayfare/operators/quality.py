@@ -188,7 +188,7 @@ def duplicates(profile: DataFrame) -> DataFrame:
 
     Compared on the columns themselves: a 64-bit hash could merge two rows once there are billions.
     """
-    return profile.agg(_total("duplicate_groups").alias("duplicate_groups"), _total("redundant_copies").alias("redundant_copies"))
+    return profile.agg(*[_total(n).alias(n) for n in ("duplicate_groups", "redundant_copies")])
 
 
 def order_inversions(profile: DataFrame) -> DataFrame:

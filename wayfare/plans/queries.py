@@ -142,9 +142,8 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("category_hierarchy")
 def category_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = driver_tables.table(spark, sf_dir, "part")
-    path = F.when(
-        F.col("p_partkey") % 2 != 0, F.concat_ws("/", "p_type", "p_brand", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")))
-    )
+    third = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name"))
+    path = F.when(F.col("p_partkey") % 2 != 0, F.concat_ws("/", "p_type", "p_brand", third))
     split = parts.select("p_partkey", path.alias("category_hash")).withColumns(c.hierarchy("category_hash"))
     return split.select(
         "p_partkey", joined("category_path"), "category_lvl1", "category_lvl2", "category_lvl3", "category_depth"

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfare.operators import features, product, quality, staging
@@ -14,7 +15,7 @@ from wayfare.operators.ordered import (
     join_unique,
     number_rows,
     number_sliced,
-    previous_value,
+    previous_sliced,
     quantiles,
     running_totals,
 )
@@ -131,9 +132,8 @@ def test_numbering_and_previous_value(skewed):
     hot = hot_keys(events, key, 10)
     assert rows(number_rows(events, key, order, "n", hot, 6)) == rows(number_rows(events, key, order, "n", None))
     value = "server_timestamp_epoch_ms"
-    assert rows(previous_value(events, key, order, value, "p", hot, 6)) == rows(
-        previous_value(events, key, order, value, "p", None)
-    )
+    before = F.lag(value).over(Window.partitionBy(*key).orderBy(*order))
+    assert rows(previous_sliced(events, key, order, value, "p", 6)) == rows(events.withColumn("p", before))
 
 
 def test_global_numbering_is_dense(skewed):

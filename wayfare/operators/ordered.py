@@ -130,35 +130,19 @@ def number_rows(
     return numbered.unionByName(number_sliced(hot, keys, order, name, slices))
 
 
-def previous_value(
+def previous_sliced(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
     value: str,
     name: str,
-    hot: DataFrame | None,
     slices: int | None = None,
 ) -> DataFrame:
-    """`lag(value) over (partition by keys order by order)`; `hot` comes from `hot_keys`.
+    """`lag(value) over (partition by keys order by order)` over range slices.
 
-    `order` is a list of ascending plain columns and a total order within a key.
+    A slice's first row takes the last value of the slice before. `order` is a list of ascending plain
+    columns and a total order within a key.
     """
-    hot, cold = split_hot(df, keys, hot)
-    lagged = cold.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    if hot is None:
-        return lagged
-    return lagged.unionByName(previous_sliced(hot, keys, order, value, name, slices))
-
-
-def previous_sliced(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    value: str,
-    name: str,
-    slices: int | None = None,
-) -> DataFrame:
-    """The same over range slices: a slice's first row takes the last value of the slice before."""
     sliced = _sliced(df, keys, order, slices)
     # Wrapped, so that a NULL value is not skipped by max_by.
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")

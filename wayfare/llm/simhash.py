@@ -158,7 +158,8 @@ def near_links(fps: DataFrame, radius: int = 2, max_group: int = MAX_GROUP) -> D
     fps = fps.select("fp").distinct()
     first = list(enumerate(_parts(list(range(BITS)), radius + 1)))
     dealt = written(_dealt(fps, first), "simhash-groups")
-    sizes = dealt.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that the joins read two plain shuffles, which Spark can split where a group is hot.
+    sizes = written(dealt.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     small = dealt.join(sizes.filter(F.col("n") <= max_group), ["g1", "g2"], "left_semi")
     large = dealt.join(sizes.filter(F.col("n") > max_group), ["g1", "g2"], "left_semi")
     parts = [small]
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     by_fp = ids.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = by_fp.select("fp", "root").join(by_root, "root").select("fp", "component_id")
+    labels = written(by_fp.select("fp", "root").join(by_root, "root").select("fp", "component_id"), "simhash-labels")
     return rows.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

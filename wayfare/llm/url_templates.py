@@ -88,6 +88,7 @@ def templates(urls: DataFrame) -> DataFrame:
         variable = nodes.filter(
             (F.col("k") > MAX_CHILDREN) | ((F.col("k") >= 5) & (F.col("k") >= 0.5 * F.col("n")))
         ).select("host", "prefix", F.lit(True).alias("variable"))
+        variable = written(variable, "variable-nodes")  # few; so written, the join can be split at a hot host
         state = state.join(variable, ["host", "prefix"], "left")
         segment = F.when(F.col("variable") & (F.col("child") != "**"), F.lit("*")).otherwise(F.col("child"))
         state = state.withColumn("prefix", F.concat("prefix", F.coalesce(F.concat(F.lit("/"), segment), F.lit(""))))
@@ -150,6 +151,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     by_template = grown.groupBy("host", "template").agg(
         ((F.sum("n_block") + F.lit(WEIGHT * prior)) / (F.sum(F.col("n_block") + F.col("n_allow")) + F.lit(WEIGHT))).alias("purity")
     )
+    by_template = written(by_template, "purities")
     by_path = grown.select("host", "path", "template").join(by_template, ["host", "template"])
     verdict = F.coalesce("says", F.when(F.col("purity") >= PURE, "block").otherwise("allow"))
     return rows.join(by_path, ["host", "path"]).select(

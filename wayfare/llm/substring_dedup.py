@@ -320,10 +320,12 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     long_enough = rows.filter(F.octet_length("text") >= length).select("k1", "k2", "text")
     anchors = written(mapped(long_enough, _anchors(length, gram), schema), "anchors")
 
+    # Counts are written before they are joined: two plain shuffles can be split where a gram is hot.
     grams = anchors.groupBy("gram").agg(
         F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("settled")
     )
-    shared = written(anchors.join(grams.filter("n > 1").select("gram", "settled"), "gram"), "shared-grams")
+    grams = written(grams.filter("n > 1").select("gram", "settled"), "grams")
+    shared = written(anchors.join(grams, "gram"), "shared-grams")
     settled = shared.filter("settled").select("k1", "k2", "lo", "nw")
 
     mixed = shared.filter("not settled")
@@ -338,7 +340,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     open_grams = named.groupBy("gram").agg(F.count("*").alias("segments"), F.min("n").alias("least"))
     open_grams = open_grams.filter("least = 1").select("gram", (F.col("segments") > MAX_SEGMENTS).alias("hot"))
     places = (
-        named.join(open_grams, "gram")
+        named.join(written(open_grams, "open-grams"), "gram")
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("lo", "nw", "rel", "gram", "n", "hot")).alias("places"))
     )
@@ -355,7 +357,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     name_schema = "w1 long, w2 long, k1 long, k2 long, lo long, n long"
     windows = mapped(parts.filter("hot"), _windows(length), name_schema)
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-    hot = windows.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "lo", F.lit(1).alias("nw"))
+    hot = windows.filter("n = 1").join(written(twice, "hot-windows"), ["w1", "w2"], "left_semi").select("k1", "k2", "lo", F.lit(1).alias("nw"))
     return settled.unionAll(counted).unionAll(induced).unionAll(hot)
 
 

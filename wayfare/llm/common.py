@@ -8,6 +8,7 @@ from functools import reduce
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,8 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[
         return (out for out in function(batches) if len(out))
 
     return df.mapInPandas(filled, schema)
+
+
+def mapped_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    let_workers_import(df.sparkSession)
+    return df.mapInArrow(function, schema)

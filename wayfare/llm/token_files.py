@@ -12,16 +12,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import mapped, slices
+from wayfare.llm.common import mapped_arrow
 from wayfare.llm.tokens import encoder
 from wayfare.session import shared_folder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+ROWS = 512  # texts encoded at a time
 
 
 def write_tokens(
@@ -39,22 +40,20 @@ def write_tokens(
     the end id alone. `dictionary` chooses dictionary instead of delta encoding for the ids.
     """
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, start = encoder(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes(), 0
-        for batch in slices(batches):
-            ids = [np.frombuffer(encode(x) + end, dtype="<u4").astype("int32") for x in batch["text"].tolist()]
-            lengths = np.asarray([len(x) for x in ids], dtype="int64")
-            starts = start + np.cumsum(lengths) - lengths
-            start += int(lengths.sum())
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64").to_numpy(),
-                    "part": batch["part"].to_numpy(),
-                    "part_start": starts,
-                    "n_tokens": lengths,
-                    "tokens": ids,
-                }
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = [encode(x) + end for x in batch.column("text").to_pylist()]
+                lengths = np.asarray([len(x) // 4 for x in ids], dtype="int64")
+                ends = np.cumsum(lengths)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, ends).astype("int32")), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                )
+                columns = [batch.column("doc_id"), batch.column("part"), pa.array(start + ends - lengths), pa.array(lengths), lists]
+                start += int(ends[-1])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "tokens"])
 
     schema = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
     ordered = (
@@ -64,7 +63,7 @@ def write_tokens(
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     (
-        mapped(ordered, encoded, schema)
+        mapped_arrow(ordered, encoded, schema)
         .write.mode("errorifexists")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
@@ -90,19 +89,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens (counted from the ids), ids_crc32 of the ids as little-endian 32-bit integers."""
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.asarray(x, dtype="<u4") for x in batch["tokens"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64").to_numpy(),
-                    "start": batch["start"].to_numpy(),
-                    "n_tokens": np.asarray([len(x) for x in ids], dtype="int64"),
-                    "ids_crc32": np.asarray([zlib.crc32(x.tobytes()) for x in ids], dtype="int64"),
-                }
-            )
-
-    return mapped(
+            lists = batch.column("tokens")
+            values = lists.values.to_numpy()
+            bounds = lists.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b].astype("<i4", copy=False)) for a, b in zip(bounds[:-1], bounds[1:])]
+            columns = [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(bounds).astype("int64")), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return mapped_arrow(
         tokens.select("doc_id", "start", "tokens"), summed, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -46,6 +46,8 @@ def failed_lines(lines: list[str], words: list[list[str]]) -> list[str | None]:
         if tokens:
             if not _LETTER.search(line):
                 rule = "punctuation"
+            elif _NAVIGATION.search(line) and len(tokens) <= 30:
+                rule = "navigation"
             elif len(_SYMBOL.findall(line)) > Limits.symbol_share * len(tokens) and (
                 sum(1 for t in tokens if _SYMBOL.search(t)) > Limits.symbol_share * len(tokens)
             ):
@@ -54,8 +56,6 @@ def failed_lines(lines: list[str], words: list[list[str]]) -> list[str | None]:
                 rule = "punctuation"
             elif len(tokens) >= 6 and 2 * sum(a == b for a, b in zip(tokens, tokens[1:])) > len(tokens):
                 rule = "boilerplate"  # a word said again and again
-            elif _NAVIGATION.search(line) and len(tokens) <= 30:
-                rule = "navigation"
             elif len(tokens) <= 30 and _BOILERPLATE.search(line):
                 rule = "boilerplate"
         out.append(rule)

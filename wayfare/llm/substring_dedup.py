@@ -36,7 +36,7 @@ from wayfare.session import written
 
 LENGTH = 200
 GRAM = 40
-CHUNK = 1 << 20  # bytes worked on at a time; window numbers need 24 bits
+CHUNK = 1 << 18  # bytes worked on at a time; window numbers need 24 bits
 RUN_ROWS = 40_000  # segments that a task sorts at a time, rounded up to whole grams
 MAX_SEGMENTS = 20_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -240,7 +240,7 @@ def _windows(length: int):
     """Segments of hot grams -> every window with a 128-bit name."""
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024):
             parts = batch["part"].tolist()
             data = np.frombuffer(b"".join(parts), dtype=np.uint8)
             sizes, nw = np.array([len(x) for x in parts]), batch["nw"].to_numpy().astype(np.int64)
@@ -334,7 +334,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         mixed.groupBy("gram", "segment").agg(F.count("*").alias("n"), place).select("gram", "segment", "n", "p.*"),
         "segments",
     )
-    again = mixed.join(named.filter("n > 1").select("gram", "segment"), ["gram", "segment"], "left_semi")
+    twice_named = written(named.filter("n > 1").select("gram", "segment"), "repeated-segments")
+    again = mixed.join(twice_named, ["gram", "segment"], "left_semi")
     counted = again.select("k1", "k2", "lo", "nw")
 
     open_grams = named.groupBy("gram").agg(F.count("*").alias("segments"), F.min("n").alias("least"))

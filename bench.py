@@ -28,8 +28,6 @@ TABLES = [
     "fct_product_performance",
     "ml_cart_sessions",
 ]
-# Iterative fits: their time is optimizer rounds, not data work. BENCH_FITS=1 adds them.
-FITS = ["fit_logistic", "fit_gbt", "leakage_demo"]
 
 
 def timed(action) -> float:
@@ -50,8 +48,6 @@ def main() -> None:
         seconds[f"build:{name}"] = timed(lambda name=name: warehouse[name])
     wanted = os.environ.get("BENCH_QUERIES", "").split()
     for name, query in QUERIES.items():
-        if name in FITS and not os.environ.get("BENCH_FITS"):
-            continue
         if wanted and name not in wanted:
             continue
         seconds[name] = timed(lambda query=query: query(spark, sf_dir).write.format("noop").mode("overwrite").save())

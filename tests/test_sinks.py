@@ -90,3 +90,19 @@ def test_constraints_see_violations(marts):
     for rule in ("strict_implies_attained", "fct_session_not_null", "fct_session_unique", "product_in_dimension"):
         assert counts[rule] > 0, rule
     assert counts["dim_product_not_null"] == 0
+
+
+@pytest.mark.parametrize(
+    "table,change,rule",
+    [
+        ("fct_session", lambda df: df.withColumn("strict_purchase", F.lit(True)).withColumn("reached_purchase", F.lit(False)), "strict_implies_attained"),
+        ("fct_session", lambda df: df.withColumn("cart_abandoned", F.lit(True)).withColumn("reached_add", F.lit(False)), "abandoned_implies_add"),
+        ("fct_session", lambda df: df.unionByName(df), "fct_session_unique"),
+        ("dim_product", lambda df: df.unionByName(df), "dim_product_unique"),
+        ("fct_product_performance", lambda df: df.unionByName(df), "fct_product_performance_unique"),
+        ("dim_product", lambda df: df.limit(1), "product_in_dimension"),
+    ],
+)
+def test_broken_rules_stop_the_load(marts, tmp_path, table, change, rule):
+    with pytest.raises(RuntimeError, match=rule):
+        sinks.load_serving({**marts, table: change(marts[table])}, str(tmp_path / "serving"))

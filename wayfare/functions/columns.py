@@ -36,7 +36,7 @@ def blank_to_null(column: Column | str) -> Column:
 def parse_list(column: Column | str) -> Column:
     """`['a', 'b']` -> array('a', 'b'). A blank literal is NULL and `[]` is the empty array."""
     text = blank_to_null(column)
-    bare = F.regexp_replace(text, r"[\[\]' ]", "")
+    bare = F.translate(text, "[]' ", "")
     empty = F.array().cast("array<string>")
     return F.when(text.isNull(), None).when(bare == "", empty).otherwise(F.split(bare, ","))
 
@@ -44,7 +44,7 @@ def parse_list(column: Column | str) -> Column:
 def parse_vector(column: Column | str) -> Column:
     """`[0.1, -0.2]` -> array<double>; blank is NULL. A bad number raises under ANSI."""
     text = blank_to_null(column)
-    bare = F.regexp_replace(text, r"[\[\] ]", "")
+    bare = F.translate(text, "[] ", "")
     empty = F.array().cast("array<double>")
     return (
         F.when(text.isNull(), None)

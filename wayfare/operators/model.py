@@ -35,7 +35,6 @@ WHOLE_SESSION = [
     "n_searches", "n_search_clicks", "day_of_week", "hour_of_day",
 ]
 INFREQUENT = "(infrequent)"
-MAX_LEVELS = 10_000
 
 
 def category_pseudonym(carts: DataFrame, slices: int | None = None) -> DataFrame:
@@ -125,8 +124,6 @@ def prepared(carts: DataFrame, slices: int | None = None) -> DataFrame:
     train = split.filter("is_train")
     levels = category_levels(train, slices)
     width = levels.agg(F.coalesce(F.max("level_index"), F.lit(0))).first()[0] + 1
-    if width > MAX_LEVELS:
-        raise ValueError(f"{width} frequent categories: too many for one-hot columns")
     scaled = impute_scale(split, numeric_statistics(train, NUMERIC, slices), NUMERIC)
     # An unseen category gets the extra index `width`; dropLast leaves its vector empty.
     encoded = encode_category(scaled, levels).withColumn(

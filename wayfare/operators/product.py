@@ -178,12 +178,12 @@ def demand_concentration(products: DataFrame, slices: int | None = None) -> Data
     return run.agg(*shares)
 
 
-def lorenz_curve(products: DataFrame, slices: int | None = None) -> DataFrame:
-    """Cumulative share of views over SKUs by falling views: the first 50 and each 200th point."""
+def lorenz_curve(products: DataFrame, slices: int | None = None, step: int | None = LORENZ_STEP) -> DataFrame:
+    """Cumulative share of views over SKUs by falling views: the first 50 points and each `step`th; None gives all."""
     marked = products.select("product_sku_hash", "sessions_viewed", F.lit(1).cast("bigint").alias("one"))
     order = [F.col("sessions_viewed").desc(), F.col("product_sku_hash")]
     run = running_totals(marked, [], order, {"one": "rn", "sessions_viewed": "cume"}, slices)
-    kept = run.filter((F.col("rn") <= LORENZ_HEAD) | (F.col("rn") % LORENZ_STEP == 0))
+    kept = run if step is None else run.filter((F.col("rn") <= LORENZ_HEAD) | (F.col("rn") % step == 0))
     return kept.select(
         "rn",
         c.rate(F.col("rn"), F.col("rn_total")).alias("pct_skus"),

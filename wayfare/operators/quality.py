@@ -355,20 +355,18 @@ def reconcile(raw: DataFrame, staged: DataFrame) -> DataFrame:
     Built from groupings only, independent of the windows that staging uses.
     """
     usable = F.col(SESSION).isNotNull() & F.col(TS).isNotNull()
-    deduped = dedup_events(usable_events(raw))
-    instants = (
-        deduped.filter(F.col("hashed_url").isNotNull())
-        .groupBy(*INSTANT)
-        .agg(
-            F.count_if(F.col("event_type") == "pageview").alias("pageviews"),
-            F.count_if(F.col("product_action") == "detail").alias("details"),
-        )
-    )
-    paired = F.when(F.col("details") > 0, F.col("pageviews")).otherwise(_long(0))
+    # One chain: distinct rows, then instants that carry copies and pairs, then totals.
+    instants = dedup_events(usable_events(raw)).groupBy(*INSTANT).agg(
+        F.sum(F.col("raw_row_count") - 1).alias("copies"),
+        F.count_if(F.col("event_type") == "pageview").alias("pageviews"),
+        F.count_if(F.col("product_action") == "detail").alias("details"),
+    )
+    paired = F.when(F.col("hashed_url").isNotNull() & (F.col("details") > 0), F.col("pageviews")).otherwise(_long(0))
     row = one_row(
         raw.agg(_count().alias("raw"), F.count_if(~usable).alias("unusable")),
-        deduped.agg(F.coalesce(F.sum(F.col("raw_row_count") - 1), _long(0)).alias("copies")),
-        instants.agg(F.coalesce(F.sum(paired), _long(0)).alias("paired")),
+        instants.agg(
+            F.coalesce(F.sum("copies"), _long(0)).alias("copies"), F.coalesce(F.sum(paired), _long(0)).alias("paired")
+        ),
         staged.agg(_count().alias("staged")),
     )
     expected = F.col("raw") - F.col("unusable") - F.col("copies") - F.col("paired")

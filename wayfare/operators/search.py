@@ -73,8 +73,8 @@ def position_bias(searches: DataFrame) -> DataFrame:
     return bands.withColumn("pct", c.percent(F.col("clicks"), total)).orderBy("first_position")
 
 
-def position_curve(searches: DataFrame) -> DataFrame:
-    """Share and cumulative share of all valid clicks for the first 20 positions."""
+def position_curve(searches: DataFrame, last: int | None = CURVE_POSITIONS) -> DataFrame:
+    """Share and cumulative share of all valid clicks by position, up to `last`; None gives the full curve."""
     # One row per list position: both windows see at most as many rows as the longest list has places.
     every = Window.partitionBy(F.lit(0))
     upto = every.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,7 +84,8 @@ def position_curve(searches: DataFrame) -> DataFrame:
         c.percent(F.col("clicks"), F.sum("clicks").over(every)).alias("share_pct"),
         c.percent(F.sum("clicks").over(upto), F.sum("clicks").over(every)).alias("cumulative_pct"),
     )
-    return shares.filter(F.col("position") <= CURVE_POSITIONS).orderBy("position")
+    shown = shares if last is None else shares.filter(F.col("position") <= last)
+    return shown.orderBy("position")
 
 
 def click_rank_stats(searches: DataFrame) -> DataFrame:
@@ -109,8 +110,9 @@ def click_outcome(searches: DataFrame, staged: DataFrame) -> DataFrame:
         .select(SESSION, F.explode("valid_clicked_skus").alias("product_sku_hash"))
         .distinct()
     )
+    stages = in_stage("product_detail") | in_stage("add_to_cart") | in_stage("purchase")
     seen = (
-        staged.filter(F.col("product_sku_hash").isNotNull())
+        staged.filter(F.col("product_sku_hash").isNotNull() & F.col("first_of_stage_sku") & stages)
         .groupBy(*pair)
         .agg(
             F.max(in_stage("product_detail")).alias("viewed"),

@@ -22,7 +22,7 @@ from wayfare.operators import (
     quality,
     staging,
 )
-from wayfare.operators.ordered import hot_keys, join_unique, number_rows
+from wayfare.operators.ordered import hot_keys, number_rows
 from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
 from wayfare.plans.warehouse import Warehouse, of_driver_tables
@@ -332,12 +332,11 @@ on_tables(
 
 
 def left_dimension(staged: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Events with the price tier of their SKU; a hot SKU is joined apart."""
+    """Events by the price tier of their SKU; counted by SKU first, so a hot SKU is a few rows when it is joined."""
     sku = ["product_sku_hash"]
-    tiers = dimension.select(*sku, "price_tier")
-    events = staged.select(*sku, "funnel_stage")
-    found = join_unique(events, tiers, sku, "left", hot_keys(events, sku))
-    return found.groupBy("price_tier", "funnel_stage").agg(F.count(F.lit(1)).alias("events"))
+    counted = staged.groupBy(*sku, "funnel_stage").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.join(dimension.select(*sku, "price_tier"), sku, "left")
+    return found.groupBy("price_tier", "funnel_stage").agg(F.sum("n").alias("events"))
 
 
 def with_activity(dimension: DataFrame, products: DataFrame) -> DataFrame:

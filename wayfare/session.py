@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not context.master.startswith("local"):
+            if not context.master.partition("[")[0] == "local":  # a local cluster has executors of its own
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="wayfare-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(named)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.operators.marts import PRODUCT_COLUMNS, SESSION_COLUMNS
+from wayfare.operators.quality import constraint_violations
 
 TEXT, LONG, DOUBLE, FLAG, TIME = (
     T.StringType(),
@@ -112,10 +113,15 @@ def read_export(spark: SparkSession, contract: T.StructType, path: str, header:
 def load_serving(marts: dict[str, DataFrame], target: str, jdbc: dict[str, str] | None = None) -> DataFrame:
     """Replace the serving copy of the three marts, dimension first; one row per table.
 
+    Marts that break a rule of the serving schema are not loaded: the call raises and names the rules.
     Each table is written as Parquet under `target`, or through JDBC when connection options are given. A copy
     whose row count differs from its source raises: a partial load is worse than none.
     """
     spark = next(iter(marts.values())).sparkSession
+    rules = constraint_violations(marts["fct_session"], marts["fct_product_performance"], marts["dim_product"])
+    broken = {r["rule"]: r["violations"] for r in rules.filter("violations > 0").collect()}  # one row per rule
+    if broken:
+        raise RuntimeError(f"not loaded, rules are broken: {broken}")
     report = None
     for name, contract in CONTRACTS.items():
         source = enforce_contract(marts[name], contract, name)

@@ -5,8 +5,9 @@ sorted by their number of one bits, and a pair of tiles whose bit counts differ
 because every differing bit moves the count by one at most. Spark deals the work out by the pigeonhole principle:
 with a radius r, two near fingerprints agree on at least one of r + 1 parts of their bits, so each distinct
 fingerprint goes to r + 1 groups and all tiles of a group share that part. A group with more than `max_group`
-fingerprints is dealt again by r + 1 parts of its remaining bits, which is exact for the same reason. A task returns
-the tree of its links (each fingerprint with the smallest one it reaches), never pairs; the trees are joined by
+fingerprints is dealt again by r + 1 parts of its remaining bits, which is exact for the same reason, until none is
+larger; so no task compares an unbounded group, however many near copies of one text there are. A task returns the
+tree of its links (each fingerprint with the smallest one it reaches), never pairs; the trees are joined by
 connected components.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,38 +141,51 @@ def _parts(bits: list[int], n: int) -> list[list[int]]:
     return out
 
 
-def _mask(bits: list[int]) -> Column:
-    value = sum(1 << b for b in bits)
-    return F.lit(value - (1 << 64) if value >= 1 << 63 else value).cast("long")
+def _agreed(path: int, n: int) -> list[int]:
+    """The bits that a group agrees on. Its path is a one and then, in base n, the part chosen at each dealing."""
+    steps = []
+    while path > 1:
+        path, step = divmod(path, n)
+        steps.append(step)
+    bits: list[int] = []
+    for step in reversed(steps):
+        bits += _parts([b for b in range(BITS) if b not in bits], n)[step]
+    return bits
 
 
-def _dealt(fps: DataFrame, groups: list[tuple[int, list[int]]]) -> DataFrame:
-    """A row (g1, g2, fp) for each group definition: its number and the bits that the group agrees on."""
-    of = F.array(
-        *[F.struct(F.lit(k).alias("g1"), F.col("fp").bitwiseAND(_mask(bits)).alias("g2")) for k, bits in groups]
-    )
-    return fps.select("fp", F.explode(of).alias("g")).select("g.g1", "g.g2", "fp")
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (g1, fp) of groups with path g1 -> rows (g1, g2, fp) of the n finer groups that each belongs to."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            paths, fps = batch["g1"].to_numpy(), batch["fp"].to_numpy()
+            for path in np.unique(paths).tolist():
+                here = fps[paths == path]
+                for step in range(n):
+                    mask = np.uint64(sum(1 << b for b in _agreed(path * n + step, n)))
+                    yield pd.DataFrame({"g1": path * n + step, "g2": (here.view(np.uint64) & mask).view(np.int64), "fp": here})
+
+    return mapped(rows, deal, "g1 long, g2 long, fp long")
 
 
 def near_links(fps: DataFrame, radius: int = 2, max_group: int = MAX_GROUP) -> DataFrame:
-    """Links (u, v) that connect exactly the distinct fingerprints of `fps` within `radius` bits of one another."""
-    fps = fps.select("fp").distinct()
-    first = list(enumerate(_parts(list(range(BITS)), radius + 1)))
-    dealt = written(_dealt(fps, first), "simhash-groups")
-    # Written, so that the joins read two plain shuffles, which Spark can split where a group is hot.
-    sizes = written(dealt.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
-    small = dealt.join(sizes.filter(F.col("n") <= max_group), ["g1", "g2"], "left_semi")
-    large = dealt.join(sizes.filter(F.col("n") > max_group), ["g1", "g2"], "left_semi")
-    parts = [small]
-    for k, bits in first:  # dealt again by the bits that the group does not share
-        rest = [b for b in range(BITS) if b not in bits]
-        finer = [(100 * (k + 1) + i, bits + more) for i, more in enumerate(_parts(rest, radius + 1))]
-        parts.append(_dealt(large.filter(F.col("g1") == k).select("fp"), finer))
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionAll(more)
-    # Groups of one are no work; they are common among the finer groups, and cost a comparison of keys only.
-    grouped = rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    """Links (u, v) that connect exactly the distinct fingerprints of `fps` within `radius` bits of one another.
+
+    Dealing ends by itself: a group that agrees on all but b bits has at most 2**b distinct fingerprints.
+    """
+    max_group = max(max_group, 1 << (radius + 1))  # a group that agrees on all but radius bits is never larger
+    pending, small = fps.select(F.lit(1).cast("long").alias("g1"), "fp").distinct(), None
+    while True:
+        dealt = written(_dealt(pending, radius + 1), "simhash-groups")
+        # Written, so that the joins read two plain shuffles, which Spark can split where a group is hot.
+        sizes = written(dealt.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
+        part = dealt.join(sizes.filter(F.col("n") <= max_group), ["g1", "g2"], "left_semi")
+        small = part if small is None else small.unionAll(part)
+        large = sizes.filter(F.col("n") > max_group)
+        if large.isEmpty():
+            break
+        pending = dealt.join(large, ["g1", "g2"], "left_semi").select("g1", "fp")
+    grouped = small.repartition("g1", "g2").sortWithinPartitions("g1", "g2")
     return mapped(grouped, _links_in_groups(radius), "u long, v long")
 
 

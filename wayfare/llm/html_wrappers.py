@@ -6,8 +6,9 @@ optional group, so the result has neither alternatives nor copies of the pages:
 slots are then measured over all pages of the host, and a page's main text is read from the slots that hold the
 article: those below an article or main element, or else those of the region with the most running text.
 
-Pages are reduced to streams where they lie; equal streams of a host are counted before the shuffle, and wrappers of
-shares of a host's streams are aligned before those of whole hosts, so a host with a third of all pages is no hot group.
+Pages are reduced to streams where they lie, and equal streams of a host are counted before the shuffle. A task aligns
+about `ALIGNED` streams; the wrappers of such shares are aligned in the next round, until a host has one, so neither a
+host with a third of all pages nor one with very many different streams is a hot group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from wayfare.llm.common import let_workers_import, mapped, slices
 from wayfare.llm.url_templates import address
 from wayfare.session import written
 
-SHARES = 16  # of a host's streams, each aligned by a task of its own
+ALIGNED = 64  # streams of a host that are aligned at a time, about
 COPIED = 0.9  # a slot outside the article whose commonest text is on this share of pages belongs to the template
 MIN_PAGES = 5  # pages of a host from which on a text that is always the same says something
 
@@ -366,14 +367,25 @@ def _align_all(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [as_text(wrapper or [])], "n": [int(rows["n"].sum())]})
 
 
+def _aligned_hosts(streams: DataFrame, size: int = ALIGNED) -> DataFrame:
+    """(host, wrapper, n): streams are aligned in shares of about `size`, then the shares' wrappers, round by round."""
+    schema = "host string, wrapper string, n long"
+    while True:
+        shares = streams.groupBy("host").agg(F.ceil(F.count("*") / size).alias("shares")).filter("shares > 1")
+        shares = written(shares, "shares")
+        share = F.pmod(F.xxhash64("wrapper"), F.coalesce("shares", F.lit(1)))
+        dealt = streams.join(shares, "host", "left").withColumn("share", share).groupBy("host", "share")
+        streams = written(dealt.applyInPandas(lambda rows: _align_all(rows), schema), "wrappers")
+        if shares.isEmpty():
+            return streams
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, n, article slots) from pages (host, html)."""
     let_workers_import(pages.sparkSession)
     schema = "host string, wrapper string, n long"
     streams = mapped(pages, _streams, schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
-    streams = written(streams.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(SHARES)).cast("int")), "streams")
-    shares = streams.groupBy("host", "share").applyInPandas(lambda rows: _align_all(rows), schema)
-    whole = written(shares.groupBy("host").applyInPandas(lambda rows: _align_all(rows), schema), "wrappers")
+    whole = _aligned_hosts(written(streams, "streams"))
 
     # Slots are measured where the wrapper has no article; elsewhere its paths say enough.
     hosts = whole.filter(~F.col("wrapper").rlike("<(article|main)>")).select("host")

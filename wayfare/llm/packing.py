@@ -27,7 +27,8 @@ from wayfare.llm.common import mapped, slices
 from wayfare.llm.tokens import encoder
 from wayfare.session import written
 
-SALTS = 64
+SALTS = 64  # groups in which the pieces of a length are numbered, at least
+RANKED = 50_000  # pieces in such a group, about, where a length has more than SALTS times as many
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in order of placement
 
 
@@ -206,10 +207,14 @@ def pack(
     table gives no rows. Only doc_id and text are read, so other columns cannot clash. `with_ids` keeps the ids.
     """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    cut = written(pieces(docs, tokenizer_path, capacity, separator, with_ids).withColumn("salt", salt), "pieces")
+    cut = written(pieces(docs, tokenizer_path, capacity, separator, with_ids), "pieces")
+    by_length = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # One row per length, so at most `capacity`; a common length is numbered in as many groups as its pieces need.
+    salts = [(length, max(SALTS, -(-n // RANKED))) for length, n in by_length.items()]
+    salts = F.broadcast(spark.createDataFrame(salts, "length long, salts long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    cut = cut.join(salts, "length").withColumn("salt", salt).drop("salts")
     groups = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    by_length = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(by_length, capacity))  # at most a few thousand rows, see above
 
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -151,6 +151,16 @@ def test_packing_of_texts(spark):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
 
 
+def test_common_lengths_are_numbered_in_more_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 2)
+    monkeypatch.setattr(packing, "RANKED", 3)
+    table = spark.createDataFrame([(i, "one two" if i % 5 else "three " * 900) for i in range(200)], "doc_id long, text string")
+    rows = packing.pack(table, word_bpe_path()).toPandas()
+    assert len(rows) == 200 and rows.groupby("sequence_id").length.sum().max() <= 2048
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+
+
 def test_token_files_hold_the_ids(spark):
     rows = token_files.encode_corpus(odd(spark), word_bpe_path()).toPandas().sort_values("start")
     assert rows.start.tolist() == [0, *rows.n_tokens.cumsum().tolist()[:-1]]
@@ -241,6 +251,15 @@ def test_hot_groups_are_dealt_again(spark):
     assert found[0] == found[1] and len(found[0]) >= 200
 
 
+def test_dealing_ends_where_all_bits_are_shared(spark):
+    """All settings of nine bits: the groups stay larger than the limit through several dealings."""
+    table = spark.createDataFrame([(sum((v >> k & 1) << 7 * k for k in range(9)),) for v in range(512)], "fp long")
+    for radius in (1, 2):
+        edges = components.components(simhash.near_links(table, radius, 1)).collect()
+        assert sorted(r["node"] for r in edges) == sorted(r["fp"] for r in table.collect())
+        assert {r["root"] for r in edges} == {0}
+
+
 def test_one_of_each_keeps_columns(spark):
     table = odd(spark)
     out = simhash.one_of_each(table)
@@ -394,6 +413,18 @@ def test_wrappers_have_optional_and_repeated_groups():
     assert html_wrappers.from_text(html_wrappers.as_text(both)) == both
 
 
+def test_many_streams_of_a_host_are_aligned_in_rounds(spark):
+    rng = random.Random(8)
+    names = "h1 h2 p ul table section".split()
+    streams = {"".join(f"<{x}>#</{x}>" for x in rng.choices(names, k=rng.randint(1, 6))) for _ in range(150)}
+    rows = [("a", s, 2) for s in sorted(streams)] + [("b", "<p>#</p>", 1)]
+    table = spark.createDataFrame(rows, "host string, wrapper string, n long")
+    for size in (4, 1000):
+        found = {r["host"]: r for r in html_wrappers._aligned_hosts(table, size).collect()}
+        assert set(found) == {"a", "b"} and found["a"]["n"] == 2 * len(streams) and found["b"]["wrapper"] == "<p>#</p>"
+        assert set(html_wrappers.slots(html_wrappers.from_text(found["a"]["wrapper"]))) == set(names)
+
+
 # Language model and toxicity
 
 

@@ -15,7 +15,6 @@ from wayfare.llm.common import mapped, slices
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
 _SHOUT = re.compile(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")
 _LETTER = re.compile(r"[^\W_]")
 _NAVIGATION = re.compile(r"(?:\||»|›|>|•|·)\s*\S+.*(?:\||»|›|>|•|·)")

@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) ->
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id that is repeated is one row
     fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10))
     rows = written(rows.withColumn("toxic", F.least(F.col("toxic"), F.lit(1))).withColumn("fold", fold), "labelled")
     model = Model(scores=token_scores(_token_counts(rows.filter("fold < 7"))))

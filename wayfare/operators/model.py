@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.metrics import evaluate
 from wayfare.operators.ordered import hot_keys, join_unique, number_sliced, quantiles, running_totals
 from wayfare.operators.staging import SESSION
+from wayfare.operators.tables import stacked
 from wayfare.session import written
 
 # Fixed values of the modelling task.
@@ -65,21 +66,29 @@ def temporal_split(
 def numeric_statistics(train: DataFrame, names: list[str], slices: int | None = None) -> DataFrame:
     """Per feature: exact median, then mean and population deviation after filling NULLs with it.
 
-    One row per feature. The features are stacked, so one distributed pass serves all medians.
+    One row per feature. Only the medians need the features stacked; as literals they leave the rest to one plain
+    aggregate over the rows as they are.
     """
     stack = F.array(
         *[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names]
     )
     long = train.select(F.inline(stack))
     medians = quantiles(long, "value", {"median": 0.5}, by=["feature"], slices=slices)
-    # One row per feature: bounded by the length of the feature list.
-    filled = long.join(F.broadcast(medians), "feature", "left").withColumn(
-        "value", F.coalesce("value", "median")
+    known = {r["feature"]: r["median"] for r in medians.collect()}  # one number per feature
+    median = {n: F.lit(known.get(n)).cast("double") for n in names}
+    filled = {n: F.coalesce(F.col(n).cast("double"), median[n]) for n in names}
+    moments = [(F.avg(v).alias(f"mean_{n}"), F.stddev_pop(v).alias(f"deviation_{n}")) for n, v in filled.items()]
+    return stacked(
+        train.agg(*[m for pair in moments for m in pair]),
+        ["feature", "median", "mean", "deviation"],
+        [(F.lit(n), median[n], F.col(f"mean_{n}"), F.col(f"deviation_{n}")) for n in names],
     )
-    return filled.groupBy("feature").agg(
-        F.max("median").alias("median"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("deviation"),
+
+
+def class_means(carts: DataFrame) -> DataFrame:
+    """Means of the features among carts with and without a purchase: two rows."""
+    return carts.groupBy("purchased").agg(
+        F.count(F.lit(1)).alias("carts"), *[F.round(F.avg(F.col(n).cast("double")), 6).alias(n) for n in NUMERIC]
     )
 
 
@@ -182,6 +191,62 @@ def fit_gbt(rows: DataFrame, rounds: int = 300):
     ).fit(train)
 
 
+def _facts(model, rows: DataFrame) -> DataFrame:
+    """Sizes and positives of both parts, the mean training score per class, and the range of all scores."""
+    train, positive = F.col("is_train"), F.col("label") == 1.0
+    scored = model.transform(rows).select("is_train", "label", vector_to_array("probability")[1].alias("score"))
+    return scored.agg(
+        F.count_if(train).alias("n_train"),
+        F.count_if(train & positive).alias("train_positives"),
+        F.count_if(~train).alias("n_rows"),
+        F.count_if(~train & positive).alias("positives"),
+        F.avg(F.when(train & positive, F.col("score"))).alias("of_positives"),
+        F.avg(F.when(train & ~positive, F.col("score"))).alias("of_negatives"),
+        ((F.min("score") >= 0.0) & (F.max("score") <= 1.0)).alias("in_range"),
+    )
+
+
+SIZES = ("n_train", "train_positives", "n_rows", "positives")
+
+
+def check_logistic(carts: DataFrame, slices: int | None = None) -> DataFrame:
+    """What must hold of the fit whatever the optimizer's digits are.
+
+    With balanced classes the intercept, which has no penalty, is settled where the weighted mean score is one half.
+    """
+    rows = prepared(carts, slices)
+    off = (F.col("of_positives") + F.col("of_negatives")) / 2 - 0.5
+    settled = F.coalesce(F.abs(off) < 1e-3, F.lit(False)).alias("settled")
+    weight = F.round(F.col("n_train") / (2 * F.col("train_positives")), 9).alias("weight_of_positives")
+    return _facts(fit_logistic(rows), rows).select(*SIZES, weight, settled, "in_range")
+
+
+def check_gbt(carts: DataFrame, rounds: int = 300, slices: int | None = None) -> DataFrame:
+    """Sizes, no more trees than rounds, scores that rank training positives above negatives on average."""
+    rows = prepared(carts, slices)
+    fitted = fit_gbt(rows, rounds)
+    learned = (F.col("of_positives") > F.col("of_negatives")).alias("learned")
+    few = F.lit(1 <= fitted.getNumTrees <= rounds).alias("trees_within_rounds")
+    return _facts(fitted, rows).select(*SIZES, few, learned, "in_range")
+
+
+def check_leakage(sessions: DataFrame, slices: int | None = None) -> DataFrame:
+    """The event total gives the label away, and without it the model ranks worse."""
+    total = F.col("model") == "Leaky, with the event total"
+    row = leakage_demo(sessions, slices).agg(
+        F.max("n_rows").alias("n_rows"),
+        F.max(F.round(F.col("n_rows") * F.col("base_rate")).cast("bigint")).alias("positives"),
+        F.max(F.when(total, F.col("roc_auc"))).alias("with_total"),
+        F.max(F.when(~total, F.col("roc_auc"))).alias("without"),
+    )
+    return row.select(
+        "n_rows",
+        "positives",
+        (F.col("with_total") > 0.99).alias("given_away"),
+        (F.col("without") < F.col("with_total")).alias("less_without_total"),
+    )
+
+
 def score(model, rows: DataFrame) -> DataFrame:
     """(label, score) of the test rows."""
     tested = model.transform(rows.filter(~F.col("is_train")))

@@ -424,5 +424,9 @@ on_tables("roc_curve", lambda t: metrics.roc_curve(scored_carts(t)), "ml_cart_se
 on_tables("pr_curve", lambda t: metrics.pr_curve(scored_carts(t)), "ml_cart_sessions")
 
 
-for _name in ("fit_logistic", "fit_gbt", "leakage_demo", "accounting_identity"):
+for _name in ("fit_logistic", "fit_gbt", "leakage_demo", "accounting_identity", "class_means"):
     on_tables(_name, REPORTS["purchase_intent"][_name][0], *REPORTS["purchase_intent"][_name][1])
+
+on_tables("check_logistic", model.check_logistic, "ml_cart_sessions")
+on_tables("check_gbt", model.check_gbt, "ml_cart_sessions")
+on_tables("check_leakage", model.check_leakage, "fct_session")

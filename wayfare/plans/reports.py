@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from wayfare.operators import funnel, metrics, model, product, quality, search
+from wayfare.operators import findings, funnel, metrics, model, product, quality, search
 
 Entry = tuple[Callable[..., DataFrame], tuple[str, ...]]
 
@@ -66,6 +66,7 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "hourly_pattern": (funnel.by_hour, _SESSIONS),
         "hourly_extremes": (funnel.hourly_extremes, _SESSIONS),
         "v_funnel": (funnel.funnel_view, _SESSIONS),
+        "funnel_findings": (findings.funnel_findings, _SESSIONS),
     },
     "search": {
         "search_volume": (search.volume, _QUERIES),
@@ -74,6 +75,7 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "click_rank_stats": (search.click_rank_stats, _QUERIES),
         "search_click_outcome": (search.click_outcome, ("stg_search", "stg_browsing")),
         "zero_result_impact": (search.zero_result_impact, _SESSIONS),
+        "search_findings": (findings.search_findings, ("stg_search", "stg_browsing", "fct_session")),
     },
     "product": {
         "catalog_coverage": (product.coverage, ("dim_product", "fct_product_performance")),
@@ -87,6 +89,7 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "demand_concentration": (product.demand_concentration, _PRODUCTS),
         "lorenz_curve": (product.lorenz_curve, _PRODUCTS),
         "v_category_performance": (product.category_view, ("fct_product_performance", "dim_product")),
+        "product_findings": (findings.product_findings, _PRODUCTS),
     },
     "purchase_intent": {
         "baseline": (baseline_report, _CARTS),
@@ -94,6 +97,7 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "fit_gbt": (gbt_report, _CARTS),
         "leakage_demo": (model.leakage_demo, _SESSIONS),
         "accounting_identity": (model.accounting_identity, _SESSIONS),
+        "class_means": (model.class_means, _CARTS),
     },
 }
 

@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from wayfare.operators import marts, quality, staging
+from wayfare.plans.queries import QUERIES
 from wayfare.plans.warehouse import of_driver_tables
 
 FITS = {"fit_gbt", "fit_logistic", "leakage_demo"}
@@ -65,10 +65,10 @@ def test_cart_features_stay_hash_aggregated(warehouse):
     assert "PushedFilters: [IsNotNull(cart_seq)" in text
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - FITS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
 def test_no_costly_operator(spark, sf_dir, name):
     """No pairing without a key, no Python, and only partial aggregates meet in a single task."""
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups"):
         assert costly not in text, name
     lines = text.splitlines()

@@ -10,7 +10,7 @@ from wayfare.operators import marts, quality, staging
 from wayfare.plans.queries import QUERIES
 from wayfare.plans.warehouse import of_driver_tables
 
-FITS = {"fit_gbt", "fit_logistic", "leakage_demo"}
+FITS = {"fit_gbt", "fit_logistic", "fitted_curves", "leakage_demo", "model_comparison", "model_findings", "check_models"}
 
 
 def plan(df) -> str:

@@ -18,7 +18,7 @@ def test_equal_to_sql(spark, duck, sf_dir, name):
 
 
 def test_only_fits_have_no_sql():
-    assert FITS == ["fit_gbt", "fit_logistic", "leakage_demo"]
+    assert FITS == ["fit_gbt", "fit_logistic", "fitted_curves", "leakage_demo", "model_comparison", "model_findings"]
 
 
 def test_comparison_sees_a_wrong_value(spark, duck, sf_dir):
@@ -43,3 +43,23 @@ def test_honest_models_score_the_test_rows(spark, sf_dir, name):
     carts = QUERIES["temporal_split"](spark, sf_dir)
     assert row["n_rows"] == carts.filter("not is_train").count()
     assert 0.0 <= row["roc_auc"] <= 1.0 and 0.0 <= row["brier"] <= 1.0
+
+
+def test_comparison_curves_and_findings(spark, sf_dir):
+    table = {r["model"]: r for r in QUERIES["model_comparison"](spark, sf_dir).collect()}
+    best = [name for name, r in table.items() if r["best"]]
+    honest = ("Logistic regression", "Gradient boosting")
+    assert len(table) == 5 and len(best) == 1 and best[0] in honest
+    assert table[best[0]]["pr_auc"] == max(table[name]["pr_auc"] for name in honest)
+
+    found = {r["finding"]: r for r in QUERIES["model_findings"](spark, sf_dir).collect()}
+    assert found["best_model"]["value"] == table[best[0]]["pr_auc"]
+    assert found["label_given_away"]["value"] == table["Leaky, with the event total"]["roc_auc"]
+    assert found["label_given_away"]["against"] == table[best[0]]["roc_auc"]
+
+    points = QUERIES["fitted_curves"](spark, sf_dir).collect()
+    assert {(p["model"], p["curve"]) for p in points} == {(m, c) for m in table if m != "Baseline" for c in ("roc", "pr")}
+    for name in table.keys() - {"Baseline"}:  # the area under the points, from (0, 0) on, is the published ROC-AUC
+        line = sorted([(0.0, 0.0), *((p["x"], p["y"]) for p in points if p["model"] == name and p["curve"] == "roc")])
+        area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(line, line[1:]))
+        assert area == pytest.approx(table[name]["roc_auc"])

@@ -1,4 +1,4 @@
-"""Measured findings of the funnel, search and product reports: one row per finding, from one-row aggregates.
+"""Measured findings of the reports: one row per finding, from one-row aggregates.
 
 `value` is the measure, `against` what it is read against (another rate or a count), both as double.
 """
@@ -15,7 +15,7 @@ from wayfare.operators.tables import one_row, stacked
 Rule = tuple[str, str, Column, Column, str]
 
 
-def _table(row: DataFrame, rules: list[Rule]) -> DataFrame:
+def as_findings(row: DataFrame, rules: list[Rule]) -> DataFrame:
     records = [
         (F.lit(severity), F.lit(key), value.cast("double"), against.cast("double"), F.lit(text))
         for severity, key, value, against, text in rules
@@ -40,7 +40,7 @@ def funnel_findings(sessions: DataFrame) -> DataFrame:
         ("note", "zero_result_conversion", F.col("conv_zero_result"), F.col("conv_search"),
          "conversion of sessions with an empty search; against all that search"),
     ]
-    rows = _table(row, rules)
+    rows = as_findings(row, rules)
     return rows.filter((F.col("finding") != "zero_result_conversion") | ((F.col("value") > 0) & (F.col("against") > 0)))
 
 
@@ -72,7 +72,7 @@ def search_findings(searches: DataFrame, staged: DataFrame, sessions: DataFrame)
         ("note", "zero_result_conversion", F.col("conv_zero"), F.col("conv_clean"),
          "conversion of sessions with an empty search; against those without one"),
     ]
-    return _table(row, rules)
+    return as_findings(row, rules)
 
 
 def product_findings(products: DataFrame) -> DataFrame:
@@ -96,4 +96,4 @@ def product_findings(products: DataFrame) -> DataFrame:
         ("note", "head_of_demand", F.col("top_10_pct"), F.lit(10.0),
          "percent of views on the most viewed SKUs; against their percent of all SKUs"),
     ]
-    return _table(row, rules)
+    return as_findings(row, rules)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
 from wayfare.operators import (
+    comparison,
     features,
     marts,
     metrics,
@@ -424,9 +425,11 @@ on_tables("roc_curve", lambda t: metrics.roc_curve(scored_carts(t)), "ml_cart_se
 on_tables("pr_curve", lambda t: metrics.pr_curve(scored_carts(t)), "ml_cart_sessions")
 
 
-for _name in ("fit_logistic", "fit_gbt", "leakage_demo", "accounting_identity", "class_means"):
-    on_tables(_name, REPORTS["purchase_intent"][_name][0], *REPORTS["purchase_intent"][_name][1])
+for _name, (_operator, _tables) in REPORTS["purchase_intent"].items():
+    if _name != "baseline":  # registered as baseline_score
+        on_tables(_name, _operator, *_tables)
 
 on_tables("check_logistic", model.check_logistic, "ml_cart_sessions")
 on_tables("check_gbt", model.check_gbt, "ml_cart_sessions")
 on_tables("check_leakage", model.check_leakage, "fct_session")
+on_tables("check_models", comparison.check_models, "model_comparison")

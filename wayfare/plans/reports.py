@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from wayfare.operators import findings, funnel, metrics, model, product, quality, search
+from wayfare.operators import comparison, findings, funnel, model, product, quality, search
 
 Entry = tuple[Callable[..., DataFrame], tuple[str, ...]]
 
@@ -15,20 +15,11 @@ _BROWSING, _SEARCH, _CATALOG = ("raw_browsing",), ("raw_search",), ("raw_catalog
 _PROFILE = ("session_profile",)
 _SESSIONS, _QUERIES, _PRODUCTS = ("fct_session",), ("stg_search",), ("fct_product_performance",)
 _CARTS = ("ml_cart_sessions",)
+_SCORES, _COMPARED = ("model_scores",), ("model_comparison",)
 
 
-def baseline_report(carts: DataFrame) -> DataFrame:
-    return metrics.evaluate(model.baseline_scores(carts), "Baseline")
-
-
-def logistic_report(carts: DataFrame) -> DataFrame:
-    data = model.prepared(carts)
-    return metrics.evaluate(model.score(model.fit_logistic(data), data), "Logistic regression")
-
-
-def gbt_report(carts: DataFrame) -> DataFrame:
-    data = model.prepared(carts)
-    return metrics.evaluate(model.score(model.fit_gbt(data), data), "Gradient boosting")
+def _rows(*models: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda table: comparison.rows_of(table, list(models))
 
 
 REPORTS: dict[str, dict[str, Entry]] = {
@@ -92,12 +83,15 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "product_findings": (findings.product_findings, _PRODUCTS),
     },
     "purchase_intent": {
-        "baseline": (baseline_report, _CARTS),
-        "fit_logistic": (logistic_report, _CARTS),
-        "fit_gbt": (gbt_report, _CARTS),
-        "leakage_demo": (model.leakage_demo, _SESSIONS),
+        "baseline": (_rows(comparison.BASELINE), _COMPARED),
+        "fit_logistic": (_rows(comparison.LOGISTIC), _COMPARED),
+        "fit_gbt": (_rows(comparison.BOOSTING), _COMPARED),
+        "leakage_demo": (_rows(*comparison.LEAKY), _COMPARED),
         "accounting_identity": (model.accounting_identity, _SESSIONS),
         "class_means": (model.class_means, _CARTS),
+        "model_comparison": (lambda table: table, _COMPARED),
+        "fitted_curves": (comparison.curves, _SCORES),
+        "model_findings": (comparison.model_findings, _COMPARED),
     },
 }
 

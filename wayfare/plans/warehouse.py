@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.operators import features, marts, quality, staging
+from wayfare.operators import comparison, features, marts, quality, staging
 from wayfare.session import written
 from wayfare.sources import driver_tables
 from wayfare.sources.csv_files import (
@@ -38,7 +38,7 @@ class Warehouse:
     `table(name)` is lazy: a staged table or mart is written when first asked for and read back by everything
     downstream. It goes to `target/name`, replacing what is there, or without a target to the shared folder.
     `keep` names raw tables that are written as well, because making them costs more than reading them.
-    `refresh()` forgets what was built.
+    `model_scores` and `model_comparison` are made when a report asks for them. `refresh()` forgets what was built.
     """
 
     def __init__(
@@ -96,12 +96,16 @@ class Warehouse:
             return features.cart_sessions(
                 self["stg_browsing"], self["stg_search"], self["dim_product"], self._hot_rows
             )
+        if name == "model_scores":
+            return comparison.model_scores(self["ml_cart_sessions"], self["fct_session"], self._slices)
+        if name == "model_comparison":
+            return comparison.compared(self["model_scores"], self._slices)
         raise KeyError(name)
 
 
-def of_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables an earlier run wrote to `folder`."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in [*RAW_TABLES, *TABLES]}
+def of_tables(spark: SparkSession, folder: str) -> Warehouse:
+    """The tables an earlier run wrote to `folder`; scores of the models are made when asked for."""
+    return Warehouse({n: lambda n=n: spark.read.parquet(f"{folder}/{n}") for n in [*RAW_TABLES, *TABLES]})
 
 
 def of_csv(spark: SparkSession, folder: str, target: str) -> Warehouse:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from collections import defaultdict
 
 import fixture_csv
+import journeys
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
@@ -50,12 +50,21 @@ def warehouse(tables):
     return tables[0]
 
 
-def sql(warehouse, text: str):
-    """One value from SQL over the warehouse tables."""
-    spark = warehouse["raw_browsing"].sparkSession
-    for name in ("raw_browsing", "raw_search", "stg_browsing", "stg_search", "dim_product", "fct_session", "ml_cart_sessions"):
-        warehouse[name].createOrReplaceTempView(name)
-    return spark.sql(text).first()[0]
+@pytest.fixture(scope="module")
+def expected(files):
+    lines = files[1]
+    asked = defaultdict(list)
+    for query in journeys.searches(lines["search_train.csv"]):
+        asked[query["session"]].append(query)
+    return journeys.trails(lines["browsing_train.csv"]), asked, {line[0]: line for line in lines["sku_to_content.csv"]}
+
+
+def same_rows(table, key, rows: dict) -> None:
+    """The table has exactly these rows, and each the expected values in the columns named there."""
+    found = {r[key]: r for r in table.collect()}
+    assert found.keys() == rows.keys() and table.count() == len(rows)
+    for name, row in rows.items():
+        assert {c: found[name][c] for c in row} == pytest.approx(row), name
 
 
 # --- ingest -------------------------------------------------------------------------------------------
@@ -80,9 +89,11 @@ def test_several_splits_were_read(spark, files):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_blank_is_null(warehouse):
-    assert sql(warehouse, "select count(*) from raw_browsing where product_action = '' or product_sku_hash = ''") == 0
-    assert sql(warehouse, "select count(*) from raw_browsing where product_action is null") > 0
+def test_blank_is_null(warehouse, files):
+    blanks = [sum(line[k] == "" for line in files[1]["browsing_train.csv"]) for k in (2, 3)]
+    raw = warehouse["raw_browsing"]
+    assert [raw.filter(F.col(n).isNull()).count() for n in ("product_action", "product_sku_hash")] == blanks
+    assert min(blanks) > 0
 
 
 def test_lists_and_vectors_are_parsed(tables, files):
@@ -114,156 +125,82 @@ def test_quotes_inside_a_field(spark, tmp_path):
     assert csv_files.scan_csv(spark, str(tmp_path / "q.csv"), csv_files.BROWSING_CSV).first()[0] == 'a "b" c'
 
 
-# --- ordering and time --------------------------------------------------------------------------------
+# --- whole rows against plain Python -------------------------------------------------------------------
 
 
-def test_sequence_follows_time(warehouse):
-    before = F.lag(TS).over(Window.partitionBy(SESSION).orderBy("event_seq"))
-    assert warehouse["stg_browsing"].withColumn("b", before).filter(F.col(TS) < F.col("b")).count() == 0
-
-
-def test_sequence_is_contiguous(warehouse):
-    text = f"""select count(*) from (select 1 from stg_browsing group by {SESSION}
-               having min(event_seq) <> 1 or max(event_seq) <> count(*) or count(distinct event_seq) <> count(*))"""
-    assert sql(warehouse, text) == 0
+def test_staged_events(warehouse, expected):
+    trails, _, _ = expected
+    names = [SESSION, "event_seq", "funnel_stage", "product_sku_hash", "hashed_url", TS, "file_row_idx", "raw_row_count"]
+    found = sorted(tuple(r) for r in warehouse["stg_browsing"].select(*names).fillna("").collect())
+    wanted = [
+        (session, e["seq"], e["stage"], e["sku"] or "", e["url"] or "", e["ms"], e["at"], e["copies"])
+        for session, events in trails.items()
+        for e in events
+    ]
+    assert found == sorted(wanted)
 
 
 def test_time_features_are_utc(warehouse):
-    for row in warehouse["stg_browsing"].select(TS, "hour_of_day", "day_of_week", "event_ts").collect():
-        moment = datetime.fromtimestamp(row[TS] / 1000, UTC)
-        assert (row["hour_of_day"], row["day_of_week"]) == (moment.hour, moment.isoweekday() % 7)
-        assert row["event_ts"] == moment.replace(tzinfo=None)
-
-
-# --- duplicates and double fires ----------------------------------------------------------------------
-
-SIX = ", ".join(c.EVENT_COLUMNS)
-
-
-def test_no_duplicate_survives(warehouse):
-    repeated = "select count(*) from (select 1 from {} group by {} having count(*) > 1)"
-    assert sql(warehouse, repeated.format("raw_browsing", SIX)) > 0
-    assert sql(warehouse, repeated.format("stg_browsing", SIX)) == 0
-
+    for row in warehouse["stg_browsing"].select(TS, "hour_of_day", "day_of_week").collect():
+        assert (row["day_of_week"], row["hour_of_day"]) == journeys.weekday_and_hour(row[TS])
 
-def test_no_pair_of_detail_and_pageview_survives(warehouse):
-    pairs = f"""select count(*) from (select 1 from {{}} where hashed_url is not null group by {SESSION}, {TS}, hashed_url
-                having count_if(product_action = 'detail') > 0 and count_if(event_type = 'pageview') > 0)"""
-    assert sql(warehouse, pairs.format("raw_browsing")) > 100
-    assert sql(warehouse, pairs.format("stg_browsing")) == 0
 
-
-def test_details_are_kept(warehouse):
-    assert sql(warehouse, "select count(*) from stg_browsing where product_action = 'detail'") == sql(
-        warehouse, f"select count(*) from (select distinct {SIX} from raw_browsing where product_action = 'detail')"
-    )
-
-
-def test_rows_reconcile(warehouse):
+def test_lost_rows_are_explained(warehouse, files, expected):
+    trails, _, _ = expected
+    lines = [tuple(x) for x in files[1]["browsing_train.csv"]]
+    distinct, left = len(set(lines)), sum(map(len, trails.values()))
     terms = {r["term"]: r["n_rows"] for r in quality.reconcile(warehouse["raw_browsing"], warehouse["stg_browsing"]).collect()}
+    assert terms["redundant copies"] == distinct - len(lines) < 0
+    assert terms["pageviews paired with a detail"] == left - distinct < 0
     assert terms["unexplained"] == 0
-    assert terms["redundant copies"] < 0 and terms["pageviews paired with a detail"] < 0
-
-
-# --- products -----------------------------------------------------------------------------------------
-
-
-def test_unlisted_skus_are_present(warehouse):
-    assert sql(warehouse, "select count(*) from dim_product where not in_catalog") == 8
-
-
-def test_each_browsed_sku_resolves(warehouse):
-    text = """select count(*) from (select distinct product_sku_hash from stg_browsing where product_sku_hash is not null) b
-              left anti join dim_product d on b.product_sku_hash = d.product_sku_hash"""
-    assert sql(warehouse, text) == 0
-
-
-def test_price_tier_is_never_null(warehouse):
-    assert sql(warehouse, "select count(*) from dim_product where price_tier is null") == 0
-    assert sql(warehouse, "select count(distinct price_tier) from dim_product") == 4
-
-
-# --- sessions -----------------------------------------------------------------------------------------
-
-
-def test_purchases_without_an_add_exist(warehouse):
-    assert sql(warehouse, "select count(*) from fct_session where purchase_without_add") > 0
-
-
-def test_strict_purchases_are_attained_ones(warehouse):
-    assert sql(warehouse, "select count_if(reached_purchase) - count_if(strict_purchase) from fct_session") >= 0
-    assert sql(warehouse, "select count(*) from fct_session where strict_purchase and not reached_purchase") == 0
-
-
-def test_strict_flags_have_three_states(warehouse):
-    found = {r[0] for r in warehouse["fct_session"].select("strict_add").distinct().collect()}
-    assert found == {True, False, None} or found == {True, None}
-
-
-def test_session_grain(warehouse):
-    assert sql(warehouse, "select count(*) from fct_session") == fixture_csv.SESSIONS
-    assert sql(warehouse, f"select count(distinct {SESSION}) from fct_session") == fixture_csv.SESSIONS
-
-
-def test_duration_is_capped_and_kept(warehouse):
-    assert sql(warehouse, "select count(*) from fct_session where duration_sec_capped > 1800") == 0
-    assert sql(warehouse, "select count(*) from fct_session where duration_sec_raw > 1800") == 12
-
-
-# --- cart features ------------------------------------------------------------------------------------
-
-
-def test_one_row_per_cart_session(warehouse):
-    assert sql(warehouse, "select count(*) from ml_cart_sessions") == sql(
-        warehouse, "select count(*) from fct_session where reached_add"
-    )
-
-
-def test_features_stop_at_the_add(warehouse):
-    assert sql(warehouse, "select count(*) from ml_cart_sessions where pre_n_events > pre_add_position") == 0
-    assert sql(warehouse, "select count(*) from ml_cart_sessions where pre_sec_to_add < 0") == 0
-
-
-FIRST = f"""select {SESSION}, min(event_seq) as at from stg_browsing where funnel_stage = 'add_to_cart' group by {SESSION}"""
-
-
-def test_views_before_the_add(warehouse):
-    text = f"""select count(*) from ml_cart_sessions m join (
-                 select f.{SESSION}, count_if(funnel_stage = 'product_detail') as n from ({FIRST}) f
-                 join stg_browsing b on b.{SESSION} = f.{SESSION} and event_seq <= at group by f.{SESSION}) t
-               on t.{SESSION} = m.{SESSION} where m.pre_n_product_views <> n"""
-    assert sql(warehouse, text) == 0
 
 
-def test_label_counts_purchases_after_the_add(warehouse):
-    text = f"""select count(*) from ml_cart_sessions m join (
-                 select f.{SESSION}, max(cast(funnel_stage = 'purchase' and event_seq > at as bigint)) as y from ({FIRST}) f
-                 join stg_browsing b on b.{SESSION} = f.{SESSION} group by f.{SESSION}) t
-               on t.{SESSION} = m.{SESSION} where m.purchased <> y"""
-    assert sql(warehouse, text) == 0
-    # Sessions that bought only before their add are attained purchases but not positives.
-    attained = sql(warehouse, "select count(*) from fct_session where reached_add and reached_purchase")
-    assert sql(warehouse, "select sum(purchased) from ml_cart_sessions") <= attained
+def test_sessions(warehouse, expected):
+    trails, asked, _ = expected
+    rows = {name: journeys.session_row(events, asked[name]) for name, events in trails.items()}
+    assert len(rows) == fixture_csv.SESSIONS
+    assert {r["strict_purchase"] for r in rows.values()} == {True, False, None}
+    same_rows(warehouse["fct_session"], SESSION, rows)
 
 
-def test_no_session_total_among_the_features(warehouse):
-    leaks = {"n_events", "n_purchases", "duration_sec_raw", "duration_sec_capped", "reached_purchase"}
-    assert not leaks & set(warehouse["ml_cart_sessions"].columns)
+def test_carts(warehouse, expected):
+    trails, asked, listed = expected
+    rows = {name: journeys.cart_row(events, asked[name], listed) for name, events in trails.items()}
+    rows = {name: row for name, row in rows.items() if row}
+    assert {r["purchased"] for r in rows.values()} == {0, 1}
+    same_rows(warehouse["ml_cart_sessions"], SESSION, rows)
 
 
-# --- search -------------------------------------------------------------------------------------------
+def test_features_know_nothing_of_the_whole_session(warehouse):
+    """No column of the session table is among the features; the calendar columns are those of the add."""
+    carts = set(warehouse["ml_cart_sessions"].columns)
+    whole = set(warehouse["fct_session"].columns) - {SESSION, "day_of_week", "hour_of_day"}
+    assert not carts & whole
 
 
-def test_phantom_clicks_are_split_off(warehouse):
-    outside = "exists(valid_clicked_skus, x -> not array_contains(result_skus, x))"
-    assert sql(warehouse, f"select count(*) from stg_search where {outside}") == 0
-    assert sql(warehouse, "select sum(n_phantom_clicks) from stg_search") == 18
+def test_products(warehouse, expected):
+    trails, _, listed = expected
+    browsed = {e["sku"] for events in trails.values() for e in events if e["sku"]}
+    tiers = {"": "(unknown)"} | {f"{k}.0": "low (1-3)" if k <= 3 else "mid (4-7)" if k <= 7 else "high (8-10)" for k in range(1, 11)}
+    rows = {
+        sku: {"in_catalog": sku in listed, "price_tier": tiers[listed[sku][4] if sku in listed else ""]}
+        for sku in browsed | listed.keys()
+    }
+    assert any(not r["in_catalog"] for r in rows.values()) and len({r["price_tier"] for r in rows.values()}) == 4
+    same_rows(warehouse["dim_product"], "product_sku_hash", rows)
 
 
-def test_empty_results_are_flagged(warehouse):
-    assert sql(warehouse, "select count(*) from stg_search where is_zero_result") == 30
+def test_searches(warehouse, files):
+    rows = {
+        at: {"clicks": ",".join(q["valid"]), "n_phantom_clicks": q["phantom"], "is_zero_result": q["empty"]}
+        for at, q in enumerate(journeys.searches(files[1]["search_train.csv"]))
+    }
+    clicks = F.coalesce(F.array_join("valid_clicked_skus", ","), F.lit("")).alias("clicks")
+    found = warehouse["stg_search"].select("file_row_idx", clicks, "n_phantom_clicks", "is_zero_result")
+    same_rows(found, "file_row_idx", rows)
 
 
-def test_search_only_sessions_stay_out_of_the_fact(warehouse):
+def test_sessions_that_only_search_are_counted(warehouse, expected):
+    trails, asked, _ = expected
     orphans = quality.search_orphans(warehouse["session_profile"], warehouse["raw_search"]).first()[0]
-    assert orphans > 0
+    assert orphans > 0 and asked.keys() - trails.keys()

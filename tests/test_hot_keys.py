@@ -82,8 +82,7 @@ def test_two_stage_dedup(skewed):
     flood = events.limit(1).crossJoin(skewed.sparkSession.range(300)).withColumn("file_row_idx", F.col("id") + 9000)
     events = events.unionByName(flood.drop("id"))
     plain = rows(staging.dedup_events(events))
-    for hot_rows in (None, 100, 1):
-        assert rows(staging.dedup_events_by_fingerprint(events, hot_rows)) == plain
+    assert rows(staging.dedup_events_by_fingerprint(events)) == plain
 
 
 @pytest.mark.parametrize("hot_rows", [100, 5])

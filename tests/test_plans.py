@@ -75,3 +75,9 @@ def test_no_costly_operator(spark, sf_dir, name):
     for line, below in zip(lines, lines[1:]):
         if "Exchange SinglePartition" in line:
             assert "Aggregate(" in below, (name, below)
+
+
+def test_fingerprint_dedup_is_one_shuffle(warehouse):
+    assert len(exchanges(staging.dedup_events_by_fingerprint(staging.usable_events(warehouse["raw_browsing"])))) == 1 + len(
+        exchanges(warehouse["raw_browsing"])
+    )

@@ -57,22 +57,17 @@ def dedup_events(events: DataFrame) -> DataFrame:
     )
 
 
-def dedup_events_by_fingerprint(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """The same result in two stages: only rows with a repeated 64-bit fingerprint are compared in full.
+def dedup_events_by_fingerprint(events: DataFrame) -> DataFrame:
+    """The same result with a 64-bit fingerprint leading the key: one shuffle, copies merged before it.
 
-    Worth it when rows are wide and copies rare: the first shuffle carries 8 bytes per row, and where the
-    repeated fingerprints turn out small enough to broadcast, the other rows never move. A fingerprint with a
-    flood of copies goes straight to the full grouping, which merges copies before its shuffle.
+    Worth it when the grouping spills: sorted by the key, rows differ in their first eight bytes, where events of one
+    session agree in the whole id. The six columns stay in the key, so equal fingerprints of other events never merge.
     """
-    marked = events.withColumn("__fp", c.fingerprint(c.EVENT_COLUMNS))
-    hot, rest = split_hot(marked, ["__fp"], hot_keys(marked, ["__fp"], hot_rows))
-    counted = rest.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
-    repeated = counted.filter(F.col("__n") > 1).select("__fp")
-    single = rest.join(repeated, "__fp", "left_anti").select(
-        *c.EVENT_COLUMNS, "file_row_idx", F.lit(1).cast("bigint").alias("raw_row_count")
+    return (
+        events.groupBy(c.fingerprint(c.EVENT_COLUMNS).alias("__fp"), *c.EVENT_COLUMNS)
+        .agg(F.min("file_row_idx").alias("file_row_idx"), F.count(F.lit(1)).alias("raw_row_count"))
+        .drop("__fp")
     )
-    found = single.unionByName(dedup_events(rest.join(repeated, "__fp", "left_semi")))
-    return found if hot is None else found.unionByName(dedup_events(hot))
 
 
 def _may_repeat() -> Column:

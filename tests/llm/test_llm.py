@@ -375,6 +375,18 @@ def test_slots_must_agree():
     assert decontaminate.agreeing(ok) == [True, True, False]
 
 
+def test_an_item_held_twice_with_other_fillings(spark):
+    item = "we know that 5 boys and 7 girls share 9 cakes with 4 friends of 6 teachers at home"
+    once = "we know that 8 boys and 3 girls share 2 cakes with 1 friends of 9 teachers at home"
+    again = "we know that 4 boys and 6 girls share 7 cakes with 8 friends of 2 teachers at home"
+    others = " ".join(f"so that 1{k} boys and 2{k} girls share 3{k} cakes with 4{k} friends of 5{k} teachers at last" for k in range(9))
+    table = [(1, f"{once} but then {again}"), (2, f"{others} {item} {others}"), (3, "we know that boys and girls share cakes")]
+    rows = decontaminate.contaminated(
+        spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    ).collect()
+    assert sorted((r["doc_id"], r["n_found"] == r["n_windows"], r["n_changed"] > 0) for r in rows) == [(1, True, True), (2, True, False)]
+
+
 def test_leaks_by_brute_force(spark, sf_dir, docs, texts):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     grams = {tuple(w[i : i + 13]) for r in items.collect() for w in [words(r["text"])] for i in range(len(w) - 12)}

@@ -2,8 +2,8 @@
 
 Texts become templates: numbers, units behind numbers and names inside sentences are replaced by typed placeholders,
 other words are lower-cased. Windows of `WIDTH` template tokens are hash-joined with the windows of the benchmark
-items. For each pair of document and item the slots are then compared: one value of the item must stand for one value
-in the document throughout, so a question with other numbers and names is caught and a chance likeness is not.
+items. For each pair of document and item the slots are then compared, occurrence by occurrence: one value of the item
+must stand for one value throughout, so a question with other numbers and names is caught and a chance likeness is not.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from wayfare.session import written
 
 WIDTH = 8
 LITERALS = 0.5  # share of a window's tokens that must be words
+SHIFT = 4  # places by which words put in or left out may move the rest of an occurrence
 RUN = 6  # windows of an item to be found: WIDTH + RUN - 1 = 13 tokens in a row; all of them in a shorter item
 FILTER_BITS = 23  # the sieve for document windows has 2**23 bits, 1 MB, whatever the benchmark holds
 WORDS_KEPT = 500_000  # token cache of a worker; forgotten when full
@@ -140,8 +141,8 @@ def item_windows(items: DataFrame) -> DataFrame:
                 width = min(WIDTH, len(template))
                 if width:
                     starts, hashes = template.windows(width)
-                    first = dict(zip(hashes[::-1].tolist(), starts[::-1].tolist()))  # of equal windows the first
-                    out += [(item_id, h, width, at, template.slots(at, width), len(first)) for h, at in first.items()]
+                    n = len(np.unique(hashes))  # equal windows count once
+                    out += [(item_id, h, width, at, template.slots(at, width), n) for at, h in zip(starts.tolist(), hashes.tolist())]
             frame = pd.DataFrame(out, columns=["item_id", "h", "width", "at", "slots", "n_windows"])
             frame["item_id"] = frame["item_id"].astype("Int64")
             yield frame
@@ -179,10 +180,38 @@ def agreeing(matches: list[tuple[str, str]]) -> list[bool]:
     return [pairs is not None and all(chosen[key] == value for key, value in pairs) for pairs in parsed]
 
 
+def held_windows(matches: list[tuple[int, int, int, str, str]]) -> dict[int, bool]:
+    """Windows (hash -> other values?) of the occurrence that holds most; matches are (hash, at, pos, slots, doc_slots).
+
+    An occurrence has one difference of places, or such as lie SHIFT or less apart; the whole document is judged too, as
+    an item may be spread over it. Identical windows agree with each other whatever the rest says.
+    """
+    by_place: dict[int, list] = defaultdict(list)
+    for row in matches:
+        by_place[row[2] - row[1]].append(row)
+    places = sorted(by_place)
+    occurrences = [by_place[x] for x in places]
+    cuts = [0, *(k for k in range(1, len(places)) if places[k] - places[k - 1] > SHIFT), len(places)]
+    occurrences += [sum(occurrences[a:b], []) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
+    if len(cuts) > 2:
+        occurrences.append(matches)
+    best: dict[int, bool] = {}
+    for rows in occurrences:
+        if len(rows) < len(best):
+            continue
+        good = agreeing([row[3:] for row in rows])
+        for kept in ([row for row, ok in zip(rows, good) if ok], [row for row in rows if row[3] == row[4]]):
+            held: dict[int, bool] = {}
+            for h, _, _, slots, doc_slots in kept:
+                held[h] = held.get(h, True) and slots != doc_slots
+            best = max(best, held, key=lambda x: (len(x), -sum(x.values())))
+    return best
+
+
 def contaminated(docs: DataFrame, items: DataFrame, row_id: str | None = None) -> DataFrame:
     """Pairs (doc_id, item_id, n_found, n_windows, n_changed): the document holds the item, perhaps re-parameterised.
 
-    n_found counts the item's windows found with consistent slots, n_changed those with other slot values. Null or
+    n_found counts the item's windows found with consistent slots in its best occurrence, n_changed those with other values. Null or
     empty texts match nothing, and so do items without a word. Rows are judged one by one, so repeated rows give
     repeated pairs; with `row_id` naming a unique number of the rows it is returned too. Empty tables give no pairs.
     Only doc_id and text (item_id and text) are read, so other columns cannot clash.
@@ -206,26 +235,24 @@ def contaminated(docs: DataFrame, items: DataFrame, row_id: str | None = None) -
                     word = (raw >> np.uint64(6)) & np.uint64(len(bits) - 1)
                     hit = (bits[word.astype(np.int64)] >> (raw & np.uint64(63))) & np.uint64(1)
                     for k in np.flatnonzero(hit).tolist():
-                        out.append((rid, doc_id, int(hashes[k]), template.slots(int(starts[k]), width)))
-            frame = pd.DataFrame(out, columns=["rid", "doc_id", "h", "doc_slots"])
+                        out.append((rid, doc_id, int(hashes[k]), int(starts[k]), template.slots(int(starts[k]), width)))
+            frame = pd.DataFrame(out, columns=["rid", "doc_id", "h", "pos", "doc_slots"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     rid = F.col(row_id) if row_id else F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    candidates = written(mapped(rows, found, "rid long, doc_id long, h long, doc_slots string"), "window-candidates")
-    # A document that repeats a window counts it once for each filling of its slots.
-    matches = candidates.distinct().join(windows, "h")
+    candidates = written(mapped(rows, found, "rid long, doc_id long, h long, pos int, doc_slots string"), "window-candidates")
+    matches = candidates.join(windows, "h")
     grouped = matches.groupBy("rid", "doc_id", "item_id", "n_windows").agg(
-        F.collect_list(F.struct("h", "slots", "doc_slots")).alias("m")
+        F.collect_list(F.struct("h", "at", "pos", "slots", "doc_slots")).alias("m")
     )
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for rid, doc_id, item_id, n, rows in zip(*(batch[c] for c in ("rid", "doc_id", "item_id", "n_windows", "m"))):
-                good = agreeing([(r["slots"], r["doc_slots"]) for r in rows])
-                held = {r["h"]: r["slots"] != r["doc_slots"] for r, ok in zip(rows, good) if ok}
+                held = held_windows([(r["h"], r["at"], r["pos"], r["slots"], r["doc_slots"]) for r in rows])
                 if len(held) >= min(RUN, n):
                     out.append((rid, doc_id, item_id, len(held), n, sum(held.values())))
             frame = pd.DataFrame(out, columns=["rid", "doc_id", "item_id", "n_found", "n_windows", "n_changed"])

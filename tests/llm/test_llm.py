@@ -267,42 +267,33 @@ def test_one_of_each_keeps_columns(spark):
     assert out.filter("doc_id = 4").count() == 1 and out.filter("text is null or trim(text) = ''").count() <= 1
 
 
-def test_stage_drops_what_is_alike_by_brute_force(spark, texts):
-    """Edited copies of texts at many similarities, and a chain of near copies in groups that are cut into shares."""
+def test_stage_keeps_one_of_each_group_by_brute_force(spark, texts):
+    """Edited copies of texts at many distances; the rows that stay are the smallest ids of the groups."""
     rng = random.Random(11)
-    some = [(i, t) for i, t in texts if t and len(words(t)) < 400][:60]
+    some = [(i, t) for i, t in texts if t and len(words(t)) < 400][:80]
     for i, t in list(some):
-        for k in range(2):
+        for k in range(3):
             w = t.split()
-            for at in rng.sample(range(len(w)), min(len(w), 1 + len(w) // rng.choice((25, 50, 100)))):
+            for at in rng.sample(range(len(w)), min(len(w), 1 + len(w) // rng.choice((25, 100, 400)))):
                 w[at] = f"edit{i}x{k}x{at}"
             some.append((10_000 + 10 * i + k, " ".join(w)))
-    chain = [f"w{k}" for k in range(150)]
-    for k in range(40):
-        chain[3 * k] = f"changed{k}"
-        some.append((90_000 + k, " ".join(chain)))
-
-    def grams(text):
-        w = words(text)
-        return {b" ".join(x.encode() for x in w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-
-    sets = [grams(t) for _, t in some]
+    some += [(90_000, ""), (90_001, None), (90_002, " \n")]
+    prints = [simhash.fingerprint(t, 3, 42) for _, t in some]
     label = list(range(len(some)))
-    links = 0
     for a in range(len(some)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                links += 1
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
     least = {}
     for (i, _), x in zip(some, label):
         least[x] = min(least.get(x, i), i)
-    assert links > 60 and len(least) < len(some) - 60
-    table = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
-    for size in (4096, 12):
-        assert sorted(r["doc_id"] for r in simhash.one_of_each(table, max_group=size).collect()) == sorted(least.values())
+    assert 60 < len(least) < len(some) - 20
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in some], "doc_id long, text string, row long, FP long").repartition(3)
+    out = simhash.one_of_each(table, shingle=3, seed=42, radius=2)
+    assert out.schema == table.schema
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(least.values())
+    assert simhash.one_of_each(table.limit(0)).count() == 0
 
 
 # Line rules

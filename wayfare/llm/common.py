@@ -35,6 +35,14 @@ def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A name for a helper column that no column of the input has, upper and lower case being the same."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
     """Arrow batches cut into slices, so that a few hundred texts are worked on at a time."""
     for batch in batches:

@@ -21,17 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.common import mapped, numbered, slices
+from wayfare.llm.common import free_name, mapped, numbered, slices
 from wayfare.llm.components import components
 from wayfare.session import written
 
 BITS = 64
 TILE = 1024
 MAX_GROUP = 4096
-ALIKE = (4, 5)  # Jaccard similarity of 0.8, for the pipeline's stage
-WIDE_RADIUS = 44  # of 128 bits; pairs at 0.8 differ by 19 on average and by 33 at most in 63,389 pairs of check_h
-COMMON_BITS = 22  # frequent shingles are marked in 2**22 bits, from a sample of about SAMPLED texts
-SAMPLED, FREQUENT = 4096, 8
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -216,233 +212,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     )
 
 
-# The pipeline's stage: texts alike by 5-word shingles
+def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """The rows of `docs`, one of each component of near fingerprints, with all their columns.
 
-
-def shingles(text: str | None, shingle: int, seed: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle."""
-    import xxhash
-
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, seed)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, stops = [0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """128 bits as two numbers, each bit the majority of the distinct shingles."""
-    out = np.zeros(2, dtype=np.uint64)
-    for k in range(2 if len(hashes) else 0):
-        mixed = hashes.copy()
-        if k:
-            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        total = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def _common(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
-    """Bits of shingle hashes that are frequent in a sample. They only order the shingles, so no result depends on them."""
-    share = max(1, docs.count() // SAMPLED)
-
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            found = [shingles(x, shingle, seed) & np.uint64((1 << COMMON_BITS) - 1) for x in batch["text"].tolist()]
-            yield pd.DataFrame({"bucket": np.concatenate(found).astype(np.int64)})
-
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    counts = mapped(sample, buckets, "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    words = counts.groupBy(F.expr("shiftright(bucket, 6)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 as int))")).alias("bits")
-    )
-    out = np.zeros(1 << (COMMON_BITS - 6), dtype=np.int64)
-    for row in words.collect():
-        out[row["word"]] = row["bits"]
-    return out.view(np.uint64)
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in an order that all texts share, rare ones first, as many as can miss from a text alike, and one."""
-    n = len(hashes)
-    bucket = hashes & np.uint64((1 << COMMON_BITS) - 1)
-    often = common[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63)) & np.uint64(1)
-    return hashes[np.argsort(often, kind="stable")[: n - -(-ALIKE[0] * n // ALIKE[1]) + 1]] if n else hashes
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Is the Jaccard similarity of two sorted sets ALIKE or more?"""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
-
-
-def _nearest(most: int):
-    """Rows (g, node, root, n, f1, f2) sorted by g -> (g, node, u, v, more): each node's `most` nearest of other roots.
-
-    `more` says that the node has further ones in the group. Pairs too far apart in length or fingerprint are none.
-    """
-
-    def pairs(g, node, root, n, f1, f2) -> Iterator[tuple[np.ndarray, ...]]:
-        """Positions (a, b) of near rows, for many small groups at once or a tile of a large one."""
-        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        sizes = np.diff([*starts.tolist(), len(g)])
-
-        def fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-            good = (root[a] != root[b]) & (ALIKE[1] * np.minimum(n[a], n[b]) >= ALIKE[0] * np.maximum(n[a], n[b]))
-            a, b = a[good], b[good]
-            gap = np.bitwise_count(f1[a] ^ f1[b]).astype(np.int64) + np.bitwise_count(f2[a] ^ f2[b])
-            good = gap <= WIDE_RADIUS
-            return a[good], b[good], gap[good]
-
-        ends = np.repeat(starts + sizes, sizes)
-        at = np.flatnonzero(np.repeat(sizes <= 64, sizes))
-        found, step = [], 1
-        while len(at := at[at + step < ends[at]]):
-            found.append(fit(at, at + step))
-            step += 1
-        if found:
-            a, b, gap = (np.concatenate([x[k] for x in found]) for k in range(3))
-            yield np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([gap, gap])
-        for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-            if (root[start : start + size] == root[start]).all():
-                continue
-            for i in range(start, start + size, TILE):
-                rows = np.arange(i, min(i + TILE, start + size))
-                yield fit(np.repeat(rows, size), np.tile(np.arange(start, start + size), len(rows)))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def cut(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            g, node, root, n, f1, f2 = (rows[c].to_numpy() for c in ("g", "node", "root", "n", "f1", "f2"))
-            for a, b, gap in pairs(g, node, root, n, f1.view(np.uint64), f2.view(np.uint64)):
-                order = np.lexsort((node[b], gap, a))
-                a, b = a[order], b[order]
-                first = np.searchsorted(a, a)
-                keep = np.arange(len(a)) - first < most
-                more = (np.searchsorted(a, a, side="right") - first > most)[keep]
-                a, b = a[keep], b[keep]
-                u, v = node[a], node[b]
-                yield pd.DataFrame({"g": g[a], "node": u, "u": np.minimum(u, v), "v": np.maximum(u, v), "more": more})
-
-        held: list[pd.DataFrame] = []  # the last group may go on in the next batch
-        for batch in batches:
-            g = batch["g"].to_numpy()
-            if held and held[0]["g"].iat[0] == g[0] == g[-1]:
-                held.append(batch)
-                continue
-            rows = pd.concat([*held, batch], ignore_index=True) if held else batch
-            g = rows["g"].to_numpy()
-            last = len(g) - int(np.argmax(g[::-1] != g[-1])) if g[0] != g[-1] else 0
-            if last:
-                yield from cut(rows.iloc[:last])
-            held = [rows.iloc[last:]]
-        if held:
-            yield from cut(pd.concat(held, ignore_index=True))
-
-    return nearest
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles are alike."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch["a"], batch["b"])]
-            yield batch.loc[np.array(good, dtype=bool), ["u", "v"]]
-
-    a, b = sets.select(F.col("node").alias("u"), F.col("held").alias("a")), sets.select(F.col("node").alias("v"), F.col("held").alias("b"))
-    return mapped(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), check, "u long, v long")
-
-
-def alike_components(groups: DataFrame, sets: DataFrame, max_group: int = MAX_GROUP, most: int = 2) -> DataFrame:
-    """(node, root) of the nodes that have one alike; groups (g, node, n, f1, f2), two alike nodes being in one group at least.
-
-    In each round every node is checked against its nearest nodes of other components, eight times as many as in the
-    round before; only nodes that have further ones go on. So all near pairs are checked, save those inside one
-    component: a large group of near copies takes a few checks per copy and not all pairs. Groups larger than
-    `max_group` are cut into shares, first each share on its own, then every two shares.
+    The row with the smallest doc_id stays; of rows with one id the first read, and null ids come last. Null, empty
+    and blank texts share fingerprint zero, so one of them stays. An empty table gives no rows. Helper columns take
+    names that `docs` does not have, so no column can clash.
     """
-    spark = groups.sparkSession
-    # Groups with the same members say the same: one of them is enough.
-    sign = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign")
-    sizes = groups.groupBy("g").agg(F.count("*").alias("size"), sign).groupBy("size", "sign").agg(F.min("g").alias("g"))
-    sizes = sizes.select("g", F.ceil(F.col("size") / max_group).alias("shares"))
-    groups = written(groups.join(sizes, "g").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))), "alike-groups")
-    rest, first = ["node", "n", "f1", "f2"], most
-    links, roots = spark.createDataFrame([], "u long, v long"), None
-    other = F.explode(F.expr("transform(sequence(0L, shares - 1), x -> x)")).alias("other")
-    across = groups.filter("shares > 1").select("*", other).filter("other <> share")
-    across_key = F.xxhash64("g", F.least("share", "other"), F.greatest("share", "other")).alias("g")
-    for rows in (groups.select(F.xxhash64("g", "share").alias("g"), *rest), across.select(across_key, *rest)):
-        most = first
-        while not rows.isEmpty():
-            rooted = rows.withColumn("root", F.col("node"))
-            if roots is not None:
-                rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            rooted = rooted.select("g", "root", *rest).repartition("g").sortWithinPartitions("g")
-            schema = "g long, node long, u long, v long, more boolean"
-            found = written(mapped(rooted, _nearest(most), schema), "alike-nearest")
-            good = _confirmed(found.select("u", "v").distinct(), sets)
-            links, further = written(links.unionAll(good), "alike-links"), found.filter("more")
-            if further.isEmpty():
-                break
-            roots = written(components(links), "alike-roots")
-            rows = written(rows.join(further.select("g", "node").distinct(), ["g", "node"], "left_semi"), "alike-rest")
-            most *= 8
-    return components(links)
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, seed: int = 42, max_group: int = MAX_GROUP) -> DataFrame:
-    """The rows of `docs`, one of each component of texts alike, with all their columns.
-
-    Texts are alike if the Jaccard similarity of their shingles is ALIKE (0.8) or more. Two such texts share one of
-    their first shingles, in any order common to all, so texts with a first shingle in common are compared: by
-    fingerprints within a wide radius, and those within it by their shingles. The row with the smallest doc_id
-    stays; of rows with one id the first read, and null ids come last.
-    """
-    import xxhash
-
     names = docs.columns
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, seed))
+    fp, row = free_name(names, "fp"), free_name(names, "row")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            out, rows = batch[names].copy(), []
-            for text in batch["text"].tolist():
-                held = shingles(text, shingle, seed)
-                words = b" ".join((text or "").encode("utf-8").lower().split())
-                print_ = wide_fingerprint(held).view(np.int64).tolist()
-                node = xxhash.xxh64_intdigest(words, seed)
-                first = prefix(held, common.value).view(np.int64).tolist()
-                rows.append((node - (1 << 64) if node >> 63 else node, len(held), *print_, first))
-            for k, name in enumerate(("__node", "__n", "__f1", "__f2", "__first")):
-                out[name] = [r[k] for r in rows]
+            fps = np.array([fingerprint(x, shingle, seed) for x in batch["text"].tolist()], dtype=np.uint64)
+            out = batch[names].copy()
+            out[fp] = fps.view(np.int64)
             yield out
 
-    long = [T.StructField(x, T.LongType()) for x in ("__node", "__n", "__f1", "__f2")]
-    schema = T.StructType([*docs.schema.fields, *long, T.StructField("__first", T.ArrayType(T.LongType()))])
-    rows = written(numbered(mapped(docs, hashed, schema), "__row"), "fingerprinted")
-    narrow = rows.select(F.col("__node").alias("node"), "__row", "doc_id")
-    one = rows.groupBy(F.col("__node").alias("node")).agg(F.min("__row").alias("__row"))
-    # Equal texts are one node; of their rows one stands for all.
-    sole = rows.select("__row", "__n", "__f1", "__f2", "__first").join(one, "__row")
-    firsts = sole.select(F.explode("__first").alias("g"), "node", F.col("__n").alias("n"), F.col("__f1").alias("f1"), F.col("__f2").alias("f2"))
-    shared = written(firsts.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "alike-shared")
-    groups = written(firsts.join(shared, "g", "left_semi"), "alike-firsts")
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            found = [shingles(x, shingle, seed).tobytes() for x in batch["text"].tolist()]
-            yield pd.DataFrame({"node": batch["node"].to_numpy(), "held": found})
-
-    nodes = groups.select("node").distinct().join(one, "node")
-    sets = written(mapped(rows.select("__row", "text").join(nodes, "__row").select("node", "text"), held, "node long, held binary"), "alike-sets")
-    roots = alike_components(groups, sets, max_group)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    first = narrow.groupBy("node").agg(F.min(order).alias("first")).join(roots, "node", "left")
-    first = first.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.__row")
-    return rows.join(first, "__row", "left_semi").select(*[f"`{c}`" for c in names])
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    rows = written(numbered(mapped(docs, hashed, schema), row), "fingerprinted")
+    narrow = rows.select(F.col(fp).alias("fp"), F.col(row).alias("row"), "doc_id")
+    roots = near_components(narrow, radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = narrow.groupBy("fp").agg(F.min(order).alias("first")).join(roots, "fp", "left")
+    first = first.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*[f"`{c}`" for c in names])

@@ -11,6 +11,7 @@ from wayfare.llm import (
     html_wrappers,
     maxent_lm,
     packing,
+    passages,
     quality_lines,
     simhash,
     substring_dedup,
@@ -66,6 +67,10 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, modulus=4, held=2, threshold=0.3)
 
 
+def op13_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_maxent_lm,
         op9_token_files,
         op10_toxic_segments,
+        op13_fm_passages,
     )
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import (
+    alignment,
     decontaminate,
     html_wrappers,
     maxent_lm,
@@ -20,7 +21,7 @@ from wayfare.llm import (
     url_templates,
 )
 from wayfare.llm.common import table
-from wayfare.llm.tokens import word_bpe_path
+from wayfare.llm.tokens import vocabulary, word_bpe_path
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -67,6 +68,10 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, modulus=4, held=2, threshold=0.3)
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_passages(table(spark, sf_dir, "documents"), length=50)
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_maxent_lm,
         op9_token_files,
         op10_toxic_segments,
+        op11_fragment_alignment,
         op13_fm_passages,
     )
 }

@@ -60,7 +60,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def word_bpe_path() -> str:
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file of the installed public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_bpe_path() -> str:
+    return vocabulary("word_bpe_49k.json")

@@ -36,12 +36,15 @@ from wayfare.session import written
 CHUNK = 1 << 16  # characters of a chunk; longer texts are cut
 FAN = 16  # neighbouring fragments composed in one step of the tree
 TEXTS = 512  # texts worked on at a time
-CACHE_UNITS = 300_000  # forgotten when full; bounds the memory of a worker, never the result
+JOINED = 4096  # units that are learned in one go
+CACHE_UNITS = 400_000  # forgotten when full; bounds the memory of a worker, never the result
 CACHED_LENGTH = 64  # longer units are worked out each time
 HOT_PAIRS = 1_000_000  # at most so many pairs are looked up in a table held by every worker
 BIG_GROUP = 1 << 14  # links of a group from which on equal ids are counted before they are multiplied
 
-_UNIT = re.compile(r"\s+\S+|\s+")
+# White space and a word; a comma or full stop after a letter and before white space is a unit of its own.
+_UNIT = re.compile(r"\s+(?:\S*[A-Za-z](?=[,.](?!\S))|\S+|)|[,.]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT_A = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _CUT_B = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -75,12 +78,15 @@ class Tokens:
             for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.space_b = self.b.piece_to_id("▁")
-        # Units hold if A splits before white space and no piece of B goes on from a word to white space.
+        self.space_b, self.line_b = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
+        names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.written = [f"{i}{c}".encode() for c in ",|" for i in names[: len(self.bytes_a)]]
+        self.written += [f"{i}{c}".encode() for c in ",;" for i in names[: len(self.bytes_b)]]
+        # Units hold if A splits before white space and no piece of B goes on from a word to white space or to a stop.
         with open(path_a) as f:
             first = json.load(f).get("pre_tokenizer") or {}
         self.units_hold = first.get("type") == "ByteLevel" and first.get("use_regex", True)
-        self.units_hold &= not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.units_hold &= not any("▁" in p.lstrip("▁") or "\n" in p or re.search("[A-Za-z][,.]", p) for p in pieces)
         self.known: dict[str, int | None] = {}
         self._forget()
 
@@ -88,14 +94,16 @@ class Tokens:
         return [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
 
     def ids_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts as they stand: B puts a space before each, so that space is taken off or its id dropped."""
-        found = self.b.encode([x[1:] if x[:1] == " " else x for x in texts], num_threads=1)
+        """Ids of texts as they stand: B puts a space before each, so one at the front is taken off, or the ids
+        of that space (and of a line break put behind it, beyond which B never reaches) are dropped."""
+        found = self.b.encode([x[1:] if x[:1] == " " else x if x[:1] in ("", "\n") else "\n" + x for x in texts], num_threads=1)
         out = []
         for text, ids in zip(texts, found):
             if text == " ":
                 ids = [self.space_b]
             elif text and text[0] != " ":
-                ids = ids[1:] if ids and ids[0] == self.space_b else [-1]
+                front = [self.space_b] if text[0] == "\n" else [self.space_b, self.line_b]
+                ids = ids[len(front) :] if ids[: len(front)] == front else [-1]
             out.append(ids)
         return out
 
@@ -109,8 +117,11 @@ class Tokens:
     # Units
 
     def _forget(self) -> None:
+        """Entry 0 stands for a unit that a tokenizer does not spell as it is."""
         self.known.clear()
-        self.entries: list[tuple[int, int, int, bytes, np.ndarray, np.ndarray] | None] = [None]
+        self.texts = [b""]
+        self.counts, self.stops = np.zeros((1, 3), np.int32), np.zeros(1, np.int64)  # n_a, n_b, n_groups; last link
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def units(self, text: str) -> list[str]:
         """A space and the text, cut where neither tokenizer reaches across."""
@@ -118,45 +129,66 @@ class Tokens:
         if not self.units_hold:
             return [whole]
         found = _UNIT.findall(whole)
-        if all(u[0] == " " or u[0] == "\n" for u in found):
+        if _OTHER_SPACE.search(whole) is None:
             return found
         out = found[:1]
         for unit in found[1:]:
-            if unit[0] in " \n":
+            if unit[0] in " \n,.":
                 out.append(unit)
             else:
                 out[-1] += unit
         return out
 
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of units that follow one another, or None if the whole is not spelled as it is."""
+        text = "".join(units)
+        a, b = self.ids_a([text])[0], self.ids_b([text])[0]
+        return (np.array(a, np.int64), np.array(b, np.int64)) if all(self.spells(text, a, b)) else None
+
+    def _single(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The units that are spelled as they are, each encoded by itself, and their ids."""
+        rows = [(u, a, b) for u, a, b in zip(units, self.ids_a(units), self.ids_b(units)) if all(self.spells(u, a, b))]
+        a, b = (np.array([i for r in rows for i in r[k]], np.int64) for k in (1, 2))
+        return [r[0] for r in rows], a, b
+
     def learn(self, units: list[str]) -> dict[str, int]:
-        """The place of each unit in `entries`; 0 for a unit that a tokenizer does not spell as it is."""
-        found = {}
-        good, all_a, all_b, lengths = [], [], [], []
-        for unit, a, b in zip(units, self.ids_a(units), self.ids_b(units)):
-            found[unit] = 0
-            if all(self.spells(unit, a, b)):
-                good.append(unit)
-                all_a.append(a)
-                all_b.append(b)
-                lengths.append(len(unit.encode("utf-8")))
-        if good:
-            a, b = (np.array([i for ids in x for i in ids], np.int64) for x in (all_a, all_b))
-            groups = Groups.of(a, np.cumsum(self.size_a[a]), b, np.cumsum(self.size_b[b]))
-            unit_of = np.searchsorted(np.cumsum(lengths), groups.ends)
-            texts = groups.texts()
-            which, pair, times = groups.links(len(self.bytes_b), unit_of)
-            stops, links = np.cumsum(np.bincount(unit_of, minlength=len(good))), np.cumsum(np.bincount(which, minlength=len(good)))
-            for k, unit in enumerate(good):
-                first, stop = (int(stops[k - 1]) if k else 0), int(stops[k])
-                low, high = (int(links[k - 1]) if k else 0), int(links[k])
-                found[unit] = len(self.entries)
-                entry = (len(all_a[k]), len(all_b[k]), stop - first, b";".join(texts[first:stop]), pair[low:high], times[low:high])
-                self.entries.append(entry)
+        """The place of each unit among the entries."""
+        found = dict.fromkeys(units, 0)
+        # Units that may follow one another as they do in a text: one call for many of them.
+        plain = [u for u in units if u[0] in " \n" and not u[-1].isspace()] if self.units_hold else []
+        rest = [u for u in units if u[0] not in " \n" or u[-1].isspace()] if self.units_hold else units
+        parts = []
+        for k in range(0, len(plain), JOINED):
+            some = plain[k : k + JOINED]
+            ids = self._joined(some)
+            if ids is None:
+                rest += some
+            else:
+                parts.append((some, *ids))
+        if rest:
+            parts.append(self._single(rest))
+        for some, a, b in parts:
+            if some:
+                self._enter(some, a, b, found)
         return found
 
+    def _enter(self, units: list[str], a: np.ndarray, b: np.ndarray, found: dict[str, int]) -> None:
+        ends = np.cumsum([len(u.encode("utf-8")) for u in units])
+        groups = Groups.of(a, np.cumsum(self.size_a[a]), b, np.cumsum(self.size_b[b]))
+        unit_of = np.searchsorted(ends, groups.ends)
+        last = np.append(np.flatnonzero(unit_of[1:] != unit_of[:-1]), len(unit_of) - 1)  # the last group of each unit
+        n_a, n_b = (np.diff(np.append(0, x[last])) for x in (groups.a_stops, groups.b_stops))
+        which, pair, times = groups.links(len(self.bytes_b), unit_of)
+        first = len(self.texts)
+        self.texts += groups.texts(self.written, len(self.bytes_a), last)
+        self.counts = np.concatenate([self.counts, np.column_stack([n_a, n_b, np.diff(np.append(-1, last))]).astype(np.int32)])
+        self.stops = np.append(self.stops, len(self.pairs) + np.cumsum(np.bincount(which, minlength=len(units))))
+        self.pairs, self.times = np.append(self.pairs, pair), np.append(self.times, times.astype(np.int32))
+        found.update(zip(units, range(first, first + len(units))))
+
     def places(self, texts: list[list[str]]) -> list[list[int]]:
-        """Entries of the units of some texts, valid until the next call."""
-        if len(self.entries) > CACHE_UNITS:
+        """Entries of the units of some texts, valid until the next call; none where a unit has none."""
+        if len(self.texts) > CACHE_UNITS:
             self._forget()
         get = self.known.get
         found = [[get(u) for u in units] for units in texts]
@@ -164,8 +196,10 @@ class Tokens:
         if missing:
             more = self.learn(sorted(missing))
             self.known.update((u, i) for u, i in more.items() if len(u) <= CACHED_LENGTH)
-            found = [[more[u] if i is None else i for u, i in zip(units, ids)] for units, ids in zip(texts, found)]
-        return found
+            for units, ids in zip(texts, found):
+                if None in ids:
+                    ids[:] = [more[u] if i is None else i for u, i in zip(units, ids)]
+        return [[] if 0 in ids else ids for ids in found]
 
 
 @lru_cache(maxsize=2)
@@ -195,13 +229,19 @@ class Groups:
     def __len__(self) -> int:
         return len(self.ends)
 
-    def texts(self) -> list[bytes]:
-        a, b = [str(i) for i in self.a.tolist()], [str(i) for i in self.b.tolist()]
-        out, i, j = [], 0, 0
-        for x, y in zip(self.a_stops.tolist(), self.b_stops.tolist()):
-            out.append((",".join(a[i:x]) + "|" + ",".join(b[j:y])).encode())
-            i, j = x, y
-        return out
+    def texts(self, written: list[bytes], n_a: int, last: np.ndarray) -> list[bytes]:
+        """The groups as text, `a1,a2|b1;a3|b2,b3`, in one text for all groups up to each of `last`."""
+        a_last, b_last = np.zeros(self.a_stops[-1], bool), np.zeros(self.b_stops[-1], bool)
+        a_last[self.a_stops - 1] = b_last[self.b_stops - 1] = True
+        # A group's A tokens stand behind all B tokens of earlier groups, its B tokens behind its A tokens.
+        n_a_, n_b_ = np.diff(np.append(0, self.a_stops)), np.diff(np.append(0, self.b_stops))
+        code = np.empty(len(a_last) + len(b_last), np.int64)
+        code[np.arange(len(a_last)) + np.repeat(self.b_stops - n_b_, n_a_)] = self.a[: len(a_last)] + a_last * n_a
+        n_b = (len(written) - 2 * n_a) // 2
+        code[np.arange(len(b_last)) + np.repeat(self.a_stops, n_b_)] = 2 * n_a + self.b[: len(b_last)] + b_last * n_b
+        parts = list(map(written.__getitem__, code.tolist()))
+        stops = (self.a_stops + self.b_stops)[last].tolist()
+        return [b"".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops)]
 
     def links(self, n_b: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, pair, times) of the links of the groups, one row per owner and pair, sorted by both."""
@@ -303,10 +343,11 @@ def _fragment_row(row: int, k: int, ok: bool, x: Fragment) -> dict:
     return {"row": row, "k": k, "ok": ok, "cut": x.cut, **sides}
 
 
-def _piece_row(row: int, groups: Groups, n_b: int) -> dict:
-    _, pair, times = groups.links(n_b, np.zeros(len(groups), np.int64))
+def _piece_row(row: int, groups: Groups, tool: Tokens) -> dict:
+    _, pair, times = groups.links(len(tool.bytes_b), np.zeros(len(groups), np.int64))
     counts = {"n_a": int(groups.a_stops[-1]), "n_b": int(groups.b_stops[-1]), "n_groups": len(groups)}
-    return {"row": row, "at": int(groups.ends[0]), **counts, "text": b";".join(groups.texts()), "pairs": pair, "times": times}
+    (text,) = groups.texts(tool.written, len(tool.bytes_a), np.array([len(groups) - 1]))
+    return {"row": row, "at": int(groups.ends[0]), **counts, "text": text, "pairs": pair, "times": times}
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -357,13 +398,13 @@ def _fragments(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     a, b = np.array(a, np.int64), np.array(b, np.int64)
                     first_a, first_b = (r.base + len(r.part[: max(x, 0)].encode("utf-8")) for x in (r.a0, r.b0))
                     found = fragment(a, first_a + np.cumsum(tool.size_a[a]), b, first_b + np.cumsum(tool.size_b[b]))
-                rows = [_piece_row(r.row, g, len(tool.bytes_b)) for g in found.closed]
+                rows = [_piece_row(r.row, g, tool) for g in found.closed]
                 yield _frame([_fragment_row(r.row, r.k, ok, found), *rows])
 
     return mapped(chunks.repartition("row", "k"), made, f"{_FRAGMENT}, {_PIECE}")
 
 
-def _reduced(fragments: DataFrame, fan: int, last: bool, n_b: int) -> DataFrame:
+def _reduced(fragments: DataFrame, fan: int, last: bool, path_a: str, path_b: str) -> DataFrame:
     """Compose neighbours; at the last step the ends of a text are closed too."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -377,11 +418,11 @@ def _reduced(fragments: DataFrame, fan: int, last: bool, n_b: int) -> DataFrame:
                 ok = all(len(x) == 0 for x in (found.tail if found.cut else found.head))
                 found = Fragment(closed=[*whole(found.head), *found.closed])
         row, k = int(rows["row"].iat[0]), int(rows["k"].iat[0]) // fan
-        return _frame([_fragment_row(row, k, ok, found), *(_piece_row(row, g, n_b) for g in found.closed)])
+        return _frame([_fragment_row(row, k, ok, found), *(_piece_row(row, g, tokens(path_a, path_b)) for g in found.closed)])
 
     names = [x for x in _COLUMNS[: _COLUMNS.index("n_a")] if x != "at"]
     keyed = fragments.select(*names, F.expr(f"k div {fan}").alias("part"))
-    return keyed.groupBy("row", "part").applyInPandas(lambda rows: group(rows), f"{_FRAGMENT}, {_PIECE}")
+    return keyed.groupBy("row", "part").applyInPandas(group, f"{_FRAGMENT}, {_PIECE}")
 
 
 _TEXT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -396,25 +437,16 @@ def _short_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, full.num_rows, TEXTS):
                 batch = full.slice(at, TEXTS)
                 places = tool.places([tool.units(x) if x else [] for x in batch.column("text").to_pylist()])
-                places = [x if 0 not in x else [] for x in places]
-                entries, lengths = tool.entries, np.array([len(x) for x in places])
-                sums, digests = [], []
-                for x in places:
-                    digests.append(hashlib.sha256(b";".join([entries[i][3] for i in x])).hexdigest() if x else "")
+                texts, lengths = tool.texts, np.array([len(x) for x in places])
+                digests = [hashlib.sha256(b";".join([texts[i] for i in x])).hexdigest() if x else "" for x in places]
                 flat, owner = np.array([i for x in places for i in x], np.int64), np.repeat(np.arange(len(places)), lengths)
-                used, back = np.unique(flat, return_inverse=True)
-                some = [entries[i] for i in used.tolist()]
-                for k in range(3):
-                    each = np.array([e[k] for e in some], np.int64)[back] if len(some) else flat
-                    sums.append(np.bincount(owner, weights=each, minlength=len(places)).astype(np.int64))
+                sums = [np.bincount(owner, weights=x, minlength=len(places)).astype(np.int64) for x in tool.counts[flat].T]
                 # Equal units of a text first, then the pairs of its different units.
-                owner, unit, times = summed(owner, back, np.ones(len(back), np.int64))
-                size = np.array([len(e[4]) for e in some], np.int64)
-                pairs = np.concatenate([e[4] for e in some]) if some else _NONE
-                each = np.concatenate([e[5] for e in some]) if some else _NONE
-                which, place = flat_positions(size[unit]) if len(unit) else (_NONE, _NONE)
-                index = (np.cumsum(size) - size)[unit][which] + place if len(unit) else _NONE
-                owner, pair, times = summed(owner[which], pairs[index], each[index] * times[which])
+                owner, unit, times = summed(owner, flat, np.ones(len(flat), np.int64))
+                first = tool.stops[unit - 1]
+                which, place = flat_positions(tool.stops[unit] - first)
+                index = first[which] + place
+                owner, pair, times = summed(owner[which], tool.pairs[index], tool.times[index] * times[which])
                 links = np.bincount(owner, weights=times, minlength=len(places)).astype(np.int64)
                 ends = pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(places)))).astype(np.int32))
                 columns = [batch.column("row"), batch.column("doc_id"), *(pa.array(x) for x in (*sums, links)), pa.array(digests, pa.string())]
@@ -451,12 +483,11 @@ def _digests(pieces: DataFrame) -> DataFrame:
 def _long_texts(docs: DataFrame, path_a: str, path_b: str, chunk: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """(one row per long text, its pairs in blocks)."""
     chunks = written(_chunks(docs, chunk, path_a, path_b), "align-chunks")
-    n_b = len(tokens(path_a, path_b).bytes_b)
     level = written(_fragments(chunks, path_a, path_b), "align-fragments")
     pieces, widest = level.filter("n_a is not null"), chunks.agg(F.max("k")).first()[0] or 0
     while True:
         last = widest < fan
-        level = written(_reduced(level.filter("n_a is null"), fan, last, n_b), "align-level")
+        level = written(_reduced(level.filter("n_a is null"), fan, last, path_a, path_b), "align-level")
         pieces = pieces.unionAll(level.filter("n_a is not null"))
         if last:
             break

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.llm import (
     alignment,
     decontaminate,
+    hard_negatives,
     html_wrappers,
     maxent_lm,
     packing,
@@ -72,6 +73,10 @@ def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_passages(table(spark, sf_dir, "documents"), length=50)
 
@@ -90,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_files,
         op10_toxic_segments,
         op11_fragment_alignment,
+        op12_lemp_negatives,
         op13_fm_passages,
     )
 }
 
-# None of these is plain SQL: the method's verdicts, models and tokenizers are tested against brute force instead.
-ORACLES: dict[str, str] = {}
+# The others are no plain SQL: the method's verdicts, models, tokenizers and words of whole texts are tested against
+# brute force instead.
+ORACLES: dict[str, str] = {"op12_lemp_negatives": hard_negatives.MINE_SQL}

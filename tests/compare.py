@@ -21,6 +21,7 @@ TABLES = (
 
 KINDS = {
     "BIGINT": "bigint",
+    "INTEGER": "int",
     "DOUBLE": "double",
     "VARCHAR": "string",
     "BOOLEAN": "boolean",

@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from wayfare.llm import alignment, queries  # noqa: E402
+from wayfare.llm.tokens import byte_alphabet  # noqa: E402
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "one", "one", "a  b\t c\r\nd \n\n e", " lead", "trail \n ", "naïve ﬁ ß 中文 x", "x▁y z", "a\x00b \x1c c\x85d"]
@@ -40,7 +41,7 @@ TOKEN = {i: t for t, i in A_TOOL.get_vocab().items()}
 def encoded(text):
     if not text:
         return None
-    alphabet = alignment._byte_alphabet()
+    alphabet = {c: b for b, c in byte_alphabet().items()}
     a, b = A_TOOL.encode(" " + text, add_special_tokens=False).ids, B_TOOL.encode(text)
     one = [bytes(alphabet[c] for c in TOKEN[i]) for i in a]
     two = [bytes([int(B_TOOL.id_to_piece(i)[3:5], 16)]) if B_TOOL.is_byte(i) else B_TOOL.id_to_piece(i).replace("▁", " ").encode() for i in b]

@@ -80,6 +80,7 @@ def test_cached_words_give_the_tokenizers_ids(texts):
 
     plain, ours = Tokenizer.from_file(word_bpe_path()), encoder(word_bpe_path())
     more = ["d, x. ,. a,\n.", "###, a!!, b", "１,2. x1, 2.", "\x1c a\x85b", "K İ Á", "<|ENDOFTEXT|> <|endoftext|>x"]
+    more += ["ΟΔΥΣΣΕΥΣ ΣΑΣ ς İstanbul ǅ Äberie ÜÇH", "e\u0301t\u00e9 \u212b \u1e9e \u0130\u0307 ª º ʰ ⅷ Ⅷ ² x² ﬁn ΐ", "한국어 \u1112\u1161\u11ab ไทย हिन्दी ａＢ"]
     for text in [t for _, t in texts] + [t for _, t in ODD if t] + more:
         assert np.frombuffer(ours(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 

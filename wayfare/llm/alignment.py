@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import mapped, mapped_arrow
 from wayfare.llm.fm_index import flat_positions
+from wayfare.llm.tokens import byte_alphabet
 from wayfare.session import written
 
 CHUNK = 1 << 16  # characters of a chunk; longer texts are cut
@@ -49,13 +50,6 @@ _CUT_A = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z]
 _CUT_B = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The published byte-to-character table of byte-level vocabularies: printable bytes stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Tokens:
     """Both tokenizers with the bytes of every token."""
 
@@ -67,7 +61,7 @@ class Tokens:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        alphabet, vocabulary = _byte_alphabet(), self.a.get_vocab(with_added_tokens=True)
+        alphabet, vocabulary = {c: b for b, c in byte_alphabet().items()}, self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             known = all(c in alphabet for c in token)

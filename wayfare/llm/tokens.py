@@ -7,9 +7,12 @@ start of a special token are not lower-cased before the lookup, because those st
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -18,21 +21,50 @@ CACHE_WORDS = 600_000  # forgotten when full; bounds the memory of a worker, nev
 _STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The published byte-to-character table of byte-level vocabularies: printable bytes stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _letters_are_one_run(path: str) -> bool:
+    """Whether the file normalizes by NFC and lower case, then takes each run of letters alone, byte by byte."""
+    with open(path) as f:
+        whole = json.load(f)
+    steps = [x["type"] for x in (whole.get("normalizer") or {}).get("normalizers", [])]
+    first = (whole.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in first] != ["Split", "ByteLevel"]:
+        return False
+    return "|[\\p{L}]+|" in first[0]["pattern"].get("Regex", "") and not first[1]["add_prefix_space"] and not first[1]["use_regex"]
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if _letters_are_one_run(path) else None
+        self.alphabet = byte_alphabet()
         self.cache: dict[bytes, bytes] = {}
 
+    def _ids(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8")
+        if self.model is not None and "\u03a3" not in text:  # a capital sigma has two small forms
+            low = text if text.isascii() and text.islower() else text.lower()
+            # A word of letters is one run: it goes to the model as it is, without the search for runs.
+            if low.isalpha() and is_normalized("NFC", text):
+                if not low.isascii():
+                    low = low.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                return [t.id for t in self.model.tokenize(low)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _learn(self, words: set[bytes]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        encode = self.tokenizer.encode
         for word in words:
-            ids = encode(word.decode("utf-8"), add_special_tokens=False).ids
-            self.cache[word] = np.asarray(ids, dtype="<u4").tobytes()
+            self.cache[word] = array("I", self._ids(word)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null or empty text has none."""

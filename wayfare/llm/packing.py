@@ -179,11 +179,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
     """The token pieces of every document; a null or empty text is the separator alone."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer_path), np.asarray([separator], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            out = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                data = encode(text) + end
+        encode, end = encoder(tokenizer_path).many, np.asarray([separator], dtype="<u4").tobytes()
+        for batch in slices(batches, 1024):
+            out, first = [], 0
+            ids, stops = encode(batch["text"].tolist())
+            for doc_id, stop in zip(batch["doc_id"].tolist(), stops.tolist()):
+                data = ids[first:stop].tobytes() + end
+                first = stop
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))

@@ -22,7 +22,7 @@ from wayfare.session import shared_folder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-ROWS = 512  # texts encoded at a time
+ROWS = 1024  # texts encoded at a time
 
 
 def write_tokens(
@@ -41,23 +41,26 @@ def write_tokens(
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, start = encoder(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes(), 0
+        encode, start = encoder(tokenizer_path).many, 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [encode(x) + end for x in batch.column("text").to_pylist()]
-                lengths = np.asarray([len(x) // 4 for x in ids], dtype="int64")
-                ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, ends).astype("int32")), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                )
+                ids, ends = encode(batch.column("text").to_pylist())
+                # Each text's end id follows its ids.
+                ends = ends + np.arange(1, batch.num_rows + 1)
+                held = np.full(int(ends[-1]), end_id, dtype="<i4")
+                inside = np.ones(len(held), bool)
+                inside[ends - 1] = False
+                held[inside] = ids.view("<i4")
+                lengths = np.diff(np.append(0, ends))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("int32")), pa.array(held))
                 columns = [batch.column("doc_id"), batch.column("part"), pa.array(start + ends - lengths), pa.array(lengths), lists]
                 start += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "tokens"])
 
     schema = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))

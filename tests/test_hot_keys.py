@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators import features, product, quality, staging
 from wayfare.operators.ordered import (
+    heavy_keys,
     hot_keys,
     join_unique,
     number_rows,
@@ -70,6 +71,32 @@ def searches(spark):
     return spark.createDataFrame(made, schema)
 
 
+@pytest.mark.parametrize("tracked", [16, 64, 65_536])
+@pytest.mark.parametrize("threshold", [1, 7, 60, 700, 100_000])
+def test_heavy_keys_are_exact_with_every_threshold(spark, tracked, threshold):
+    """A few heavy keys, a long tail and a key with a third of the rows; small sketches must go on in parts."""
+    rng = random.Random(tracked + threshold)
+    made = []
+    for i in range(6000):
+        a = "hot" if i % 3 == 0 else f"k{min(int(rng.paretovariate(0.7)), 900)}"
+        made.append((a, None if i % 5 == 0 else rng.randrange(40), i % 2))
+    table = spark.createDataFrame(made, "a string, b int, c int").repartition(7)
+    keys = {"one": ["a"], "two": ["b", "c"]}
+    found = heavy_keys(table, keys, threshold, tracked)
+    want = None
+    for name, columns in keys.items():
+        counted = table.groupBy(F.xxhash64(*columns).alias("hash")).agg(F.count("*").alias("rows"))
+        part = counted.filter(F.col("rows") > threshold).select(F.lit(name).alias("name"), "hash", "rows")
+        want = part if want is None else want.unionByName(part)
+    assert rows(found) == rows(want)
+
+
+def test_one_scan_without_heavy_keys(spark, skewed):
+    """No candidates, no recount: the sketch is the only job, and its result names no key."""
+    assert heavy_keys(skewed, {"session": ["session_id_hash"], "sku": ["product_sku_hash"]}, 5_000).isEmpty()
+    assert heavy_keys(skewed.limit(0), {"session": ["session_id_hash"]}, 0).isEmpty()
+
+
 @pytest.mark.parametrize("hot_rows,slices", [(100, 7), (5, 3), (1, 11)])
 def test_staging(skewed, hot_rows, slices):
     plain = staging.stage_browsing(skewed)

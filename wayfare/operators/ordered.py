@@ -2,15 +2,16 @@
 
 Spark's windows put a whole window partition into one task. Two ideas avoid that:
 
-* `hot_keys` finds the few keys above a row threshold with one narrow counting pass. All other
-  keys take Spark's own window or join. With no hot key the plan is Spark's own plan.
+* `heavy_keys` finds the few keys above a row threshold from a mergeable sketch of the frequent items, one pass for
+  all keys of a table, and counts only the candidates again. All other keys take Spark's own window or join. With no
+  hot key the plan is Spark's own plan.
 * Rows of hot keys (or of the whole table, for a global order) are cut into range slices by
   (key, order). A window runs inside each slice and a small table with one row per
   (key, slice) carries counts, sums or the last value over the slice borders.
 
 That small table has at most `#keys + #slices` rows, because a range slice adds a row only where a
-key crosses its border, so broadcasting it is bounded by the number of hot keys (MAX_HOT_KEYS) or
-of groups plus the number of slices, whatever the data holds.
+key crosses its border. There are at most rows / threshold hot keys; what depends on their number is broadcast
+after counting it, and joined by a shuffle beyond BROADCAST_ROWS.
 """
 
 from __future__ import annotations
@@ -21,33 +22,96 @@ from pyspark.sql import functions as F
 from wayfare.session import written
 
 HOT_ROWS = 1_000_000  # rows a single task may hold for one key; spark.wayfare.hotRows overrides
-MAX_HOT_KEYS = 100_000  # keys handled apart; the broadcast of their hashes is under 1 MB
+TRACKED = 65_536  # items of a frequent-items sketch
+MISSED = 8  # no key with more than MISSED / TRACKED of the rows of a sketch is ever missed; the bound is 3.5 / (TRACKED / 0.75) twice
+BROADCAST_ROWS = 1_000_000  # hashes of hot keys sent to every executor: 8 MB
 SLICE = "__slice"
 KEY_HASH = "__key_hash"
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Hashes of the keys with more than `hot_rows` rows, or None when there are none.
+def row_threshold(df: DataFrame, hot_rows: int | None = None) -> int:
+    named = df.sparkSession.conf.get("spark.wayfare.hotRows", str(HOT_ROWS))
+    return int(named) if hot_rows is None else hot_rows
+
+
+def _sketched(rows: DataFrame, names: list[str], tracked: int) -> list[tuple[str, int, list]]:
+    """(name, rows, frequent hashes with an upper bound of their rows) over all rows; one scan for all names."""
+    sketch = [F.expr(f"approx_top_k_estimate(approx_top_k_accumulate(`{n}`, {tracked}), {tracked})").alias(n) for n in names]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *sketch).first()
+    return [(n, found["n"], found[n] or []) for n in names]
+
+
+def _sketched_parts(long: DataFrame, parts: int, tracked: int) -> list[tuple[str, int, list]]:
+    """The same for long rows (name, hash), each name in `parts` parts with a sketch of its own."""
+    item = f"approx_top_k_estimate(approx_top_k_accumulate(hash, {tracked}), {tracked})"
+    by_part = long.groupBy("name", F.pmod(F.hash("hash"), F.lit(parts)).alias("part"))
+    found = by_part.agg(F.count(F.lit(1)).alias("n"), F.expr(item).alias("items")).collect()
+    return [(r["name"], r["n"], r["items"]) for r in found]
+
+
+def heavy_keys(
+    df: DataFrame, keys: dict[str, list[str]], hot_rows: int | None = None, tracked: int = TRACKED
+) -> DataFrame:
+    """(name, hash, rows) of every key with more than `hot_rows` rows, for several keys of one table.
 
-    The pass shuffles one (hash, count) pair per key and task. At most MAX_HOT_KEYS are returned,
-    the largest first with ties broken by hash; a key beyond them holds less than 1/MAX_HOT_KEYS of
-    all rows and is handled exactly by the ordinary path. Two keys with one hash are both treated as
-    hot, which is slower but not wrong.
+    A sketch of `tracked` items misses no key with more than MISSED / tracked of its rows. While that share is above the
+    threshold for some rows, the candidates so far are set aside and the rest is sketched again in more parts, so
+    every threshold is met exactly. Candidates, a bounded number per sketch, are counted again in one scan; without
+    one there is no second scan. Two keys with one hash are both treated as hot, which is slower but not wrong.
     """
-    named = df.sparkSession.conf.get("spark.wayfare.hotRows", str(HOT_ROWS))
-    threshold = int(named) if hot_rows is None else hot_rows
-    counted = (
-        df.select(F.xxhash64(*keys).alias(KEY_HASH))
-        .groupBy(KEY_HASH)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > threshold)
-        .orderBy(F.desc("rows"), KEY_HASH)
-        .limit(MAX_HOT_KEYS)
-    )
-    found = written(counted.select(KEY_HASH), "hot-keys")
+    spark = df.sparkSession
+    threshold = row_threshold(df, hot_rows)
+    hashed = df.select(*[F.xxhash64(*columns).alias(name) for name, columns in keys.items()])
+
+    def long(names: list[str]) -> DataFrame:
+        return hashed.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("hash")) for n in names])))
+
+    def table(pairs: set[tuple[str, int]]) -> DataFrame:
+        return spark.createDataFrame(sorted(pairs), "name string, hash long")
+
+    if threshold < 1:  # every key: nothing to leave out
+        counted = long(list(keys)).groupBy("name", "hash").agg(F.count(F.lit(1)).alias("rows"))
+        return written(counted, "heavy-keys")
+    candidates: set[tuple[str, int]] = set()
+    found, parts = _sketched(hashed, list(keys), tracked), 1
+    while True:
+        new = {(name, item["item"]) for name, _, items in found for item in items if item["count"] > threshold}
+        open_names = sorted({name for name, n, _ in found if MISSED * n > threshold * tracked})
+        candidates |= new
+        if not open_names:
+            break
+        most = max(n for name, n, _ in found if name in open_names)
+        parts *= max(2, -(-MISSED * most // (threshold * tracked)))
+        rest = long(open_names)
+        if candidates:
+            rest = rest.join(F.broadcast(table(candidates)), ["name", "hash"], "left_anti")
+        found = _sketched_parts(rest, parts, tracked)
+    if not candidates:
+        return spark.createDataFrame([], "name string, hash long, rows long")
+    # Candidates are at most MISSED / threshold of all rows; they are counted before they are sent anywhere.
+    names = sorted({name for name, _ in candidates})
+    listed = table(candidates)
+    listed = F.broadcast(listed) if len(candidates) <= BROADCAST_ROWS else listed
+    counted = long(names).join(listed, ["name", "hash"], "left_semi").groupBy("name", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    return written(counted.filter(F.col("rows") > threshold), "heavy-keys")
+
+
+def keys_named(heavy: DataFrame, name: str) -> DataFrame | None:
+    """The hashes of one key out of `heavy_keys`, or None when there are none."""
+    found = heavy.filter(F.col("name") == name).select(F.col("hash").alias(KEY_HASH))
     return None if found.isEmpty() else found
 
 
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Hashes of the keys with more than `hot_rows` rows, or None when there are none."""
+    return keys_named(heavy_keys(df, {"key": keys}, hot_rows), "key")
+
+
+def sent(small: DataFrame, hot: DataFrame) -> DataFrame:
+    """`small`, with about one row per hot key, broadcast if the hot keys are few enough."""
+    return F.broadcast(small) if hot.count() <= BROADCAST_ROWS else small
+
+
 def split_hot(
     df: DataFrame, keys: list[str], hot: DataFrame | None
 ) -> tuple[DataFrame | None, DataFrame]:
@@ -55,10 +119,10 @@ def split_hot(
     if hot is None:
         return None, df
     hashed = df.withColumn(KEY_HASH, F.xxhash64(*keys))
-    # Bounded by MAX_HOT_KEYS 8-byte hashes.
+    listed = sent(hot, hot)
     return (
-        hashed.join(F.broadcast(hot), KEY_HASH, "left_semi").drop(KEY_HASH),
-        hashed.join(F.broadcast(hot), KEY_HASH, "left_anti").drop(KEY_HASH),
+        hashed.join(listed, KEY_HASH, "left_semi").drop(KEY_HASH),
+        hashed.join(listed, KEY_HASH, "left_anti").drop(KEY_HASH),
     )
 
 
@@ -237,7 +301,7 @@ def join_unique(
     """Join where `small` has at most one row per key and `big` may hold hot keys.
 
     `hot` comes from `hot_keys` over the keys of `big`. Hot rows meet a broadcast of only the hot part of
-    `small` (at most MAX_HOT_KEYS rows, one per key, plus hash twins); the rest is an ordinary join.
+    `small` (one row per hot key, plus hash twins, counted before); the rest is an ordinary join.
     `how` is "left" or "inner"; `condition` may name columns of both sides.
     """
 
@@ -256,4 +320,4 @@ def join_unique(
     if hot_big is None:
         return result
     hot_small, _ = split_hot(small, keys, hot)
-    return result.unionByName(joined(hot_big, F.broadcast(hot_small)))
+    return result.unionByName(joined(hot_big, sent(hot_small, hot)))

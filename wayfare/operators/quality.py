@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import hot_keys, previous_sliced, quantiles, split_hot
+from wayfare.operators.ordered import hot_keys, keys_named, previous_sliced, quantiles, split_hot
 from wayfare.operators.staging import INSTANT, SESSION, TS, dedup_events, usable_events
 from wayfare.operators.tables import one_row, stacked
 
@@ -140,7 +140,10 @@ def _profile(events: DataFrame) -> DataFrame:
 
 
 def session_profile(
-    browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
+    browsing: DataFrame,
+    hot_rows: int | None = None,
+    slices: int | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """One row per raw session with all that the checks below count; one shuffle of the events.
 
@@ -148,7 +151,8 @@ def session_profile(
     repeated rows and their copies, moments with several events, detail/pageview pairs, first and last time.
     """
     events = browsing.select(*c.EVENT_COLUMNS, "file_row_idx")
-    hot, ordinary = split_hot(events, [SESSION], hot_keys(events, [SESSION], hot_rows))
+    found = hot_keys(events, [SESSION], hot_rows) if heavy is None else keys_named(heavy, "session")
+    hot, ordinary = split_hot(events, [SESSION], found)
     profile = _profile(_with_neighbours(ordinary.repartition(SESSION)))
     if hot is None:
         return profile

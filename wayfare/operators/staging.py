@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import hot_keys, number_sliced, split_hot
+from wayfare.operators.ordered import hot_keys, keys_named, number_sliced, sent, split_hot
 from wayfare.session import written
 
 SESSION = "session_id_hash"
@@ -124,8 +124,9 @@ def _first_add() -> Column:
     )
 
 
-def _stage_ordinary(events: DataFrame) -> DataFrame:
-    together = describe_events(collapse_double_fire(dedup_events(events.repartition(SESSION))))
+def _stage_ordinary(events: DataFrame, parts: int | None = None) -> DataFrame:
+    dealt = events.repartition(SESSION) if parts is None else events.repartition(parts, SESSION)
+    together = describe_events(collapse_double_fire(dedup_events(dealt)))
     by_session = Window.partitionBy(SESSION)
     in_order = by_session.orderBy(TS, "file_row_idx")
     sequenced = together.withColumn("event_seq", F.row_number().over(in_order).cast("bigint"))
@@ -143,7 +144,7 @@ def _stage_ordinary(events: DataFrame) -> DataFrame:
     ).select(*STAGED_COLUMNS, *HELPER_COLUMNS)
 
 
-def _stage_hot(events: DataFrame, slices: int | None) -> DataFrame:
+def _stage_hot(events: DataFrame, hot: DataFrame, slices: int | None) -> DataFrame:
     described = describe_events(collapse_double_fire_spread(dedup_events(events)))
     order = [F.col(TS), F.col("file_row_idx")]
     # Read four times below.
@@ -158,13 +159,13 @@ def _stage_hot(events: DataFrame, slices: int | None) -> DataFrame:
             .select(SESSION, "event_seq", F.lit(True).alias(name))
         )
 
-    # One row per hot session: bounded by MAX_HOT_KEYS.
+    # One row per hot session.
     anchors = sequenced.groupBy(SESSION).agg(_first_add().alias("__anchor"))
     place = [SESSION, "event_seq"]
     return (
         sequenced.join(firsts("product_sku_hash", ["funnel_stage"], "__sku"), place, "left")
         .join(firsts("hashed_url", [], "__url"), place, "left")
-        .join(F.broadcast(anchors), SESSION, "left")
+        .join(sent(anchors, hot), SESSION, "left")
         .withColumns(
             {
                 "first_of_stage_sku": F.coalesce("__sku", F.lit(False)),
@@ -176,14 +177,35 @@ def _stage_hot(events: DataFrame, slices: int | None) -> DataFrame:
     )
 
 
+def stage_parts(
+    raw_browsing: DataFrame, hot: DataFrame | None, slices: int | None = None, parts: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(events of ordinary sessions, events of hot sessions or None), clean and in a deterministic order.
+
+    With `parts` the ordinary sessions are dealt to so many partitions by session, as a bucketed table wants them.
+    """
+    events = usable_events(raw_browsing).select(*c.EVENT_COLUMNS, "file_row_idx")
+    large, ordinary = split_hot(events, [SESSION], hot)
+    staged = _stage_ordinary(ordinary, parts)
+    return staged, None if large is None else _stage_hot(large, hot, slices)
+
+
 def stage_browsing(
-    raw_browsing: DataFrame, hot_rows: int | None = None, slices: int | None = None
+    raw_browsing: DataFrame,
+    hot_rows: int | None = None,
+    slices: int | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """Clean events in a deterministic order, with the helper columns of this module."""
-    events = usable_events(raw_browsing).select(*c.EVENT_COLUMNS, "file_row_idx")
-    hot, ordinary = split_hot(events, [SESSION], hot_keys(events, [SESSION], hot_rows))
-    staged = _stage_ordinary(ordinary)
-    return staged if hot is None else staged.unionByName(_stage_hot(hot, slices))
+    """Clean events in a deterministic order, with the helper columns of this module.
+
+    `heavy` is the result of `heavy_keys` over the raw log with the session as "session", if it is known already.
+    """
+    if heavy is None:
+        hot = hot_keys(usable_events(raw_browsing), [SESSION], hot_rows)
+    else:
+        hot = keys_named(heavy, "session")
+    staged, large = stage_parts(raw_browsing, hot, slices)
+    return staged if large is None else staged.unionByName(large)
 
 
 def stage_search(raw_search: DataFrame) -> DataFrame:

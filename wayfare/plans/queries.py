@@ -23,7 +23,7 @@ from wayfare.operators import (
     quality,
     staging,
 )
-from wayfare.operators.ordered import hot_keys, number_rows
+from wayfare.operators.ordered import heavy_keys, hot_keys, number_rows
 from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
 from wayfare.plans.warehouse import Warehouse, of_driver_tables
@@ -329,6 +329,21 @@ on_tables(
     "dim_product",
 )
 
+# --- skew -----------------------------------------------------------------------------------------
+
+
+@query("heavy_keys")
+def heavy_keys_of_the_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, SKUs and pages with more than a thousandth of all rows of the log, from one sketch pass."""
+    raw = of_driver_tables(spark, sf_dir)["raw_browsing"]
+    keys = {"session": [SESSION], "sku": ["product_sku_hash"], "page": ["hashed_url"]}
+    found = heavy_keys(raw, keys, raw.count() // 1000)
+    named = [raw.select(F.lit(k).alias("name"), F.col(v[0]).alias("key")).filter("key is not null") for k, v in keys.items()]
+    shown = reduce(DataFrame.unionByName, named).withColumn("hash", F.xxhash64("key"))
+    # Few rows: at most a thousand keys of each kind.
+    return found.join(shown.distinct(), ["name", "hash"]).select("name", "key", "rows")
+
+
 # --- joins ----------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.operators import comparison, features, marts, quality, staging
+from wayfare.operators.ordered import heavy_keys
+from wayfare.operators.staging import SESSION
 from wayfare.session import written
 from wayfare.sources import driver_tables
 from wayfare.sources.csv_files import (
@@ -78,12 +80,18 @@ class Warehouse:
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, name) if self._target is None else write_table(df, f"{self._target}/{name}")
 
+    def heavy_sessions(self) -> DataFrame:
+        """The hot sessions of the raw log, found once for all tables that are made from it."""
+        if "heavy" not in self._built:
+            self._built["heavy"] = heavy_keys(self["raw_browsing"], {"session": [SESSION]}, self._hot_rows)
+        return self._built["heavy"]
+
     def define(self, name: str) -> DataFrame:
         """The query that makes a table from the tables before it, not yet run."""
         if name == "session_profile":
-            return quality.session_profile(self["raw_browsing"], self._hot_rows, self._slices)
+            return quality.session_profile(self["raw_browsing"], self._hot_rows, self._slices, self.heavy_sessions())
         if name == "stg_browsing":
-            return staging.stage_browsing(self["raw_browsing"], self._hot_rows, self._slices)
+            return staging.stage_browsing(self["raw_browsing"], self._hot_rows, self._slices, self.heavy_sessions())
         if name == "stg_search":
             return staging.stage_search(self["raw_search"])
         if name == "dim_product":

@@ -6,12 +6,12 @@ Each event of a cart session carries the sequence number, time and SKU of the se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
 from wayfare.operators.marts import in_stage, valid_clicks
-from wayfare.operators.ordered import hot_keys, join_unique
+from wayfare.operators.ordered import FIND, hot_keys, join_unique, sent, split_hot
 from wayfare.operators.staging import SESSION, TS
 
 
@@ -84,22 +84,50 @@ def cart_label(staged: DataFrame) -> DataFrame:
     return cart_events(staged).groupBy(SESSION).agg(*label_columns())
 
 
+def _early_searches(anchors: DataFrame, events: DataFrame) -> DataFrame:
+    """Searches up to the session's add, without a join: both kinds of rows meet on one exchange by session, and
+    the add's time runs over the rows of its session."""
+    none = F.lit(None)
+    asked = {"add_ts": none.cast("bigint")}
+    point = {TS: none.cast("bigint"), "is_zero_result": none.cast("boolean"), "__clicks": none.cast("bigint")}
+    together = anchors.withColumns(point).unionByName(events.withColumns(asked))
+    add = F.max("add_ts").over(Window.partitionBy(SESSION))
+    return together.withColumn("__add", add).filter(F.col(TS) <= F.col("__add"))
+
+
 def pre_search_features(
-    anchors: DataFrame, searches: DataFrame, hot_rows: int | None = None
+    anchors: DataFrame,
+    searches: DataFrame,
+    hot_rows: int | None = None,
+    hot: DataFrame | object | None = FIND,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Searches up to the add, per cart session that has any.
 
-    `anchors` has one row per session (`first_add`); sessions with very many searches are handled apart.
+    `anchors` has one row per session (`first_add`). Sessions with very many searches are left where they lie: the one
+    add of each is sent to them, and their searches are summed before they move. `hot` names them if they are known.
+    Inputs that lie in equal buckets (`bucketed`) are joined where they are: a union would give their places up.
     """
     events = searches.select(SESSION, TS, "is_zero_result", valid_clicks().alias("__clicks"))
-    point = anchors.select(SESSION, "add_ts")
-    hot = hot_keys(events, [SESSION], hot_rows)
-    early = join_unique(events, point, [SESSION], "inner", hot, F.col(TS) <= F.col("add_ts"))
-    return early.groupBy(SESSION).agg(
+    if hot is FIND:
+        hot = hot_keys(events, [SESSION], hot_rows)
+    many, few = split_hot(events, [SESSION], hot)
+    _, ordinary = split_hot(anchors.select(SESSION, "add_ts"), [SESSION], hot)
+    if bucketed:
+        early = few.join(ordinary, SESSION).filter(F.col(TS) <= F.col("add_ts"))
+    else:
+        early = _early_searches(ordinary, few)
+    sums = [
         F.count(F.lit(1)).alias("pre_n_searches"),
         F.count_if("is_zero_result").alias("pre_n_zero_result"),
         F.sum("__clicks").alias("pre_n_search_clicks"),
-    )
+    ]
+    counted = early.groupBy(SESSION).agg(*sums)
+    if many is None:
+        return counted
+    point, _ = split_hot(anchors.select(SESSION, "add_ts"), [SESSION], hot)
+    late = many.join(sent(point, hot), SESSION).filter(F.col(TS) <= F.col("add_ts"))
+    return counted.unionByName(late.groupBy(SESSION).agg(*sums))
 
 
 CART_COLUMNS = [
@@ -134,12 +162,20 @@ CART_COLUMNS = [
 
 
 def cart_sessions(
-    staged: DataFrame, searches: DataFrame, dimension: DataFrame, hot_rows: int | None = None
+    staged: DataFrame,
+    searches: DataFrame,
+    dimension: DataFrame,
+    hot_rows: int | None = None,
+    hot: DataFrame | object | None = FIND,
+    bucketed: bool = False,
 ) -> DataFrame:
-    """The feature table: one row per session with an add, features before it, label after it."""
+    """The feature table: one row per session with an add, features before it, label after it.
+
+    `hot` names sessions with very many searches if they are known; `bucketed`: both inputs lie in equal buckets.
+    """
     anchors = first_add(staged)
     carts = by_cart(staged).agg(*truncated_columns(), *label_columns())
-    searched = carts.join(pre_search_features(anchors, searches, hot_rows), SESSION, "left")
+    searched = carts.join(pre_search_features(anchors, searches, hot_rows, hot, bucketed), SESSION, "left")
     product = dimension.select(
         F.col("product_sku_hash").alias("added_sku"), "price_bucket", "category_lvl1", "category_depth"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
 from wayfare.operators import funnel, product, search
+from wayfare.operators.cells import cells_of, total
 from wayfare.operators.tables import one_row, stacked
 
 Rule = tuple[str, str, Column, Column, str]
@@ -25,12 +26,13 @@ def as_findings(row: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def funnel_findings(sessions: DataFrame) -> DataFrame:
     """The third finding appears only if both its rates are known and not zero."""
-    carts = sessions.agg(
-        F.count_if("reached_add").alias("with_cart"),
-        F.count_if("cart_abandoned").alias("abandoned"),
-        F.count_if("purchase_without_add").alias("cross_session"),
+    cells = cells_of(sessions)
+    carts = cells.agg(
+        total("reached_add").alias("with_cart"),
+        total("cart_abandoned").alias("abandoned"),
+        total("purchase_without_add").alias("cross_session"),
     )
-    row = one_row(funnel.headline(sessions), carts, funnel.search_influence(sessions))
+    row = one_row(funnel.headline(cells), carts, funnel.search_influence(cells))
     abandoned = c.percent(F.col("abandoned"), F.col("with_cart"))
     rules = [
         ("note", "conversion", F.col("conversion_pct"), F.col("strict_conversion_pct"),

@@ -1,4 +1,8 @@
-"""Funnel analysis on the session fact: aggregates with their percentages, no driver-side work."""
+"""Funnel analysis: aggregates with their percentages over the session summary (`cells`), no driver-side work.
+
+Every report takes the cells, or the session fact, whose cells it then makes for itself. The medians of all reports
+come from one chain of passes over the sessions, `session_medians`.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import quantiles
+from wayfare.operators.cells import FLAGS, cells_of, depth_band, total
+from wayfare.operators.selection import quantiles_by_group
 from wayfare.operators.tables import one_row, stacked
 
-# Upper bounds and labels of the report bands.
-CART_BANDS = [(2, "2 items"), (5, "3-5 items")]
-DEPTH_BANDS = [(1, "1 (bounce)"), (4, "2-4"), (9, "5-9"), (24, "10-24"), (49, "25-49")]
+# The names of the days.
 DAY_NAMES = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 
 
-def _count() -> Column:
-    return F.count(F.lit(1))
+def _stage_counts(sessions: DataFrame) -> DataFrame:
+    return cells_of(sessions).agg(
+        total().alias("n"), *[total(f).alias(f) for f in FLAGS if f.startswith(("reached", "strict"))], total("is_bounce").alias("bounces")
+    )
 
 
-def _bought() -> Column:
-    return F.col("reached_purchase")
+def session_medians(sessions: DataFrame) -> DataFrame:
+    """(measure, median) of all session reports: cart size, duration by depth band, times to each milestone.
+
+    Each session gives one row per measure it has; all medians are selected together.
+    """
+    buy, add = F.col("reached_purchase"), F.col("reached_add")
+    measures = [
+        (F.lit("cart:n_skus_added"), F.when(add, F.col("n_skus_added"))),
+        (F.concat(F.lit("depth:"), depth_band()), F.col("duration_sec_capped")),
+        (F.lit("timing:first_add"), F.when(add, F.col("sec_to_first_add"))),
+        (F.lit("timing:purchase"), F.when(buy, F.col("sec_to_purchase"))),
+        (F.lit("timing:add_to_purchase"), F.when(buy & add, F.col("sec_add_to_purchase"))),
+        (F.lit("timing:duration_all"), F.col("duration_sec_capped")),
+        (F.lit("timing:duration_converting"), F.when(buy, F.col("duration_sec_capped"))),
+    ]
+    rows = F.array(*[F.struct(name.alias("measure"), value.cast("double").alias("value")) for name, value in measures])
+    long = sessions.select(F.inline(rows)).filter(F.col("value").isNotNull())
+    return quantiles_by_group(long, "measure", "value", {"median": 0.5})
 
 
-def _stage_counts(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(
-        _count().alias("n"),
-        *[
-            F.count_if(f"{kind}_{stage}").alias(f"{kind}_{stage}")
-            for kind in ("reached", "strict")
-            for stage in ("detail", "add", "purchase")
-        ],
-        F.count_if("is_bounce").alias("bounces"),
-    )
+def _medians(medians: DataFrame, kind: str, key: str, name: str) -> DataFrame:
+    mine = medians.filter(F.startswith(F.col("measure"), F.lit(f"{kind}:")))
+    return mine.select(F.substring_index("measure", ":", -1).alias(key), F.col("median").alias(name))
 
 
 def overview(sessions: DataFrame) -> DataFrame:
@@ -77,15 +91,16 @@ def headline(sessions: DataFrame) -> DataFrame:
     )
 
 
-def abandonment(sessions: DataFrame) -> DataFrame:
+def abandonment(sessions: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    medians = session_medians(sessions) if medians is None else medians
     row = one_row(
-        sessions.agg(
-            F.count_if("reached_add").alias("with_cart"),
-            F.count_if("cart_abandoned").alias("abandoned"),
-            F.count_if("cart_emptied").alias("emptied"),
-            F.count_if("purchase_without_add").alias("cross_session"),
+        cells_of(sessions).agg(
+            total("reached_add").alias("with_cart"),
+            total("cart_abandoned").alias("abandoned"),
+            total("cart_emptied").alias("emptied"),
+            total("purchase_without_add").alias("cross_session"),
         ),
-        quantiles(sessions.filter("reached_add"), "n_skus_added", {"median_skus_added": 0.5}),
+        _medians(medians, "cart", "__of", "median_skus_added").select("median_skus_added"),
     )
     return row.select(
         "*",
@@ -95,65 +110,46 @@ def abandonment(sessions: DataFrame) -> DataFrame:
 
 
 def by_cart_size(sessions: DataFrame) -> DataFrame:
-    """Conversion by distinct SKUs added. Zero SKUs (adds without a SKU) fall into the last band."""
-    size = F.col("n_skus_added")
-    band = F.when(size == 1, "1 item").when(
-        size >= 2, c.banded(size, CART_BANDS, "6+ items")
-    ).otherwise("6+ items")
-    carts = sessions.filter("reached_add").groupBy(band.alias("cart_size")).agg(
-        F.min(size).alias("smallest"),
-        _count().alias("carts"),
-        F.count_if(_bought()).alias("converted"),
-        c.rate(F.count_if(_bought()), _count()).alias("conv_rate"),
+    """Conversion by distinct SKUs added."""
+    carts = cells_of(sessions).filter("cart_size is not null").groupBy("cart_size").agg(
+        F.min("fewest_skus").alias("smallest"),
+        total().alias("carts"),
+        total("reached_purchase").alias("converted"),
+        c.rate(total("reached_purchase"), total()).alias("conv_rate"),
     )
     return carts.orderBy("smallest")
 
 
-def depth_band() -> Column:
-    return c.banded(F.col("n_events"), DEPTH_BANDS, "50+")
-
-
-def session_depth(sessions: DataFrame) -> DataFrame:
+def session_depth(sessions: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Conversion and median capped duration by events per session. Six groups at most."""
-    banded = sessions.select(
-        depth_band().alias("depth_band"), "n_events", "reached_purchase", "duration_sec_capped"
-    )
-    rates = banded.groupBy("depth_band").agg(
-        F.min("n_events").alias("fewest_events"),
-        _count().alias("sessions"),
-        c.rate(F.count_if(_bought()), _count()).alias("conv_rate"),
+    medians = session_medians(sessions) if medians is None else medians
+    rates = cells_of(sessions).groupBy("depth_band").agg(
+        F.min("fewest_events").alias("fewest_events"),
+        total().alias("sessions"),
+        c.rate(total("reached_purchase"), total()).alias("conv_rate"),
     )
-    medians = quantiles(banded, "duration_sec_capped", {"median_duration_sec": 0.5}, by=["depth_band"])
-    return rates.join(medians, "depth_band", "left").orderBy("fewest_events")
+    marks = _medians(medians, "depth", "depth_band", "median_duration_sec")
+    return rates.join(marks, "depth_band", "left").orderBy("fewest_events")
 
 
-def timing_medians(sessions: DataFrame) -> DataFrame:
-    """Five exact medians in one pass: each measured session gives one row per measure it has."""
-    buy, add = _bought(), F.col("reached_add")
-    measures = {
-        "first_add": F.when(add, F.col("sec_to_first_add")),
-        "purchase": F.when(buy, F.col("sec_to_purchase")),
-        "add_to_purchase": F.when(buy & add, F.col("sec_add_to_purchase")),
-        "duration_all": F.col("duration_sec_capped"),
-        "duration_converting": F.when(buy, F.col("duration_sec_capped")),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("milestone"), v.alias("sec")) for k, v in measures.items()])
-    long = sessions.select(F.inline(rows)).filter(F.col("sec").isNotNull())
-    return quantiles(long, "sec", {"median_sec": 0.5}, by=["milestone"])
+def timing_medians(sessions: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """Five exact medians; a milestone that no session has is left out."""
+    medians = session_medians(sessions) if medians is None else medians
+    return _medians(medians, "timing", "milestone", "median_sec")
 
 
 def search_influence(sessions: DataFrame) -> DataFrame:
-    searched, zero = F.col("used_search"), F.col("n_zero_result_searches") > 0
+    searched, zero = F.col("used_search"), F.col("had_zero_result")
 
     def converted(segment: Column) -> Column:
-        return c.rate(F.count_if(segment & _bought()), F.count_if(segment))
+        return c.rate(total("reached_purchase", segment), total(where=segment))
 
-    row = sessions.agg(
-        F.count_if(searched).alias("searched"),
-        F.count_if(~searched).alias("not_searched"),
+    row = cells_of(sessions).agg(
+        total(where=searched).alias("searched"),
+        total(where=~searched).alias("not_searched"),
         converted(searched).alias("conv_search"),
         converted(~searched).alias("conv_no_search"),
-        F.count_if(zero).alias("had_zero_result"),
+        total(where=zero).alias("had_zero_result"),
         converted(zero).alias("conv_zero_result"),
     )
     times = F.col("conv_search") / F.nullif(F.col("conv_no_search"), F.lit(0.0))
@@ -161,8 +157,8 @@ def search_influence(sessions: DataFrame) -> DataFrame:
 
 
 def _pattern(sessions: DataFrame, column: str) -> DataFrame:
-    return sessions.groupBy(column).agg(
-        _count().alias("sessions"), c.rate(F.count_if(_bought()), _count()).alias("conv_rate")
+    return cells_of(sessions).groupBy(column).agg(
+        total().alias("sessions"), c.rate(total("reached_purchase"), total()).alias("conv_rate")
     )
 
 

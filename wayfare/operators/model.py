@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.metrics import evaluate
-from wayfare.operators.ordered import hot_keys, join_unique, number_sliced, quantiles, running_totals
+from wayfare.operators.ordered import hot_keys, join_unique, number_sliced, running_totals
+from wayfare.operators.selection import quantiles_by_group
 from wayfare.operators.staging import SESSION
 from wayfare.operators.tables import stacked
 from wayfare.session import written
@@ -74,7 +75,7 @@ def numeric_statistics(train: DataFrame, names: list[str], slices: int | None =
         *[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names]
     )
     long = train.select(F.inline(stack))
-    medians = quantiles(long, "value", {"median": 0.5}, by=["feature"], slices=slices)
+    medians = quantiles_by_group(long, "feature", "value", {"median": 0.5})
     known = {r["feature"]: r["median"] for r in medians.collect()}  # one number per feature
     median = {n: F.lit(known.get(n)).cast("double") for n in names}
     filled = {n: F.coalesce(F.col(n).cast("double"), median[n]) for n in names}

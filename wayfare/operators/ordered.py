@@ -25,6 +25,7 @@ HOT_ROWS = 1_000_000  # rows a single task may hold for one key; spark.wayfare.h
 TRACKED = 65_536  # items of a frequent-items sketch
 MISSED = 8  # no key with more than MISSED / TRACKED of the rows of a sketch is ever missed; the bound is 3.5 / (TRACKED / 0.75) twice
 BROADCAST_ROWS = 1_000_000  # hashes of hot keys sent to every executor: 8 MB
+FIND = object()  # in place of hot keys: look for them
 SLICE = "__slice"
 KEY_HASH = "__key_hash"
 

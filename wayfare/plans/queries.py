@@ -26,7 +26,7 @@ from wayfare.operators import (
 from wayfare.operators.ordered import heavy_keys, hot_keys, number_rows
 from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
-from wayfare.plans.warehouse import Warehouse, of_driver_tables
+from wayfare.plans.warehouse import Warehouse, of_driver_tables, session_marts, session_tables
 from wayfare.session import shared_folder
 from wayfare.sources import csv_files, driver_tables, sinks
 
@@ -329,6 +329,26 @@ on_tables(
     "dim_product",
 )
 
+# --- bucketed session tables ------------------------------------------------------------------------
+
+BUCKETS = 16
+
+
+def on_buckets(mart: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        warehouse = of_driver_tables(spark, sf_dir)
+        tables = session_tables(warehouse, own_folder(spark, "bucketed"), BUCKETS)
+        return session_marts(tables, warehouse["dim_product"])[mart]
+
+    return run
+
+
+QUERIES["bucketed_fct_session"] = on_buckets("fct_session")
+QUERIES["bucketed_ml_cart_sessions"] = on_buckets("ml_cart_sessions")
+
+on_tables("session_cells", lambda table: table, "session_cells")
+on_tables("session_medians", lambda table: table, "session_medians")
+
 # --- skew -----------------------------------------------------------------------------------------
 
 

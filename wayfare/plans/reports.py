@@ -14,6 +14,7 @@ _RAW = ("raw_browsing", "raw_search", "raw_catalog")
 _BROWSING, _SEARCH, _CATALOG = ("raw_browsing",), ("raw_search",), ("raw_catalog",)
 _PROFILE = ("session_profile",)
 _SESSIONS, _QUERIES, _PRODUCTS = ("fct_session",), ("stg_search",), ("fct_product_performance",)
+_CELLS, _MEDIANS = ("session_cells",), ("session_medians",)
 _CARTS = ("ml_cart_sessions",)
 _SCORES, _COMPARED = ("model_scores",), ("model_comparison",)
 
@@ -46,18 +47,18 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "dq_findings": (quality.findings, ("session_profile", *_RAW)),
     },
     "funnel": {
-        "funnel_overview": (funnel.overview, _SESSIONS),
-        "funnel_headline": (funnel.headline, _SESSIONS),
-        "cart_abandonment": (funnel.abandonment, _SESSIONS),
-        "conversion_by_cart_size": (funnel.by_cart_size, _SESSIONS),
-        "session_depth": (funnel.session_depth, _SESSIONS),
-        "timing_medians": (funnel.timing_medians, _SESSIONS),
-        "search_influence": (funnel.search_influence, _SESSIONS),
-        "dow_pattern": (funnel.by_weekday, _SESSIONS),
-        "hourly_pattern": (funnel.by_hour, _SESSIONS),
-        "hourly_extremes": (funnel.hourly_extremes, _SESSIONS),
-        "v_funnel": (funnel.funnel_view, _SESSIONS),
-        "funnel_findings": (findings.funnel_findings, _SESSIONS),
+        "funnel_overview": (funnel.overview, _CELLS),
+        "funnel_headline": (funnel.headline, _CELLS),
+        "cart_abandonment": (funnel.abandonment, _CELLS + _MEDIANS),
+        "conversion_by_cart_size": (funnel.by_cart_size, _CELLS),
+        "session_depth": (funnel.session_depth, _CELLS + _MEDIANS),
+        "timing_medians": (funnel.timing_medians, _CELLS + _MEDIANS),
+        "search_influence": (funnel.search_influence, _CELLS),
+        "dow_pattern": (funnel.by_weekday, _CELLS),
+        "hourly_pattern": (funnel.by_hour, _CELLS),
+        "hourly_extremes": (funnel.hourly_extremes, _CELLS),
+        "v_funnel": (funnel.funnel_view, _CELLS),
+        "funnel_findings": (findings.funnel_findings, _CELLS),
     },
     "search": {
         "search_volume": (search.volume, _QUERIES),

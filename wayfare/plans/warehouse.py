@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.operators import comparison, features, marts, quality, staging
-from wayfare.operators.ordered import heavy_keys
+from wayfare.operators import cells, comparison, features, funnel, marts, quality, staging
+from wayfare.operators.ordered import heavy_keys, keys_named
 from wayfare.operators.staging import SESSION
 from wayfare.session import written
+from wayfare.sources.bucketed import SessionTables
 from wayfare.sources import driver_tables
 from wayfare.sources.csv_files import (
     BROWSING_FILE,
@@ -40,7 +41,7 @@ class Warehouse:
     `table(name)` is lazy: a staged table or mart is written when first asked for and read back by everything
     downstream. It goes to `target/name`, replacing what is there, or without a target to the shared folder.
     `keep` names raw tables that are written as well, because making them costs more than reading them.
-    `model_scores` and `model_comparison` are made when a report asks for them. `refresh()` forgets what was built.
+    `session_cells`, `session_medians`, `model_scores` and `model_comparison` are made when a report asks for them. `refresh()` forgets what was built.
     """
 
     def __init__(
@@ -104,6 +105,10 @@ class Warehouse:
             return features.cart_sessions(
                 self["stg_browsing"], self["stg_search"], self["dim_product"], self._hot_rows
             )
+        if name == "session_cells":
+            return cells.session_cells(self["fct_session"])
+        if name == "session_medians":
+            return funnel.session_medians(self["fct_session"])
         if name == "model_scores":
             return comparison.model_scores(self["ml_cart_sessions"], self["fct_session"], self._slices)
         if name == "model_comparison":
@@ -111,6 +116,34 @@ class Warehouse:
         raise KeyError(name)
 
 
+def session_tables(warehouse: Warehouse, folder: str, buckets: int, hot_rows: int | None = None) -> SessionTables:
+    """Events and searches of the warehouse's raw log, bucketed by session under `folder`.
+
+    Staging deals the events to the buckets with its one shuffle; searches are moved once. From then on, what is
+    grouped or joined by session stays where it is: `session_marts`.
+    """
+    raw, searches = warehouse["raw_browsing"], staging.stage_search(warehouse["raw_search"])
+    heavy = heavy_keys(raw, {"session": [SESSION]}, hot_rows)
+    many = heavy_keys(searches, {"session": [SESSION]}, hot_rows)
+    hot = keys_named(heavy.unionByName(many), "session")
+    tables = SessionTables(raw.sparkSession, folder, buckets, hot)
+    tables.put_parts("stg_browsing", *staging.stage_parts(raw, tables.hot, parts=buckets))
+    tables.put("stg_search", searches)
+    return tables
+
+
+def session_marts(tables: SessionTables, dimension: DataFrame) -> dict[str, DataFrame]:
+    """The marts with one row per session, from bucketed tables: no row moves by session."""
+
+    def carts(staged: DataFrame, searches: DataFrame) -> DataFrame:
+        return features.cart_sessions(staged, searches, dimension, hot=None, bucketed=True)
+
+    return {
+        "fct_session": tables.per_session(marts.session_fact, "stg_browsing", "stg_search"),
+        "ml_cart_sessions": tables.per_session(carts, "stg_browsing", "stg_search"),
+    }
+
+
 def of_tables(spark: SparkSession, folder: str) -> Warehouse:
     """The tables an earlier run wrote to `folder`; scores of the models are made when asked for."""
     return Warehouse({n: lambda n=n: spark.read.parquet(f"{folder}/{n}") for n in [*RAW_TABLES, *TABLES]})

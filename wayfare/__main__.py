@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from wayfare.operators import quality
 from wayfare.plans.reports import REPORTS, run_report
 from wayfare.plans.warehouse import RAW_TABLES, of_csv, of_tables
-from wayfare.session import SETTINGS
+from wayfare.session import SETTINGS, released
 from wayfare.sources import csv_files, sinks
 
 SOURCES = {"browsing": "raw_browsing", "search": "raw_search", "catalog": "raw_catalog"}
@@ -90,7 +90,9 @@ def main(argv: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName("wayfare")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return args.action(builder.getOrCreate(), args)
+    spark = builder.getOrCreate()
+    with released(spark):  # nothing of a finished run stays but its tables
+        return args.action(spark, args)
 
 
 if __name__ == "__main__":

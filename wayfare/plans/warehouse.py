@@ -21,6 +21,7 @@ from wayfare.sources.csv_files import (
     ingest_search,
 )
 from wayfare.sources.sinks import write_table
+from wayfare.sources.versions import current
 
 
 TABLES = [
@@ -146,7 +147,7 @@ def session_marts(tables: SessionTables, dimension: DataFrame) -> dict[str, Data
 
 def of_tables(spark: SparkSession, folder: str) -> Warehouse:
     """The tables an earlier run wrote to `folder`; scores of the models are made when asked for."""
-    return Warehouse({n: lambda n=n: spark.read.parquet(f"{folder}/{n}") for n in [*RAW_TABLES, *TABLES]})
+    return Warehouse({n: lambda n=n: current(spark, f"{folder}/{n}") for n in [*RAW_TABLES, *TABLES]})
 
 
 def of_csv(spark: SparkSession, folder: str, target: str) -> Warehouse:

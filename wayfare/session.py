@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_WRITTEN: dict[str, list[str]] = {}  # application -> folders of its intermediate tables
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the block when it ends; what reads them must have run by then."""
+    from wayfare.sources.versions import delete
+
+    paths = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        for path in paths[before:]:
+            delete(spark, path)
+        del paths[before:]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` once to the shared folder and read it back.
 
@@ -62,5 +82,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wayfare/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.operators.marts import PRODUCT_COLUMNS, SESSION_COLUMNS
 from wayfare.operators.quality import constraint_violations
+from wayfare.sources.versions import current, replace_table
 
 TEXT, LONG, DOUBLE, FLAG, TIME = (
     T.StringType(),
@@ -84,10 +87,9 @@ def enforce_contract(df: DataFrame, contract: T.StructType, name: str = "table")
     return df.select(*declared)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at `path` and return it as written."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def write_table(df: DataFrame, path: str, accept: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Replace the table at `path` and return it as written; readers follow the pointer (`versions.current`)."""
+    return replace_table(df, path, accept)
 
 
 def export_csv(df: DataFrame, contract: T.StructType, path: str, header: bool = False) -> None:
@@ -142,4 +144,4 @@ def load_serving(marts: dict[str, DataFrame], target: str, jdbc: dict[str, str]
 
 
 def read_serving(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    return {n: spark.read.schema(s).parquet(f"{target}/{n}") for n, s in CONTRACTS.items()}
+    return {n: enforce_contract(current(spark, f"{target}/{n}"), s, n) for n, s in CONTRACTS.items()}

@@ -112,6 +112,13 @@ def test_two_stage_dedup(skewed):
     assert rows(staging.dedup_events_by_fingerprint(events)) == plain
 
 
+def test_two_stage_dedup_with_colliding_fingerprints(skewed, monkeypatch):
+    """A fingerprint of few values: most groups hold several events and go on to the second stage."""
+    events = staging.usable_events(skewed)
+    monkeypatch.setattr(staging.c, "fingerprint", lambda columns: F.pmod(F.xxhash64(*columns), F.lit(700)))
+    assert rows(staging.dedup_events_by_fingerprint(events)) == rows(staging.dedup_events(events))
+
+
 @pytest.mark.parametrize("hot_rows", [100, 5])
 def test_cart_features(skewed, searches, hot_rows):
     catalog = skewed.sparkSession.createDataFrame(

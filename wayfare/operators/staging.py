@@ -58,16 +58,26 @@ def dedup_events(events: DataFrame) -> DataFrame:
 
 
 def dedup_events_by_fingerprint(events: DataFrame) -> DataFrame:
-    """The same result with a 64-bit fingerprint leading the key: one shuffle, copies merged before it.
+    """The same result in two stages: by a 64-bit fingerprint alone, then by all columns where fingerprints collide.
 
-    Worth it when the grouping spills: sorted by the key, rows differ in their first eight bytes, where events of one
-    session agree in the whole id. The six columns stay in the key, so equal fingerprints of other events never merge.
+    The first stage groups, sorts and compares eight bytes instead of six columns, and carries the least and the greatest
+    event of a fingerprint. Where they are equal the group is one event. Only fingerprints of several events, next to
+    none, are grouped again by all columns.
     """
-    return (
-        events.groupBy(c.fingerprint(c.EVENT_COLUMNS).alias("__fp"), *c.EVENT_COLUMNS)
-        .agg(F.min("file_row_idx").alias("file_row_idx"), F.count(F.lit(1)).alias("raw_row_count"))
-        .drop("__fp")
+    event = F.struct(*c.EVENT_COLUMNS)
+    hashed = events.withColumn("__fp", c.fingerprint(c.EVENT_COLUMNS))
+    first = hashed.groupBy("__fp").agg(
+        F.min(event).alias("__least"),
+        F.max(event).alias("__most"),
+        F.min("file_row_idx").alias("file_row_idx"),
+        F.count(F.lit(1)).alias("raw_row_count"),
     )
+    first = written(first, "fingerprints")
+    alone = first.filter("__least <=> __most").select("__least.*", "file_row_idx", "raw_row_count")
+    several = first.filter("not (__least <=> __most)").select("__fp")
+    if several.isEmpty():
+        return alone
+    return alone.unionByName(dedup_events(hashed.join(several, "__fp", "left_semi").drop("__fp")))
 
 
 def _may_repeat() -> Column:

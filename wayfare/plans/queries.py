@@ -20,6 +20,7 @@ from wayfare.operators import (
     marts,
     metrics,
     model,
+    parity,
     quality,
     staging,
 )
@@ -27,7 +28,7 @@ from wayfare.operators.ordered import heavy_keys, hot_keys, number_rows
 from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
 from wayfare.plans.warehouse import Warehouse, of_driver_tables, session_marts, session_tables
-from wayfare.session import shared_folder
+from wayfare.session import shared_folder, written
 from wayfare.sources import csv_files, driver_tables, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,6 +330,20 @@ on_tables(
     "dim_product",
 )
 
+# --- parity ---------------------------------------------------------------------------------------
+
+
+@query("row_parity")
+def row_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the session fact and a copy with a changed cell, a lost row and a new row."""
+    fact = of_driver_tables(spark, sf_dir)["fct_session"]
+    ends = fact.agg(F.min(SESSION).alias("first"), F.max(SESSION).alias("last")).first()
+    one_more = F.when(F.col(SESSION) == ends["last"], F.col("n_adds") + 1).otherwise(F.col("n_adds"))
+    copy = fact.filter(F.col(SESSION) != ends["first"]).withColumn("n_adds", one_more)
+    new = fact.filter(F.col(SESSION) == ends["first"]).withColumn(SESSION, F.lit("not in the fact"))
+    return parity.differences(fact, written(copy.unionByName(new), "copy"), [SESSION])
+
+
 # --- bucketed session tables ------------------------------------------------------------------------
 
 BUCKETS = 16

@@ -191,12 +191,13 @@ PRODUCT_COLUMNS = [
 ]
 
 
-def product_performance(staged: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Per SKU. Distinct sessions per stage are sums of flags: a hot SKU is merged before the shuffle."""
+def product_counts(staged: DataFrame) -> DataFrame:
+    """Per SKU: events and distinct sessions per stage. All are sums of flags, so counts of parts add up, and a hot
+    SKU is merged before the shuffle."""
     detail, add = in_stage("product_detail"), in_stage("add_to_cart")
     remove, purchase = in_stage("remove_from_cart"), in_stage("purchase")
     new = F.col("first_of_stage_sku")
-    per_sku = (
+    return (
         staged.filter(F.col("product_sku_hash").isNotNull())
         .groupBy("product_sku_hash")
         .agg(
@@ -207,12 +208,16 @@ def product_performance(staged: DataFrame, dimension: DataFrame) -> DataFrame:
             F.count_if(detail).alias("n_views"),
             F.count_if(add).alias("n_adds"),
             F.count_if(purchase).alias("n_purchases"),
+            F.count(F.lit(1)).alias("n_events"),
         )
     )
+
+
+def product_rates(counts: DataFrame, dimension: DataFrame) -> DataFrame:
+    """The product mart from counts; a rate is undefined, not zero, when nobody viewed or added."""
     viewed, added, bought = (F.col(f"sessions_{n}") for n in ("viewed", "added", "purchased"))
-    # Undefined, not zero, when nobody viewed or added.
     return (
-        per_sku.join(dimension, "product_sku_hash", "left")
+        counts.join(dimension, "product_sku_hash", "left")
         .withColumns(
             {
                 "view_to_add_rate": c.ratio(added, viewed),
@@ -222,3 +227,8 @@ def product_performance(staged: DataFrame, dimension: DataFrame) -> DataFrame:
         )
         .select(*PRODUCT_COLUMNS)
     )
+
+
+def product_performance(staged: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Per SKU: counts, distinct sessions per stage, rates."""
+    return product_rates(product_counts(staged), dimension)

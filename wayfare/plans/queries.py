@@ -17,6 +17,7 @@ from wayfare.functions import columns as c
 from wayfare.operators import (
     comparison,
     features,
+    incremental,
     marts,
     metrics,
     model,
@@ -344,6 +345,34 @@ def row_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.differences(fact, written(copy.unionByName(new), "copy"), [SESSION])
 
 
+# --- updates --------------------------------------------------------------------------------------
+
+_BEFORE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def updated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All tables after the last tenth of the log came in, from a build over what was there before; once per folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _BEFORE:
+        house = of_driver_tables(spark, sf_dir)
+        log, asked, catalog = house["raw_browsing"], house["raw_search"], house["raw_catalog"]
+        ends = [t.agg(F.max("file_row_idx")).first()[0] * 9 // 10 for t in (log, asked)]
+        old, old_asked = (t.filter(F.col("file_row_idx") <= end) for t, end in zip((log, asked), ends))
+        new, new_asked = (t.filter(F.col("file_row_idx") > end) for t, end in zip((log, asked), ends))
+        before = Warehouse({"raw_browsing": lambda: old, "raw_search": lambda: old_asked, "raw_catalog": lambda: catalog})
+        kept = {n: before[n] for n in incremental.KEPT if n != "product_counts"}
+        kept["product_counts"] = marts.product_counts(before["stg_browsing"])
+        _BEFORE[key] = incremental.update(kept, old, new, new_asked, catalog)
+    return _BEFORE[key]
+
+
+def on_update(table: str) -> Query:
+    return lambda spark, sf_dir: updated(spark, sf_dir)[table]
+
+
+for _mart in ("fct_session", "fct_product_performance", "dim_product", "ml_cart_sessions"):
+    QUERIES[f"updated_{_mart}"] = on_update(_mart)
+
 # --- bucketed session tables ------------------------------------------------------------------------
 
 BUCKETS = 16

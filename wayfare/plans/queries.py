@@ -24,11 +24,12 @@ from wayfare.operators import (
     parity,
     quality,
     staging,
+    surrogates,
 )
 from wayfare.operators.ordered import heavy_keys, hot_keys, number_rows
 from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
-from wayfare.plans.warehouse import Warehouse, of_driver_tables, session_marts, session_tables
+from wayfare.plans.warehouse import Warehouse, of_driver_tables, session_marts, session_tables, with_surrogates
 from wayfare.session import shared_folder, written
 from wayfare.sources import csv_files, driver_tables, sinks
 
@@ -373,6 +374,38 @@ def on_update(table: str) -> Query:
 for _mart in ("fct_session", "fct_product_performance", "dim_product", "ml_cart_sessions"):
     QUERIES[f"updated_{_mart}"] = on_update(_mart)
 
+# --- surrogate keys -------------------------------------------------------------------------------
+
+_ENCODED: dict[tuple[str, str], tuple[Warehouse, dict[str, DataFrame]]] = {}
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, dict[str, DataFrame]]:
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _ENCODED:
+        _ENCODED[key] = with_surrogates(of_driver_tables(spark, sf_dir))
+    return _ENCODED[key]
+
+
+def on_numbers(mart: str, column: str) -> Query:
+    """A mart built with 8-byte keys, its key as text again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        house, dictionaries = encoded(spark, sf_dir)
+        return surrogates.decode(house[mart], column, dictionaries[column])
+
+    return run
+
+
+QUERIES["numbered_fct_session"] = on_numbers("fct_session", SESSION)
+QUERIES["numbered_fct_product_performance"] = on_numbers("fct_product_performance", surrogates.SKU)
+QUERIES["numbered_ml_cart_sessions"] = on_numbers("ml_cart_sessions", SESSION)
+
+
+@query("session_dictionary")
+def session_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, sf_dir)[1][SESSION]
+
+
 # --- bucketed session tables ------------------------------------------------------------------------
 
 BUCKETS = 16

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.operators import cells, comparison, features, funnel, marts, quality, staging
+from wayfare.operators import cells, comparison, features, funnel, marts, quality, staging, surrogates
 from wayfare.operators.ordered import heavy_keys, keys_named
 from wayfare.operators.staging import SESSION
 from wayfare.session import written
@@ -145,6 +145,12 @@ def session_marts(tables: SessionTables, dimension: DataFrame) -> dict[str, Data
     }
 
 
+def with_surrogates(warehouse: Warehouse) -> tuple[Warehouse, dict[str, DataFrame]]:
+    """(a warehouse over the same raw tables with 8-byte keys; the dictionaries that turn them back into texts)."""
+    raw, dictionaries = surrogates.encode_raw(*[warehouse[n] for n in RAW_TABLES])
+    return Warehouse({n: lambda n=n: raw[n] for n in RAW_TABLES}), dictionaries
+
+
 def of_tables(spark: SparkSession, folder: str) -> Warehouse:
     """The tables an earlier run wrote to `folder`; scores of the models are made when asked for."""
     return Warehouse({n: lambda n=n: current(spark, f"{folder}/{n}") for n in [*RAW_TABLES, *TABLES]})

@@ -31,7 +31,7 @@ from wayfare.operators.staging import SESSION, TS
 from wayfare.plans.reports import REPORTS
 from wayfare.plans.warehouse import Warehouse, of_driver_tables, session_marts, session_tables, with_surrogates
 from wayfare.session import shared_folder, written
-from wayfare.sources import csv_files, driver_tables, sinks
+from wayfare.sources import clustered, csv_files, driver_tables, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,6 +374,35 @@ def on_update(table: str) -> Query:
 for _mart in ("fct_session", "fct_product_performance", "dim_product", "ml_cart_sessions"):
     QUERIES[f"updated_{_mart}"] = on_update(_mart)
 
+# --- clustered layout -----------------------------------------------------------------------------
+
+_CLUSTERED: dict[tuple[str, str], DataFrame] = {}
+
+
+def clustered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _CLUSTERED:
+        staged = of_driver_tables(spark, sf_dir)["stg_browsing"].select(*staging.STAGED_COLUMNS)
+        _CLUSTERED[key] = clustered.write_clustered(staged, own_folder(spark, "clustered"))
+    return _CLUSTERED[key]
+
+
+@query("clustered_day")
+def clustered_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per stage of the first day of the log, read from that day's folder."""
+    table = clustered_events(spark, sf_dir)
+    day = table.agg(F.min(clustered.DAY)).first()[0].isoformat()
+    return clustered.events_between(table, day, day).groupBy("funnel_stage").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("clustered_session")
+def clustered_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of the last session by name, from the row groups that may hold it."""
+    table = clustered_events(spark, sf_dir)
+    last = table.agg(F.max(SESSION)).first()[0]
+    return clustered.events_of(table, SESSION, [last]).select(*staging.STAGED_COLUMNS)
+
+
 # --- surrogate keys -------------------------------------------------------------------------------
 
 _ENCODED: dict[tuple[str, str], tuple[Warehouse, dict[str, DataFrame]]] = {}

@@ -64,7 +64,7 @@ def test_load_replaces_and_counts(spark, marts, tmp_path):
 
 def test_partial_load_raises(spark, marts, tmp_path, monkeypatch):
     whole = sinks.write_table
-    monkeypatch.setattr(sinks, "write_table", lambda df, path: whole(df.limit(1), path))
+    monkeypatch.setattr(sinks, "write_table", lambda df, path, **more: whole(df.limit(1), path, **more))
     with pytest.raises(RuntimeError, match="loaded"):
         sinks.load_serving(marts, str(tmp_path / "serving"))
 

@@ -42,7 +42,9 @@ def test_a_version_that_is_not_accepted_is_not_pointed_to(spark, tmp_path):
         if df.count() > 10:
             raise ValueError("too many")
 
-    versions.replace_table(table(spark, 9), path, refuse)
+    versions.replace_table(table(spark, 9), path, refuse, expected=9)
+    with pytest.raises(RuntimeError, match="8 rows loaded, source has 9"):
+        versions.replace_table(table(spark, 8), path, expected=9)
     with pytest.raises(ValueError, match="too many"):
         versions.replace_table(table(spark, 11), path, refuse)
     assert versions.current(spark, path).count() == 9 and len(held(spark, path)) == 1

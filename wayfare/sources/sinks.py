@@ -87,9 +87,11 @@ def enforce_contract(df: DataFrame, contract: T.StructType, name: str = "table")
     return df.select(*declared)
 
 
-def write_table(df: DataFrame, path: str, accept: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def write_table(
+    df: DataFrame, path: str, accept: Callable[[DataFrame], None] | None = None, expected: int | None = None
+) -> DataFrame:
     """Replace the table at `path` and return it as written; readers follow the pointer (`versions.current`)."""
-    return replace_table(df, path, accept)
+    return replace_table(df, path, accept, expected=expected)
 
 
 def export_csv(df: DataFrame, contract: T.StructType, path: str, header: bool = False) -> None:
@@ -117,7 +119,7 @@ def load_serving(marts: dict[str, DataFrame], target: str, jdbc: dict[str, str]
 
     Marts that break a rule of the serving schema are not loaded: the call raises and names the rules.
     Each table is written as Parquet under `target`, or through JDBC when connection options are given. A copy
-    whose row count differs from its source raises: a partial load is worse than none.
+    whose row count differs from its source raises before it replaces the one before: a partial load is worse than none.
     """
     spark = next(iter(marts.values())).sparkSession
     rules = constraint_violations(marts["fct_session"], marts["fct_product_performance"], marts["dim_product"])
@@ -127,13 +129,14 @@ def load_serving(marts: dict[str, DataFrame], target: str, jdbc: dict[str, str]
     report = None
     for name, contract in CONTRACTS.items():
         source = enforce_contract(marts[name], contract, name)
+        expected = source.count()
         if jdbc is None:
-            copy = write_table(source, f"{target}/{name}")
+            copy = write_table(source, f"{target}/{name}", expected=expected)
         else:
             options = {**jdbc, "dbtable": f"{target}.{name}"}
             source.write.format("jdbc").options(**options).option("truncate", True).mode("overwrite").save()
             copy = spark.read.format("jdbc").options(**options).load()
-        expected, loaded = source.count(), copy.count()
+        loaded = copy.count()
         if expected != loaded:
             raise RuntimeError(f"{name}: {loaded} rows loaded, source has {expected}")
         row = copy.agg(F.count(F.lit(1)).alias("loaded_rows")).select(

@@ -12,8 +12,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 POINTER, VERSION = "_current.json", "_version-"  # hidden from readers of plain folders
@@ -78,23 +77,27 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(
-    df: DataFrame, path: str, accept: Callable[[DataFrame], None] | None = None, keep: int = 0
+    df: DataFrame,
+    path: str,
+    accept: Callable[[DataFrame], None] | None = None,
+    keep: int = 0,
+    expected: int | None = None,
 ) -> DataFrame:
     """Replace the table at `path` and return it as written.
 
-    The rows are counted while they are written and again in the files; `accept` may raise for further reasons. Only
-    then the pointer moves. `keep` earlier versions stay readable (by `version_of`), all others are removed.
+    The rows of the new files are counted; another number than `expected` raises, and `accept` may raise for further
+    reasons. Only then the pointer moves. `keep` earlier versions stay readable (by `version_of`), all others are
+    removed.
     """
     spark = df.sparkSession
     before = pointer(spark, path)
     version = f"{VERSION}{uuid.uuid4().hex}"
-    counted = Observation()
     try:
-        df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{path}/{version}")
+        df.write.mode("errorifexists").parquet(f"{path}/{version}")
         table = spark.read.schema(df.schema).parquet(f"{path}/{version}")
-        n, held = counted.get["n"], table.count()
-        if n != held:
-            raise RuntimeError(f"{path}: {held} rows in the files, {n} were written")
+        n = table.count()  # from the footers
+        if expected is not None and n != expected:
+            raise RuntimeError(f"{path}: {n} rows loaded, source has {expected}")
         if accept is not None:
             accept(table)
     except BaseException:

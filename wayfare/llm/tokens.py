@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 900_000  # forgotten when full; bounds the memory of a worker, never the result
+BATCH_BYTES = 2 << 20  # of text worked on at a time
+CACHE_WORDS = 600_000  # forgotten when full; bounds the memory of a worker, never the result
 # A comma or full stop after a letter and before white space is a token run of its own.
 _STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 _STOPS = (b", ", b". ", b",\n", b".\n")
@@ -96,10 +97,21 @@ class WordEncoder:
     def many(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text ends; null and empty texts have none.
 
-        Words are looked up once per call: Arrow numbers the different ones.
+        Words are looked up once per BATCH_BYTES of text, at least one text: Arrow numbers the different ones.
         """
-        ready = pa.array([self._split_ready(x) for x in texts], pa.large_binary()).cast(pa.large_string())
-        words = pc.ascii_split_whitespace(ready)
+        ids, ends, held, size, total = [], [], [], 0, 0
+        for k, text in enumerate(texts):
+            held.append(self._split_ready(text))
+            size += len(held[-1])
+            if size >= BATCH_BYTES or k == len(texts) - 1:
+                some, stops = self._looked_up(held)
+                ids.append(some)
+                ends.append(stops + total)
+                held, size, total = [], 0, total + len(some)
+        return (np.concatenate(ids), np.concatenate(ends)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _looked_up(self, ready: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(pa.array(ready, pa.large_binary()).cast(pa.large_string()))
         numbered = words.flatten().cast(pa.large_binary()).dictionary_encode()
         held = list(map(self.cache.__getitem__, numbered.dictionary.to_pylist()))
         sizes = np.array([len(x) for x in held], np.int64) // 4

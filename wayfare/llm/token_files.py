@@ -22,6 +22,7 @@ from wayfare.session import shared_folder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+CACHE_WORDS = 900_000  # nothing else of this operator fills a worker
 ROWS = 1024  # texts encoded at a time
 
 
@@ -41,7 +42,7 @@ def write_tokens(
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = encoder(tokenizer_path).many, 0
+        encode, start = encoder(tokenizer_path, CACHE_WORDS).many, 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)

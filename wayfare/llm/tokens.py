@@ -49,26 +49,26 @@ def _letters_are_one_run(path: str) -> bool:
 class _Ids(dict):
     """The ids of words as bytes, worked out when a word is first asked for."""
 
-    def __init__(self, ids) -> None:
+    def __init__(self, ids, most: int) -> None:
         super().__init__()
-        self.ids = ids
+        self.ids, self.most = ids, most
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         found = self[word] = array("I", self.ids(word)).tobytes()
         return found
 
 
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model if _letters_are_one_run(path) else None
         self.alphabet = byte_alphabet()
-        self.cache = _Ids(self._ids)
+        self.cache = _Ids(self._ids, cache_words)
 
     def _ids(self, word: bytes) -> list[int]:
         text = word.decode("utf-8")
@@ -128,9 +128,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and vocabulary."""
-    return WordEncoder(path)
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """One encoder per Python worker, vocabulary and size of its cache."""
+    return WordEncoder(path, cache_words)
 
 
 def vocabulary(name: str) -> str:

@@ -3,8 +3,8 @@
 Rules come first. For the other addresses a template tree is grown per host: level by level, a path segment becomes
 the wildcard `*` if it looks like an identifier or if its node has too many different children; sibling branches
 whose continuations and labels are alike by Hoeffding's test (the merging test of stochastic grammar inference)
-become one. A template is rejected when the share of blocked among its labelled addresses, smoothed towards the share
-over all hosts, is high enough.
+become one. A template is rejected when it has labelled addresses and the share of blocked among them, smoothed towards
+the share over all hosts, is high enough; without labels of its own nothing speaks against it.
 """
 
 from __future__ import annotations
@@ -148,12 +148,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     grown = written(templates(urls), "url-templates")
     total = grown.agg(F.sum("n_block").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("l")).first()
     prior = total["b"] / total["l"] if total["l"] else 0.0
+    blocked, labelled = F.sum("n_block"), F.sum(F.col("n_block") + F.col("n_allow"))
     by_template = grown.groupBy("host", "template").agg(
-        ((F.sum("n_block") + F.lit(WEIGHT * prior)) / (F.sum(F.col("n_block") + F.col("n_allow")) + F.lit(WEIGHT))).alias("purity")
+        ((blocked + F.lit(WEIGHT * prior)) / (labelled + F.lit(WEIGHT))).alias("purity"), labelled.alias("n_labelled")
     )
     by_template = written(by_template, "purities")
     by_path = grown.select("host", "path", "template").join(by_template, ["host", "template"])
-    verdict = F.coalesce("says", F.when(F.col("purity") >= PURE, "block").otherwise("allow"))
+    verdict = F.coalesce("says", F.when((F.col("n_labelled") > 0) & (F.col("purity") >= PURE), "block").otherwise("allow"))
     return rows.join(by_path, ["host", "path"]).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"
     )

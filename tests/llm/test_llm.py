@@ -362,6 +362,64 @@ def test_planted_items_are_found(spark):
     assert next(r["n_changed"] for r in rows if r["doc_id"] == 11) > 0
 
 
+TOM = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have at the end of the day?"
+MARIA = "Maria walks along the long river path today."
+SOLVE = "Solve 3 x + 5 = 20 and 4 y - 7 = 9 and 2 z + 1 = 11"
+
+
+@pytest.mark.parametrize(
+    "item, text, held",
+    [
+        (TOM, TOM, True),
+        (TOM, "Ann has 8 apples. Ann buys 2 more apples. How many apples does Ann have at the end of the day?", True),
+        (TOM, "He said that Ann has 8 apples. Ann buys 2 more apples. How many apples does Ann have at the end of the day?", True),
+        (TOM, "Ann has 8 apples. Bob buys 2 more pears. Who knows what apples Eve may eat at the end of the day?", False),
+        (MARIA, "It reads, Maria walks along the long river path today.", True),
+        (MARIA, "It reads, Peter walks along the long river path today.", True),
+        (MARIA, "maria walks along the long river path today and more", True),
+        (MARIA, "Maria walks along a long river path today.", False),
+        (SOLVE, f"so that {SOLVE}", True),
+        (SOLVE, f"so that {SOLVE.lower()} or so", True),
+        (SOLVE, "so that Solve 3 x + 5 = 21 and 4 y - 8 = 9 and 2 z + 6 = 11", False),
+        ("3 + 5", "he wrote 3 + 5 on it", False),
+    ],
+)
+def test_readings_of_an_item(spark, item, text, held):
+    """An opening capital is a word or a name; windows poor in words are found as they stand, and only so."""
+    docs = spark.createDataFrame([(1, f"{LONG[:3000]} {text}"), (2, text), (3, LONG[:3000])], "doc_id long, text string")
+    rows = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == ([1, 2] if held else [])
+
+
+def test_questions_with_other_names_and_numbers(spark):
+    """Every item is planted with other fillings, names at openings too; nothing else is found."""
+    rng = random.Random(11)
+    names = "Anna Peter Maria John Laura Simon Clara Victor Emma Oscar".split()
+    stock = [f"{a}{b}" for a in "ba ko ri tu me la so ni".split() for b in "len rak sit mon dur pel".split()]
+
+    def question():
+        parts = []
+        for _ in range(4):
+            verbs = rng.sample(stock, 6)
+            parts.append("{0} " + f"{verbs[0]} {verbs[1]} " + "{%d} " % rng.randint(1, 3) + f"{verbs[2]} {verbs[3]} {verbs[4]} {verbs[5]}.")
+        return " ".join(parts)
+
+    def filled(form):
+        return form.format(rng.choice(names), *rng.sample(range(2, 99), 3))
+
+    forms = [question() for _ in range(60)]
+    items = [(k, filled(f)) for k, f in enumerate(forms)]
+    filler = " ".join(rng.choice(stock) for _ in range(300))
+    table = [(k, f"{filler[: rng.randint(0, 900)]} {filled(f)} {filler}") for k, f in enumerate(forms)]
+    table += [(1000 + k, f"{filler} {filled(question())}") for k in range(60)]
+    rows = decontaminate.contaminated(
+        spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    planted = {(k, k) for k in range(60)}
+    assert len(found & planted) >= 0.95 * len(planted) and not found - planted
+
+
 def test_slots_must_agree():
     ok = [("0\x1e1\x1e5", "0\x1e1\x1e7"), ("3\x1e1\x1e5", "3\x1e1\x1e7"), ("2\x1e1\x1e5", "2\x1e1\x1e8")]
     assert decontaminate.agreeing(ok) == [True, True, False]
@@ -417,6 +475,16 @@ def test_impure_templates_are_rejected(spark):
     assert ("/spam/*", "block") in verdicts and ("/news/*", "allow") in verdicts and len(verdicts) == 2
 
 
+def test_a_list_of_blocking_rules_only(spark):
+    """Every label says block, so the prior is 1: templates without labels must pass all the same."""
+    urls = [(k, f"http://good.example/news/{k}") for k in range(50)] + [(100 + k, f"http://a.net/x/{k}") for k in range(20)]
+    urls += [(200 + k, f"http://h.example/spam/{k}") for k in range(60)]
+    rules = [("net/", "block")] + [(f"h.example/spam/{k}", "block") for k in range(10, 20)]
+    rows = url_templates.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()
+    blocked = {r["page_id"] for r in rows if r["verdict"] == "block"}
+    assert blocked == {i for i, _ in urls if i >= 100}
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
 

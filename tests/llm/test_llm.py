@@ -485,6 +485,56 @@ def test_a_list_of_blocking_rules_only(spark):
     assert blocked == {i for i, _ in urls if i >= 100}
 
 
+def _prose(rng, n=12):
+    return " ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n)) + "."
+
+
+def test_layouts_without_an_article_element(spark):
+    """Hosts of several layouts, of copies, and with repeated lines, against the texts that the pages were made of."""
+    rng = random.Random(3)
+    menu = "<div><ul>" + "".join(f"<li><a href='/{k}'>Section number {k} of this site</a></li>" for k in range(9)) + "</ul></div>"
+
+    def plain(texts):
+        return f"<html><body>{menu}<div><div><h1>{texts[0]}</h1>{''.join(f'<p>{x}</p>' for x in texts[1:])}</div></div></body></html>"
+
+    def tabular(texts):
+        rows = "".join(f"<tr><td><p>{x}</p></td></tr>" for x in texts)
+        return f"<html><body>{menu}<section><table>{rows}</table></section><div>Made here</div></body></html>"
+
+    def tagged(texts):
+        return f"<html><body>{menu}<article><h1>{texts[0]}</h1>{''.join(f'<p>{x}</p>' for x in texts[1:])}</article></body></html>"
+
+    def flagged(texts):  # the only article element is a comment
+        return plain(texts).replace("</body>", "<div class='comments'><article><p>I do not think so.</p></article></div></body>")
+
+    pages, expected = [], {}
+
+    def add(host, form, texts, without=()):
+        i = len(pages)
+        pages.append((i, f"http://{host}/{i}", form(texts), "x", 1))
+        expected[i] = "\n".join(x for x in texts if x not in without)
+
+    for k in range(10):
+        add("mixed.example", tagged if k == 4 else plain, [_prose(rng, 4), *[_prose(rng) for _ in range(1 + k % 3)]])
+    same = [_prose(rng, 4), _prose(rng), _prose(rng)]
+    for _ in range(6):
+        add("copies.example", plain, same)
+    for k in range(16):
+        add("two.example", (plain, tabular)[k % 2], [_prose(rng, 4), *[_prose(rng) for _ in range(2 + k % 3)]])
+    line = "Write to us if you have seen something of interest to our readers."
+    for _ in range(8):
+        add("lines.example", plain, [_prose(rng, 4), _prose(rng), line, _prose(rng)], without=[line])
+    for _ in range(6):
+        add("flagged.example", flagged, [_prose(rng, 4), _prose(rng), _prose(rng)])
+    add("one.example", plain, [_prose(rng, 4), *[_prose(rng, 30) for _ in range(400)]])
+    pages += [pages[0], (None, None, None, None, None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, host string, layout int").repartition(3)
+    rows = html_wrappers.extract(table).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r["text"] == expected.get(r["page_id"], "") and r["n_chars"] == len(r["text"]), (r["url"], r["text"])
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
 

@@ -1,14 +1,18 @@
-"""Main text by wrappers: union-free regular expressions inferred per host.
+"""Main text by wrappers: union-free regular expressions inferred per host and layout.
 
 A page is a stream of tokens: starts and ends of elements and text slots. Runs of equal elements are folded into a
 repeated group. The streams of a host are aligned one after the other; what stands in one stream only becomes an
-optional group, so the result has neither alternatives nor copies of the pages: it is the host's wrapper. Its text
-slots are then measured over all pages of the host, and a page's main text is read from the slots that hold the
-article: those below an article or main element, or else those of the region with the most running text.
+optional group, so the result has neither alternatives nor copies of the pages: it is the wrapper of those pages.
+
+Pages of one host may have several layouts, so each layout has a wrapper of its own. Pages with text below an article or
+main element are one layout, whose slots of that kind hold the article. The others are told apart by the regions in which
+they have text; over the different pages of such a layout each slot is measured, and the article is what stands in the
+region with the most running text. Texts that nearly all of these pages repeat are left out there, one by one.
 
 Pages are reduced to streams where they lie, and equal streams of a host are counted before the shuffle. A task aligns
-about `ALIGNED` streams; the wrappers of such shares are aligned in the next round, until a host has one, so neither a
-host with a third of all pages nor one with very many different streams is a hot group.
+about `ALIGNED` streams; the wrappers of such shares are aligned in the next round, until a layout has one, so neither a
+host with a third of all pages nor one with very many different streams is a hot group. Every page is parsed once; its
+stream and the texts that may belong to an article are written, and the rest is done from there.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from wayfare.llm.common import let_workers_import, mapped, slices
 from wayfare.llm.url_templates import address
 from wayfare.session import written
 
-ALIGNED = 64  # streams of a host that are aligned at a time, about
-COPIED = 0.9  # a slot outside the article whose commonest text is on this share of pages belongs to the template
-MIN_PAGES = 5  # pages of a host from which on a text that is always the same says something
+ALIGNED = 64  # streams that are aligned at a time, about
+COPIED = 0.9  # a text outside of article elements on this share of a layout's different pages belongs to the template
+MIN_PAGES = 5  # different pages of a layout from which on a repeated text says something
+TAGGED = 0  # the layout of pages with text below an article or main element
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
@@ -54,6 +59,7 @@ NOT_ARTICLE = frozenset(
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
 ARTICLE = frozenset(["article", "main"])
+RUNNING = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())  # parts of a region
 
 
 class Page:
@@ -307,48 +313,63 @@ def _in_article(path: str) -> bool:
     return first >= 0 and not any("!" in x for x in names)
 
 
-def main_slots(wrapper: str, measured: dict[str, tuple[int, int, float]]) -> list[str]:
-    """The slots of the article. `measured`: letters, letters in links and the share of the commonest text."""
+def region_of(path: str) -> str:
+    """The innermost element around a text that is no part of running text itself."""
+    names = path.split("/")
+    while len(names) > 1 and names[-1] in RUNNING:
+        names.pop()
+    return "/".join(names)
+
+
+def main_slots(wrapper: str, measured: dict[str, tuple[int, int]]) -> list[str]:
+    """The slots of the article. `measured`: letters and letters in links of what the pages do not repeat."""
     paths = slots(from_text(wrapper))
     inside = [p for p in paths if _in_article(p)]
     if inside:
         return inside
-    open_paths = [p for p in paths if "!" not in p and measured.get(p, (0, 0, 0.0))[2] < COPIED]
-    regions: dict[str, float] = {}
-    for path in open_paths:  # the region with the most running text; ties go to the first name
-        letters, linked, _ = measured.get(path, (0, 0, 0.0))
-        names = path.split("/")
-        keep = names[:-1] if len(names) > 1 and names[-1] in ("p", "li", "h1", "h2", "h3", "blockquote", "pre", "td") else names
-        region = "/".join(keep)
-        regions[region] = regions.get(region, 0.0) + max(0, letters - 2 * linked)
+    running = {p: measured[p][0] - 2 * measured[p][1] for p in paths if "!" not in p and p in measured}
+    regions: dict[str, int] = {}
+    for path, letters in running.items():  # ties go to the first name
+        region = region_of(path)
+        regions[region] = regions.get(region, 0) + max(0, letters)
     if not regions:
         return []
     best = min(regions, key=lambda r: (-regions[r], r))
-    return [p for p in open_paths if p == best or p.startswith(best + "/")]
+    return [p for p, letters in running.items() if letters >= 0 and (p == best or p.startswith(best + "/"))]
+
+
+def layout_of(blocks: list[tuple[str, str, int]]) -> tuple[int, list[tuple[str, str, int]]]:
+    """The layout of a page, and the blocks among which its article is."""
+    inside = [x for x in blocks if _in_article(x[0])]
+    if inside:
+        return TAGGED, inside
+    open_blocks = [x for x in blocks if "!" not in x[0]]
+    return hash_of("\n".join(sorted({region_of(x[0]) for x in open_blocks}))) or 1, open_blocks
 
 
-def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages -> (host, wrapper of the page, slot, letters, linked, hash of the text); one row per text block."""
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in slices(batches, 256):
-        rows: dict[tuple, list] = {}
-        for host, source in zip(batch["host"].tolist(), batch["html"].tolist()):
+        out = []
+        for source in batch["html"].tolist():
             page = Page(source)
-            key = (host, as_text(_tree(page.stream)))
-            entry = rows.setdefault(key, [0])
-            entry[0] += 1
-        yield pd.DataFrame([(h, w, n[0]) for (h, w), n in rows.items()], columns=["host", "wrapper", "n"])
+            layout, blocks = layout_of(page.blocks)
+            out.append((layout, as_text(_tree(page.stream)), *([x[k] for x in blocks] for k in range(3))))
+        frame = pd.DataFrame(out, columns=["layout", "wrapper", "paths", "texts", "linked"])
+        for name in ("page_id", "url", "host"):
+            frame.insert(0, name, batch[name].array)
+        frame["page_id"] = frame["page_id"].astype("Int64")
+        yield frame
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in slices(batches, 256):
-        rows: dict[tuple, list[int]] = {}
-        for host, source in zip(batch["host"].tolist(), batch["html"].tolist()):
-            for path, text, linked in Page(source).blocks:
-                entry = rows.setdefault((host, path, hash_of(text)), [0, 0, 0])
-                entry[0] += 1
-                entry[1] += len(text)
-                entry[2] += linked
-        yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["host", "slot", "text", "n", "letters", "linked"])
+PARSED = (
+    "page_id long, url string, host string, layout long, wrapper string, paths array<string>, texts array<string>, linked array<long>"
+)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Each row of `pages` (page_id, url, html) with its host, layout, stream (as a wrapper) and blocks; written."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", address(F.col("url"))[0].alias("host"), "html")
+    return written(mapped(rows, _parsed, PARSED), "parsed-pages")
 
 
 def hash_of(text: str) -> int:
@@ -357,89 +378,97 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8")) >> 1
 
 
-def _align_all(rows: pd.DataFrame) -> pd.DataFrame:
-    """Streams or wrappers of one host (and share) -> their wrapper; the commonest come first."""
+def _align_all(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Streams or wrappers of one layout (and share) -> their wrapper; the commonest come first."""
     rows = rows.sort_values(["n", "wrapper"], ascending=[False, True])
     wrapper: list | None = None
     for text in rows["wrapper"].drop_duplicates():
         nodes = from_text(text)
         wrapper = nodes if wrapper is None else aligned(wrapper, nodes)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [as_text(wrapper or [])], "n": [int(rows["n"].sum())]})
+    out = rows[keys].head(1).reset_index(drop=True)
+    return out.assign(wrapper=as_text(wrapper or []), n=int(rows["n"].sum()))
 
 
-def _aligned_hosts(streams: DataFrame, size: int = ALIGNED) -> DataFrame:
-    """(host, wrapper, n): streams are aligned in shares of about `size`, then the shares' wrappers, round by round."""
-    schema = "host string, wrapper string, n long"
+def _aligned_hosts(streams: DataFrame, size: int = ALIGNED, keys: tuple[str, ...] = ("host",)) -> DataFrame:
+    """(*keys, wrapper, n): streams are aligned in shares of about `size`, then the shares' wrappers, round by round."""
+    named = list(keys)
+    streams = streams.select(*named, "wrapper", "n")
+    schema = streams.schema
     while True:
-        shares = streams.groupBy("host").agg(F.ceil(F.count("*") / size).alias("shares")).filter("shares > 1")
+        shares = streams.groupBy(*named).agg(F.ceil(F.count("*") / size).alias("shares")).filter("shares > 1")
         shares = written(shares, "shares")
         share = F.pmod(F.xxhash64("wrapper"), F.coalesce("shares", F.lit(1)))
-        dealt = streams.join(shares, "host", "left").withColumn("share", share).groupBy("host", "share")
-        streams = written(dealt.applyInPandas(lambda rows: _align_all(rows), schema), "wrappers")
+        dealt = streams.join(shares, named, "left").withColumn("share", share).groupBy(*named, "share")
+        streams = written(dealt.applyInPandas(lambda rows: _align_all(rows, named), schema), "wrappers")
         if shares.isEmpty():
             return streams
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, n, article slots) from pages (host, html)."""
-    let_workers_import(pages.sparkSession)
-    schema = "host string, wrapper string, n long"
-    streams = mapped(pages, _streams, schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
-    whole = _aligned_hosts(written(streams, "streams"))
-
-    # Slots are measured where the wrapper has no article; elsewhere its paths say enough.
-    hosts = whole.filter(~F.col("wrapper").rlike("<(article|main)>")).select("host")
-    blocks = mapped(
-        pages.join(hosts, "host", "left_semi"), _blocks, "host string, slot string, text long, n long, letters long, linked long"
+def _measured(pages: DataFrame) -> DataFrame:
+    """(host, layout, slots, copied) of the layouts without article elements; equal pages count once.
+
+    `slots` has letters and linked letters of each path, `copied` the hashes of the texts that nearly all pages repeat.
+    Both are bounded by what stands on a page: a layout's paths are parts of its regions, and a copied text is on 90% of
+    its pages.
+    """
+    key = ["host", "layout"]
+    rows = pages.filter(F.col("layout") != TAGGED).withColumn("page", F.xxhash64("paths", "texts"))
+    n_pages = rows.select(*key, "page").distinct().groupBy(*key).agg(F.count("*").alias("n_pages"))
+    blocks = rows.select(*key, "page", F.explode(F.arrays_zip("paths", "texts", "linked")).alias("b")).select(
+        *key, "page", F.col("b.paths").alias("path"), F.xxhash64("b.texts").alias("text"),
+        F.char_length("b.texts").cast("long").alias("letters"), F.col("b.linked").alias("linked"),
+    )
+    blocks = blocks.groupBy(*key, "page", "path", "text").agg(F.max("letters").alias("letters"), F.max("linked").alias("linked"))
+    texts = blocks.groupBy(*key, "path", "text").agg(
+        F.count("*").alias("n"), F.sum("letters").alias("letters"), F.sum("linked").alias("linked")
     )
-    texts = blocks.groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("n", "letters", "linked")])
-    measured = texts.groupBy("host", "slot").agg(
-        F.sum("letters").alias("letters"), F.sum("linked").alias("linked"), F.max("n").alias("most")
+    texts = texts.join(written(n_pages, "layouts"), key)
+    texts = texts.withColumn("copy", (F.col("n_pages") >= MIN_PAGES) & (F.col("n") >= COPIED * F.col("n_pages")))
+    paths = texts.groupBy(*key, "path").agg(
+        *[F.sum(F.when(~F.col("copy"), F.col(c)).otherwise(0)).alias(c) for c in ("letters", "linked")],
+        F.collect_set(F.when(F.col("copy"), F.col("text"))).alias("copied"),
     )
-    measured = measured.groupBy("host").agg(F.collect_list(F.struct("slot", "letters", "linked", "most")).alias("slots"))
+    return paths.groupBy(*key).agg(
+        F.collect_list(F.struct("path", "letters", "linked")).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_list("copied"))).alias("copied"),
+    )
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, wrapper, n, article slots, copied texts) from `parsed` pages."""
+    let_workers_import(pages.sparkSession)
+    key = ["host", "layout"]
+    streams = pages.groupBy(*key, "wrapper").agg(F.count("*").alias("n"))
+    whole = _aligned_hosts(written(streams, "streams"), keys=("host", "layout"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for host, wrapper, n, found in zip(batch["host"], batch["wrapper"], batch["n"], batch["slots"]):
-                table = {
-                    s["slot"]: (s["letters"], s["linked"], s["most"] / n if n >= MIN_PAGES else 0.0)
-                    for s in (found if found is not None else [])
-                }
-                out.append((host, wrapper, n, main_slots(wrapper, table)))
-            yield pd.DataFrame(out, columns=["host", "wrapper", "n", "article"])
-
-    return written(
-        mapped(whole.join(measured, "host", "left"), choose, "host string, wrapper string, n long, article array<string>"),
-        "article-slots",
-    )
+            found = [{s["path"]: (s["letters"], s["linked"]) for s in (x if x is not None else [])} for x in batch["slots"]]
+            out = batch.drop(columns="slots")
+            out["article"] = [main_slots(w, m) for w, m in zip(batch["wrapper"], found)]
+            yield out[["host", "layout", "wrapper", "n", "article", "copied"]]
 
-
-def main_text(source: str | None, article: set[str]) -> str:
-    return "\n".join(text for path, text, _ in Page(source).blocks if path in article)
+    schema = "host string, layout long, wrapper string, n long, article array<string>, copied array<long>"
+    joined = whole.join(written(_measured(pages), "measured-slots"), key, "left")
+    return written(mapped(joined, choose, schema), "article-slots")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of `pages`: page_id, url, text (empty if none), n_chars.
 
-    A null page is empty; a page without an address belongs to the empty host. Every page of a host helped to make
+    A null page is empty; a page without an address belongs to the empty host. Every page of a layout helped to make
     its wrapper, so each of its texts has a slot there. Repeated rows get equal results; an empty table gives no rows.
     Only page_id, url and html are read, so other columns cannot clash.
     """
-    host = address(F.col("url"))[0]
-    rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    chosen = wrappers(rows.select("host", "html")).select("host", "article")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 256):
-            out = batch[["page_id", "url"]].copy()
-            out["page_id"] = out["page_id"].astype("Int64")
-            found = batch["article"].tolist()
-            texts = [main_text(x, set(a) if a is not None else set()) for x, a in zip(batch["html"].tolist(), found)]
-            out["text"] = pd.Series(texts, index=out.index, dtype=object)
-            out["n_chars"] = [len(x) for x in texts]
-            yield out
-
-    # Wrappers are one row per host; Spark broadcasts them if they are small enough and splits a hot host if not.
-    joined = rows.join(chosen, "host", "left").select("page_id", "url", "html", "article")
-    return mapped(joined, read, "page_id long, url string, text string, n_chars long")
+    rows = parsed(pages)
+    chosen = wrappers(rows).select("host", "layout", "article", "copied")
+    # Wrappers are one row per layout; Spark broadcasts them if they are small enough and splits a hot host if not.
+    joined = rows.join(chosen, ["host", "layout"], "left")
+    copied = F.coalesce("copied", F.array().cast("array<long>"))
+    blocks = F.filter(
+        F.arrays_zip("paths", "texts"),
+        lambda b: F.array_contains("article", b["paths"])
+        & ((F.size(copied) == 0) | ~F.array_contains(copied, F.xxhash64(b["texts"]))),
+    )
+    text = F.concat_ws("\n", F.transform(blocks, lambda b: b["texts"]))
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

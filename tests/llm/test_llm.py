@@ -606,6 +606,20 @@ def test_language_model(spark, sf_dir):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_grows_with_the_tokens(spark, sf_dir, monkeypatch):
+    unit = maxent_lm.UNIT
+    sizes = [maxent_lm.Vocabulary({}, {}, n, 1) for n in (unit // 2, unit, 8 * unit, 1000 * unit)]
+    assert [v.growth for v in sizes[:3]] == [1.0, 1.0, pytest.approx(2.0)]
+    assert sizes[2].feature_rows == pytest.approx(2 * maxent_lm.ROWS, abs=1)
+    assert sizes[3].tasks == pytest.approx(100 * sizes[1].tasks, abs=1)  # what tasks send stays in proportion
+    monkeypatch.setattr(maxent_lm, "UNIT", 500)
+    monkeypatch.setattr(maxent_lm, "PER_TASK", 500)
+    rows = maxent_lm.score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(math.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_language_model_on_odd_rows(spark):
     assert maxent_lm.score_texts(odd(spark)).count() == len(ODD)
 

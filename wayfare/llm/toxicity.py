@@ -25,7 +25,6 @@ from wayfare.llm.common import id_remainder, mapped, slices
 from wayfare.session import written
 
 MAX_LABELLED = 40_000  # labelled rows the classifier is fitted on; chosen by a hash of the id, so spread evenly
-MAX_TOKENS = 50_000  # tokens with a score: those with the clearest evidence
 PRIOR = 0.01  # weight of the prior, as a share of all counts
 PREFIXES = range(4, 9)  # letters of the word beginnings that count as tokens too, written with a hyphen
 CACHED_WORDS = 500_000  # looked-up words that a worker keeps; forgotten when full
@@ -144,7 +143,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
 
 def token_scores(counts: DataFrame) -> dict[str, float]:
-    """Log-odds with a Dirichlet prior for the tokens with clear evidence; at most MAX_TOKENS."""
+    """Log-odds with a Dirichlet prior for the tokens with clear evidence in the labelled sample."""
     total = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0")).first()
     n1, n0 = float(total["n1"] or 0), float(total["n0"] or 0)
     if not n1 or not n0:
@@ -153,7 +152,7 @@ def token_scores(counts: DataFrame) -> dict[str, float]:
     a, b = F.col("c1") + prior, F.col("c0") + prior
     odds = F.log(a / (n1 + weight - a)) - F.log(b / (n0 + weight - b))
     clear = counts.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    rows = clear.filter(F.col("z") >= CLEAR).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
+    rows = clear.filter(F.col("z") >= CLEAR).collect()  # tokens of at most MAX_LABELLED texts
     return {r["token"]: float(r["odds"]) for r in rows}
 
 
@@ -199,7 +198,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2, thresh
     Null and empty texts have no evidence and get the curve's lowest score. Each row is scored alone, so repeated
     rows get equal scores; an empty table gives no rows. Only doc_id and text are read.
     """
-    let = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS scores
+    let = docs.sparkSession.sparkContext.broadcast(model)  # its tokens come from at most MAX_LABELLED texts
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = let.value

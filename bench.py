@@ -27,6 +27,8 @@ TABLES = [
     "fct_session",
     "fct_product_performance",
     "ml_cart_sessions",
+    "model_rows",
+    "leaky_rows",
 ]
 
 

@@ -17,16 +17,22 @@ LEAKY = [model.WITH_TOTAL, model.WITHOUT_TOTAL]
 MODELS = [BASELINE, *HONEST, *LEAKY]
 
 
-def model_scores(carts: DataFrame, sessions: DataFrame, slices: int | None = None) -> DataFrame:
-    """(model, label, score) of the test rows under each model. The honest fits share one preparation, so do the leaky ones."""
-    rows = model.prepared(carts, slices)
+def model_scores(
+    carts: DataFrame, logistic: DataFrame, boosting: DataFrame, leaky: DataFrame, slices: int | None = None
+) -> DataFrame:
+    """(model, label, score) of the test rows under each model."""
     scored = {
         BASELINE: model.baseline_scores(carts, slices),
-        LOGISTIC: model.score(model.fit_logistic(rows), rows),
-        BOOSTING: model.score(model.fit_gbt(rows), rows),
-        **model.leaky_scores(sessions, slices),
+        LOGISTIC: model.tested(logistic),
+        BOOSTING: model.tested(boosting),
     }
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "label", "score") for name, df in scored.items()])
+    honest = [df.select(F.lit(name).alias("model"), "label", "score") for name, df in scored.items()]
+    return reduce(DataFrame.unionByName, [*honest, leaky])
+
+
+def of_fit(scores: DataFrame, name: str, slices: int | None = None) -> DataFrame:
+    """All metrics of one fit, from its own test rows."""
+    return metrics.evaluate(model.tested(scores), name, slices)
 
 
 def compared(scores: DataFrame, slices: int | None = None) -> DataFrame:
@@ -38,10 +44,6 @@ def compared(scores: DataFrame, slices: int | None = None) -> DataFrame:
     return table.withColumn("best", F.col("model") == best.scalar())
 
 
-def rows_of(table: DataFrame, models: list[str]) -> DataFrame:
-    return table.filter(F.col("model").isin(models)).drop("best")
-
-
 def curves(scores: DataFrame, slices: int | None = None) -> DataFrame:
     """(model, curve, threshold, x, y): ROC (fpr, tpr) and PR (recall, precision) of the four fitted models."""
     parts = []

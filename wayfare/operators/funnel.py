@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
 from wayfare.operators.cells import FLAGS, cells_of, depth_band, total
+from wayfare.operators.marts import entry_context
 from wayfare.operators.selection import quantiles_by_group
+from wayfare.operators.staging import SESSION
 from wayfare.operators.tables import one_row, stacked
 
 # The names of the days.
@@ -172,6 +174,17 @@ def by_hour(sessions: DataFrame) -> DataFrame:
     return _pattern(sessions, "hour_of_day").orderBy("hour_of_day")
 
 
+def by_entry_hour(sessions: DataFrame, staged: DataFrame) -> DataFrame:
+    """Sessions and conversion by the hour of the first event; `moved` counts those that the smallest hour puts elsewhere."""
+    entered = sessions.select(SESSION, "hour_of_day", "reached_purchase").join(entry_context(staged), SESSION)
+    n = F.count(F.lit(1))
+    return entered.groupBy("entry_hour").agg(
+        n.alias("sessions"),
+        c.rate(F.count_if("reached_purchase"), n).alias("conv_rate"),
+        F.count_if(F.col("entry_hour") != F.col("hour_of_day")).alias("moved"),
+    )
+
+
 def hourly_extremes(sessions: DataFrame) -> DataFrame:
     """Busiest, quietest and best-converting hour; ties go to the earliest hour."""
     hour, n, rate = F.col("hour_of_day"), F.col("sessions"), F.col("conv_rate")

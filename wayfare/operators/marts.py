@@ -51,6 +51,12 @@ def session_rollup(staged: DataFrame) -> DataFrame:
     )
 
 
+def entry_context(staged: DataFrame) -> DataFrame:
+    """Weekday and hour of each session's first event: a filter, no shuffle."""
+    first = staged.filter(F.col("event_seq") == 1)
+    return first.select(SESSION, F.col("day_of_week").alias("entry_day"), F.col("hour_of_day").alias("entry_hour"))
+
+
 def valid_clicks() -> Column:
     """Clicks inside the result list, from the two counts: the lists themselves stay unread."""
     return F.col("n_clicks") - F.col("n_phantom_clicks")

@@ -130,7 +130,7 @@ def encode_category(rows: DataFrame, levels: DataFrame, hot_rows: int | None = N
 
 
 def prepared(carts: DataFrame, slices: int | None = None) -> DataFrame:
-    """Split carts with a `features` vector and a double `label`, ready to fit."""
+    """Split carts with a `features` vector and a double `label`, ready to fit; the fits read it many times."""
     split = temporal_split(carts, slices=slices)
     train = split.filter("is_train")
     levels = category_levels(train, slices)
@@ -142,11 +142,9 @@ def prepared(carts: DataFrame, slices: int | None = None) -> DataFrame:
     )
     hot = _one_hot(encoded, int(width))
     assembled = VectorAssembler(inputCols=[*NUMERIC, "level_vector"], outputCol="features").transform(hot)
-    ready = assembled.select(
+    return assembled.select(
         SESSION, "add_ts", "is_train", "features", F.col("purchased").cast("double").alias("label")
     )
-    # The fits read it many times.
-    return written(ready, "model-rows")
 
 
 def _one_hot(rows: DataFrame, width: int) -> DataFrame:
@@ -193,11 +191,25 @@ def fit_gbt(rows: DataFrame, rounds: int = 300):
     ).fit(train)
 
 
-def _facts(model, rows: DataFrame) -> DataFrame:
+def scored_rows(model, rows: DataFrame) -> DataFrame:
+    """(is_train, label, score) of all rows."""
+    return model.transform(rows).select("is_train", "label", vector_to_array("probability")[1].alias("score"))
+
+
+def tested(scores: DataFrame) -> DataFrame:
+    """(label, score) of the test rows."""
+    return scores.filter(~F.col("is_train")).select("label", "score")
+
+
+def boosting_scores(fitted, rows: DataFrame) -> DataFrame:
+    """Scores of all rows with the number of trees that made them."""
+    return scored_rows(fitted, rows).withColumn("n_trees", F.lit(fitted.getNumTrees).cast("bigint"))
+
+
+def _facts(scores: DataFrame, *more: Column) -> DataFrame:
     """Sizes and positives of both parts, the mean training score per class, and the range of all scores."""
     train, positive = F.col("is_train"), F.col("label") == 1.0
-    scored = model.transform(rows).select("is_train", "label", vector_to_array("probability")[1].alias("score"))
-    return scored.agg(
+    return scores.agg(
         F.count_if(train).alias("n_train"),
         F.count_if(train & positive).alias("train_positives"),
         F.count_if(~train).alias("n_rows"),
@@ -205,37 +217,66 @@ def _facts(model, rows: DataFrame) -> DataFrame:
         F.avg(F.when(train & positive, F.col("score"))).alias("of_positives"),
         F.avg(F.when(train & ~positive, F.col("score"))).alias("of_negatives"),
         ((F.min("score") >= 0.0) & (F.max("score") <= 1.0)).alias("in_range"),
+        *more,
     )
 
 
 SIZES = ("n_train", "train_positives", "n_rows", "positives")
 
 
-def check_logistic(carts: DataFrame, slices: int | None = None) -> DataFrame:
+def check_logistic(scores: DataFrame) -> DataFrame:
     """What must hold of the fit whatever the optimizer's digits are.
 
     With balanced classes the intercept, which has no penalty, is settled where the weighted mean score is one half.
     """
-    rows = prepared(carts, slices)
     off = (F.col("of_positives") + F.col("of_negatives")) / 2 - 0.5
     settled = F.coalesce(F.abs(off) < 1e-3, F.lit(False)).alias("settled")
     weight = F.round(F.col("n_train") / (2 * F.col("train_positives")), 9).alias("weight_of_positives")
-    return _facts(fit_logistic(rows), rows).select(*SIZES, weight, settled, "in_range")
+    return _facts(scores).select(*SIZES, weight, settled, "in_range")
 
 
-def check_gbt(carts: DataFrame, rounds: int = 300, slices: int | None = None) -> DataFrame:
+def logistic_moments(rows: DataFrame, fitted) -> DataFrame:
+    """Per numeric feature, its weighted mean among the training buyers and whether the fit reproduces it.
+
+    At the optimum the gradient is zero: the mean of weight * score * value plus the penalty's slope equals the mean of
+    weight * label * value, which does not depend on the fit.
+    """
+    train = balanced_weight(rows.filter("is_train"))
+    first = VectorSlicer(inputCol="features", outputCol="numeric", indices=list(range(len(NUMERIC))))
+    values = first.transform(fitted.transform(train)).select(
+        "label", "weight", vector_to_array("probability")[1].alias("score"), vector_to_array("numeric").alias("x")
+    )
+    means = [
+        F.avg(F.col("weight") * F.col(side) * F.col("x")[k]).alias(f"{side}_{name}")
+        for k, name in enumerate(NUMERIC)
+        for side in ("label", "score")
+    ]
+    slope = {name: F.lit(float(fitted.coefficients[k])) / F.col("n") for k, name in enumerate(NUMERIC)}
+    return stacked(
+        values.agg(F.count(F.lit(1)).alias("n"), *means),
+        ["feature", "moment", "met"],
+        [
+            (
+                F.lit(name),
+                F.round(F.col(f"label_{name}"), 6) + F.lit(0.0),
+                F.abs(F.col(f"score_{name}") + slope[name] - F.col(f"label_{name}")) < 1e-3,
+            )
+            for name in NUMERIC
+        ],
+    )
+
+
+def check_gbt(scores: DataFrame, rounds: int = 300) -> DataFrame:
     """Sizes, no more trees than rounds, scores that rank training positives above negatives on average."""
-    rows = prepared(carts, slices)
-    fitted = fit_gbt(rows, rounds)
     learned = (F.col("of_positives") > F.col("of_negatives")).alias("learned")
-    few = F.lit(1 <= fitted.getNumTrees <= rounds).alias("trees_within_rounds")
-    return _facts(fitted, rows).select(*SIZES, few, learned, "in_range")
+    few = F.max("n_trees").between(1, rounds).alias("trees_within_rounds")
+    return _facts(scores, few).select(*SIZES, "trees_within_rounds", learned, "in_range")
 
 
-def check_leakage(sessions: DataFrame, slices: int | None = None) -> DataFrame:
+def check_leakage(scores: DataFrame, slices: int | None = None) -> DataFrame:
     """The event total gives the label away, and without it the model ranks worse."""
     total = F.col("model") == WITH_TOTAL
-    row = leakage_demo(sessions, slices).agg(
+    row = leakage_demo(scores, slices).agg(
         F.max("n_rows").alias("n_rows"),
         F.max(F.round(F.col("n_rows") * F.col("base_rate")).cast("bigint")).alias("positives"),
         F.max(F.when(total, F.col("roc_auc"))).alias("with_total"),
@@ -249,12 +290,6 @@ def check_leakage(sessions: DataFrame, slices: int | None = None) -> DataFrame:
     )
 
 
-def score(model, rows: DataFrame) -> DataFrame:
-    """(label, score) of the test rows."""
-    tested = model.transform(rows.filter(~F.col("is_train")))
-    return tested.select("label", vector_to_array("probability")[1].alias("score"))
-
-
 def baseline_scores(carts: DataFrame, slices: int | None = None) -> DataFrame:
     """Test rows scored with the overall conversion rate."""
     base = carts.agg(F.avg("purchased").alias("base"))
@@ -286,24 +321,25 @@ def leaky_rows(sessions: DataFrame, names: list[str], slices: int | None = None)
     statistics = numeric_statistics(split.filter("is_train"), names, slices)
     scaled = impute_scale(split, statistics, names)
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-    return written(assembled.select(SESSION, "is_train", "features", "label"), "model-rows")
+    return assembled.select(SESSION, "is_train", "features", "label")
 
 
-def leaky_scores(sessions: DataFrame, slices: int | None = None) -> dict[str, DataFrame]:
-    """Scores of the same linear model on whole-session features with and without the event total.
+def leaky_scores(rows: DataFrame) -> DataFrame:
+    """(model, label, score): test rows under the same linear model with and without the event total.
 
     A feature is scaled by itself, so the rows are prepared once and the total is cut out of the vector.
     """
-    data = leaky_rows(sessions, WHOLE_SESSION, slices)
     others = [at for at, name in enumerate(WHOLE_SESSION) if name != "n_events"]
-    cut = VectorSlicer(inputCol="features", outputCol="others", indices=others).transform(data)
-    less = cut.drop("features").withColumnRenamed("others", "features")
-    return {
-        name: score(fit_logistic(rows, balanced=False), rows) for name, rows in ((WITH_TOTAL, data), (WITHOUT_TOTAL, less))
-    }
+    sliced = VectorSlicer(inputCol="features", outputCol="others", indices=others).transform(rows)
+    less = sliced.drop("features").withColumnRenamed("others", "features")
+    parts = [
+        tested(scored_rows(fit_logistic(part, balanced=False), part)).withColumn("model", F.lit(name))
+        for name, part in ((WITH_TOTAL, rows), (WITHOUT_TOTAL, less))
+    ]
+    return parts[0].unionByName(parts[1]).select("model", "label", "score")
 
 
-def leakage_demo(sessions: DataFrame, slices: int | None = None) -> DataFrame:
+def leakage_demo(scores: DataFrame, slices: int | None = None) -> DataFrame:
     """Metrics of the two leaky models."""
-    rows = [evaluate(scored, name, slices) for name, scored in leaky_scores(sessions, slices).items()]
+    rows = [evaluate(scores.filter(F.col("model") == name), name, slices) for name in (WITH_TOTAL, WITHOUT_TOTAL)]
     return rows[0].unionByName(rows[1])

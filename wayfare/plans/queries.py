@@ -570,7 +570,16 @@ for _name, (_operator, _tables) in REPORTS["purchase_intent"].items():
     if _name != "baseline":  # registered as baseline_score
         on_tables(_name, _operator, *_tables)
 
-on_tables("check_logistic", model.check_logistic, "ml_cart_sessions")
-on_tables("check_gbt", model.check_gbt, "ml_cart_sessions")
-on_tables("check_leakage", model.check_leakage, "fct_session")
+on_tables("check_logistic", model.check_logistic, "logistic_scores")
+on_tables("check_gbt", model.check_gbt, "boosting_scores")
+on_tables("check_leakage", model.check_leakage, "leaky_scores")
 on_tables("check_models", comparison.check_models, "model_comparison")
+
+
+def logistic_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = of_driver_tables(spark, sf_dir)
+    return model.logistic_moments(tables["model_rows"], tables.fitted("logistic"))
+
+
+QUERIES["logistic_moments"] = logistic_moments
+on_tables("session_entry", marts.entry_context, "stg_browsing")

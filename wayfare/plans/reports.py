@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from wayfare.operators import comparison, findings, funnel, model, product, quality, search
+from wayfare.operators import comparison, findings, funnel, metrics, model, product, quality, search
 
 Entry = tuple[Callable[..., DataFrame], tuple[str, ...]]
 
@@ -19,8 +19,12 @@ _CARTS = ("ml_cart_sessions",)
 _SCORES, _COMPARED = ("model_scores",), ("model_comparison",)
 
 
-def _rows(*models: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda table: comparison.rows_of(table, list(models))
+def _fit(name: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda scores: comparison.of_fit(scores, name)
+
+
+def _baseline(carts: DataFrame) -> DataFrame:
+    return metrics.evaluate(model.baseline_scores(carts), comparison.BASELINE)
 
 
 REPORTS: dict[str, dict[str, Entry]] = {
@@ -56,6 +60,7 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "search_influence": (funnel.search_influence, _CELLS),
         "dow_pattern": (funnel.by_weekday, _CELLS),
         "hourly_pattern": (funnel.by_hour, _CELLS),
+        "entry_hours": (funnel.by_entry_hour, ("fct_session", "stg_browsing")),
         "hourly_extremes": (funnel.hourly_extremes, _CELLS),
         "v_funnel": (funnel.funnel_view, _CELLS),
         "funnel_findings": (findings.funnel_findings, _CELLS),
@@ -84,10 +89,10 @@ REPORTS: dict[str, dict[str, Entry]] = {
         "product_findings": (findings.product_findings, _PRODUCTS),
     },
     "purchase_intent": {
-        "baseline": (_rows(comparison.BASELINE), _COMPARED),
-        "fit_logistic": (_rows(comparison.LOGISTIC), _COMPARED),
-        "fit_gbt": (_rows(comparison.BOOSTING), _COMPARED),
-        "leakage_demo": (_rows(*comparison.LEAKY), _COMPARED),
+        "baseline": (_baseline, _CARTS),
+        "fit_logistic": (_fit(comparison.LOGISTIC), ("logistic_scores",)),
+        "fit_gbt": (_fit(comparison.BOOSTING), ("boosting_scores",)),
+        "leakage_demo": (model.leakage_demo, ("leaky_scores",)),
         "accounting_identity": (model.accounting_identity, _SESSIONS),
         "class_means": (model.class_means, _CARTS),
         "model_comparison": (lambda table: table, _COMPARED),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.operators import cells, comparison, features, funnel, marts, quality, staging, surrogates
+from wayfare.operators import cells, comparison, features, funnel, marts, model, quality, staging, surrogates
 from wayfare.operators.ordered import heavy_keys, keys_named
 from wayfare.operators.staging import SESSION
 from wayfare.session import written
@@ -42,7 +42,8 @@ class Warehouse:
     `table(name)` is lazy: a staged table or mart is written when first asked for and read back by everything
     downstream. It goes to `target/name`, replacing what is there, or without a target to the shared folder.
     `keep` names raw tables that are written as well, because making them costs more than reading them.
-    `session_cells`, `session_medians`, `model_scores` and `model_comparison` are made when a report asks for them. `refresh()` forgets what was built.
+    `session_cells`, `session_medians`, the rows and scores of the models and `model_comparison` are made when a report
+    asks for them; each model is fitted once. `refresh()` forgets what was built.
     """
 
     def __init__(
@@ -59,6 +60,7 @@ class Warehouse:
         self._hot_rows = hot_rows
         self._slices = slices
         self._built: dict[str, DataFrame] = {}
+        self._fitted: dict = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -69,6 +71,7 @@ class Warehouse:
 
     def refresh(self) -> None:
         self._built.clear()
+        self._fitted.clear()
 
     def build_all(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in TABLES}
@@ -88,6 +91,13 @@ class Warehouse:
             self._built["heavy"] = heavy_keys(self["raw_browsing"], {"session": [SESSION]}, self._hot_rows)
         return self._built["heavy"]
 
+    def fitted(self, name: str):
+        """The logistic or the boosting model of the prepared carts."""
+        if name not in self._fitted:
+            fit = {"logistic": model.fit_logistic, "boosting": model.fit_gbt}[name]
+            self._fitted[name] = fit(self["model_rows"])
+        return self._fitted[name]
+
     def define(self, name: str) -> DataFrame:
         """The query that makes a table from the tables before it, not yet run."""
         if name == "session_profile":
@@ -110,8 +120,19 @@ class Warehouse:
             return cells.session_cells(self["fct_session"])
         if name == "session_medians":
             return funnel.session_medians(self["fct_session"])
+        if name == "model_rows":
+            return model.prepared(self["ml_cart_sessions"], self._slices)
+        if name == "leaky_rows":
+            return model.leaky_rows(self["fct_session"], model.WHOLE_SESSION, self._slices)
+        if name == "logistic_scores":
+            return model.scored_rows(self.fitted("logistic"), self["model_rows"])
+        if name == "boosting_scores":
+            return model.boosting_scores(self.fitted("boosting"), self["model_rows"])
+        if name == "leaky_scores":
+            return model.leaky_scores(self["leaky_rows"])
         if name == "model_scores":
-            return comparison.model_scores(self["ml_cart_sessions"], self["fct_session"], self._slices)
+            parts = [self[t] for t in ("ml_cart_sessions", "logistic_scores", "boosting_scores", "leaky_scores")]
+            return comparison.model_scores(*parts, self._slices)
         if name == "model_comparison":
             return comparison.compared(self["model_scores"], self._slices)
         raise KeyError(name)

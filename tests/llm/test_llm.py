@@ -620,6 +620,31 @@ def test_language_model_grows_with_the_tokens(spark, sf_dir, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_knows_the_word_before_inside_a_class(spark, monkeypatch):
+    """All words in one class, all equally frequent: only the history tells a usual pair from an unusual one."""
+    monkeypatch.setattr(maxent_lm, "classes_of", lambda company, known: np.r_[22, np.zeros(len(known.place) - 1, int), np.full(maxent_lm.LEAVES, 23)])
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2)
+    pairs = [(f"p{k}", f"q{k}") for k in range(40)]
+    usual = [(next(ids), f"{p} {q} " * 10) for _ in range(40) for p, q in pairs]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = [(p, q, other) for (p, q), (_, other) in zip(pairs, pairs[7:] + pairs[:7])]
+    rows = [*usual, *zip(held, (f"{p} {q}" for p, q, _ in asked)), *zip(held[40:], (f"{p} {o}" for p, _, o in asked))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in maxent_lm.score_texts(table).collect()}
+    assert sum(score[a] > score[b] + 0.3 for a, b in zip(held[:40], held[40:80])) >= 36
+
+
+def test_word_tree_is_a_distribution():
+    """Without weights every place has its share of its class; all places together have probability one."""
+    classes = np.r_[22, np.arange(900) % 22, np.full(maxent_lm.LEAVES, 23)]
+    mass = np.r_[50.0, 10_000.0 / np.arange(1, 901), np.ones(maxent_lm.LEAVES)]
+    tree = maxent_lm.tree_of(classes, mass, 300)
+    token, node, branch = tree.steps(np.arange(len(mass)))
+    log = np.bincount(token, weights=tree.bias[node, branch])
+    assert math.isclose(np.exp(log).sum(), 1.0, rel_tol=1e-5)
+    assert tree.length.max() <= 4
+
+
 def test_language_model_on_odd_rows(spark):
     assert maxent_lm.score_texts(odd(spark)).count() == len(ODD)
 

@@ -1,9 +1,11 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class softmax has hashed features: the word before
-(bigram), the word before that (skip), and both (trigram). Common words are sorted into classes by the company
-they keep; all other words are one class of their own, whose members, unseen words included, share its probability
-by their smoothed counts. So every token has a proper probability and the vocabulary is never cut.
+P(word | history) = P(class | history) * P(word | class, history). Common words are sorted into classes by the company
+they keep; inside a class a Huffman tree with up to WIDTH branches a node leads to the word. All other words, unseen ones
+included, are one class whose tree leads to LEAVES leaves, to which a checksum deals them; only inside a leaf they share
+its probability by their smoothed counts. The choice of the class and that at every node is a softmax with hashed features
+of the node and the history: the word before (bigram), the word before that (skip), and both (trigram). So every token has
+a proper probability that depends on its history, and the vocabulary is never cut.
 
 Counts are a Spark aggregate over all training texts. Weights are trained by distributed gradient updates: in each
 round every task runs minibatch steps over its share of the texts from the weights of the round before, and the
@@ -17,7 +19,9 @@ the tokens of a training task. The tables that tasks send are then a fixed share
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +37,12 @@ from wayfare.session import written
 HEAD_SHARE = 5e-6  # words with at least this share of all tokens are known to every task: 200,000 words at most
 IN_CLASSES = 8_000  # of those, the most frequent ones are sorted into classes; so many up to UNIT tokens
 CLASSES = 22
+WIDTH = CLASSES + 2  # branches of a node; at the root the classes, the end and the other words
+LEAVES = WIDTH * WIDTH  # of the words without a place
 CONTEXTS = 128  # hashed neighbours that describe a word's company
-ROWS = 1 << 14  # hashed feature rows up to UNIT tokens
+ROWS = 1 << 15  # hashed feature rows up to UNIT tokens
 UNIT = 1 << 24  # training tokens above which the model grows
-BATCH = 8_192  # tokens in a gradient step
+BATCH = 8_192  # tokens in a gradient step up to UNIT tokens: each step passes over all feature rows
 ROUNDS = 2  # each over half of the training texts
 RATE = 0.35
 BLOCKS = 32  # parts in which weights travel, up to UNIT tokens
@@ -62,6 +68,10 @@ class Vocabulary:
     def feature_rows(self) -> int:
         return math.ceil(ROWS * self.growth)
 
+    @property
+    def batch(self) -> int:
+        return math.ceil(BATCH * self.growth)
+
     @property
     def blocks(self) -> int:
         return math.ceil(BLOCKS * self.growth)
@@ -72,20 +82,33 @@ class Vocabulary:
 
     @property
     def place_type(self) -> str:
-        """A place, or the start of a text, fits into it."""
-        return "<u2" if self.rare_place + 1 < 1 << 16 else "<u4"
+        """A place, a leaf, or the start of a text, fits into it."""
+        return "<u2" if self.start < 1 << 16 else "<u4"
 
     @property
     def rare_place(self) -> int:
+        """The place of the first leaf."""
         return len(self.place)
 
+    @property
+    def start(self) -> int:
+        """Stands for what is before a text."""
+        return self.rare_place + LEAVES
+
     @property
     def rare_tokens(self) -> int:
         return self.tokens - sum(self.counts[w] for w in self.place)
 
-    @property
-    def rare_types(self) -> int:
-        return self.types - len(self.place)
+
+class Places(dict):
+    """Word -> place; a word without one goes to a leaf by its checksum."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__((w.encode("utf-8"), k) for w, k in vocabulary.place.items())
+        self.rare = vocabulary.rare_place
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rare + zlib.crc32(word) % LEAVES
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -129,21 +152,32 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(known, place, n, v)
 
 
+def leaf_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The smoothed count of every leaf: tokens and types of its words without a place, and one for unseen words."""
+    leaf = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(LEAVES)).alias("leaf")
+    out = np.ones(LEAVES)
+    for r in counts.groupBy(leaf).agg(F.sum(F.col("c") + 1).alias("n")).collect():
+        out[r["leaf"]] += r["n"]
+    for w in vocabulary.place:
+        out[zlib.crc32(w.encode("utf-8")) % LEAVES] -= vocabulary.counts[w] + 1
+    return out
+
+
 def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The texts as places, with what the head's counts say and the words that are not in the head."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        counts, rare = known.counts, known.rare_place
-        place, kind = {w.encode("utf-8"): k for w, k in known.place.items()}.get, known.place_type
+        counts = known.counts
+        place, kind = Places(known), known.place_type
         log = {w.encode("utf-8"): math.log10(c + 1) for w, c in counts.items()}
         for batch in slices(batches):
             out = []
             for rid, doc_id, held, text in zip(*(batch[c].tolist() for c in ("row_id", "doc_id", "held_out", "text"))):
                 words = tokens_of(text)
                 words.append(END.encode("utf-8"))
-                ids = np.array([place(w, rare) for w in words], dtype=kind)
+                ids = np.array([place[w] for w in words], dtype=kind)
                 head_log, head_rare, head_known, names, times = 0.0, 0.0, 0, [], []
                 for w, n in Counter(words).items():
                     value = log.get(w)
@@ -153,7 +187,7 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     else:
                         head_known += n
                         head_log += n * value
-                        if place(w, rare) == rare:
+                        if w not in place:
                             head_rare += n * value
                 out.append((rid, doc_id, held, len(words), head_log, head_rare, head_known, ids.tobytes(), names, times))
             names = "row_id doc_id held_out n_tokens head_log head_rare head_known ids words times".split()
@@ -169,10 +203,9 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _streams(
-    batches: Iterator[pd.DataFrame], rare: int, kind: str, size: int = 400
+    batches: Iterator[pd.DataFrame], start: int, kind: str, size: int = 400
 ) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of encoded rows with all their places, the two places before each (rare + 1 stands for a start)."""
-    start = rare + 1
+    """Slices of encoded rows with all their places, the two places before each."""
     for batch in slices(batches, size):
         parts = [np.frombuffer(x, dtype=kind).astype(np.int32) for x in batch["ids"].tolist()]
         ids = np.concatenate(parts)
@@ -187,14 +220,16 @@ def _streams(
 
 
 def _company(coded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """For every place, how often hashed words stand before it; one row per place, summed by Spark in blocks."""
-    rare, kind, blocks = vocabulary.rare_place, vocabulary.place_type, vocabulary.blocks
+    """For every place, how often hashed words stand before it; one row per place and one for all leaves, summed by Spark in
+    blocks."""
+    rare, begin, kind, blocks = vocabulary.rare_place, vocabulary.start, vocabulary.place_type, vocabulary.blocks
     n = rare + 1
     step = -(-n // blocks)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n * CONTEXTS, dtype=np.float32)
-        for _, ids, before, _ in _streams(batches, rare, kind):
+        for _, ids, before, _ in _streams(batches, begin, kind):
+            ids = np.minimum(ids, rare)
             context = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(57)).astype(np.int64)
             total += np.bincount(ids * np.int64(CONTEXTS) + context, minlength=n * CONTEXTS)
         matrix = total.reshape(n, CONTEXTS)
@@ -220,10 +255,10 @@ def _summed(parts: DataFrame) -> np.ndarray:
 
 
 def classes_of(company: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The class of every place: words by k-means on the company they keep, then the end and the rare words."""
+    """The class of every place: words by k-means on the company they keep, then the end and the leaves."""
     rare = vocabulary.rare_place
-    out = np.zeros(rare + 1, dtype=np.int64)
-    out[0], out[rare] = CLASSES, CLASSES + 1
+    out = np.zeros(rare + LEAVES, dtype=np.int64)
+    out[0], out[rare:] = CLASSES, CLASSES + 1
     words = np.arange(1, rare)
     if len(words) <= CLASSES:
         out[words] = np.arange(len(words))
@@ -241,60 +276,111 @@ def classes_of(company: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def _features(before: np.ndarray, second: np.ndarray, rows: int) -> list[np.ndarray]:
+@dataclass
+class Tree:
+    """The nodes on the way to every place, the branch taken at each, and every node's branches without a history."""
+
+    first: np.ndarray  # of a place's steps
+    length: np.ndarray
+    nodes: np.ndarray
+    branches: np.ndarray
+    bias: np.ndarray  # (node, branch) -> log of its share; node 0 chooses the class
+
+    def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the token of each step, its node, its branch) of tokens at the places `ids`."""
+        n = self.length[ids]
+        token = np.repeat(np.arange(len(ids)), n)
+        ends = np.cumsum(n)
+        at = np.arange(len(token)) + np.repeat(self.first[ids] - (ends - n), n)
+        return token, self.nodes[at], self.branches[at]
+
+
+def tree_of(classes: np.ndarray, mass: np.ndarray, rare_tokens: int) -> Tree:
+    """The classes below the root, the places of each class below it in a Huffman tree of their `mass`."""
+    total = np.bincount(classes, weights=mass, minlength=WIDTH) + 0.5
+    total[CLASSES + 1] = rare_tokens + 0.5  # without the smoothing of the leaves
+    bias = [np.log(total / total.sum())]
+    paths = [[(0, int(k))] for k in classes]
+
+    def placed(item, path: list) -> None:
+        if isinstance(item, int):
+            paths[item] = path
+            return
+        node = len(bias)
+        shares = np.array([m for m, _, _ in item])
+        bias.append(np.concatenate([np.log(shares / shares.sum()), np.full(WIDTH - len(item), -np.inf)]))
+        for branch, (_, _, below) in enumerate(item):
+            placed(below, [*path, (node, branch)])
+
+    for k in range(WIDTH):
+        heap = [(float(mass[p]), int(p), int(p)) for p in np.flatnonzero(classes == k)]
+        heapq.heapify(heap)
+        many, tie = 2 + (len(heap) - 2) % (WIDTH - 1), len(classes)  # so that all nodes above are full
+        while len(heap) > 1:
+            lightest = [heapq.heappop(heap) for _ in range(many)]
+            heapq.heappush(heap, (sum(m for m, _, _ in lightest), tie, lightest))
+            many, tie = WIDTH, tie + 1
+        if heap:
+            placed(heap[0][2], [(0, k)])
+    length = np.array([len(p) for p in paths], dtype=np.int64)
+    steps = np.array([step for p in paths for step in p], dtype=np.int64)
+    return Tree(np.cumsum(length) - length, length, steps[:, 0], steps[:, 1], np.array(bias, dtype=np.float32))
+
+
+def _features(before: np.ndarray, second: np.ndarray, node: np.ndarray, rows: int) -> list[np.ndarray]:
     a, b = before.astype(np.uint64) + np.uint64(1), second.astype(np.uint64) + np.uint64(1)
     half, size = np.uint64(32), np.uint64(rows)
+    at = node.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     return [
         ((x >> half) * size >> half).astype(np.int64)
         for x in (
-            a * np.uint64(0x9E3779B97F4A7C15),
-            b * np.uint64(0xC2B2AE3D27D4EB4F),
-            (a * np.uint64(0x165667B19E3779F9) ^ b) * np.uint64(0xD6E8FEB86659FD93),
+            (a ^ at) * np.uint64(0x9E3779B97F4A7C15),
+            (b ^ at) * np.uint64(0xC2B2AE3D27D4EB4F),
+            (a * np.uint64(0x165667B19E3779F9) ^ b ^ at) * np.uint64(0xD6E8FEB86659FD93),
         )
     ]
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    """The summed weights of the features, with zero as the largest of each token."""
+    """The summed weights of the features and the bias, (branch, step), with zero as the largest of each step."""
     z = weights[features[0]]
     for f in features[1:]:
         z += weights[f]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    z = np.ascontiguousarray(z.T)  # a row per branch: all work on it is along the steps
+    z -= z.max(axis=0)
     return z
 
 
 def _train(
-    coded: DataFrame, weights: np.ndarray, bias: np.ndarray, classes: np.ndarray, vocabulary: Vocabulary, rate: float
+    coded: DataFrame, weights: np.ndarray, tree: Tree, vocabulary: Vocabulary, rate: float
 ) -> np.ndarray:
     """One round of gradient steps in every task, and the averaged weights."""
     rows_in_all, width = weights.shape
-    rare, kind, blocks = vocabulary.rare_place, vocabulary.place_type, vocabulary.blocks
-    shared = coded.sparkSession.sparkContext.broadcast((weights, bias, classes))
+    begin, kind, blocks, batch_size = vocabulary.start, vocabulary.place_type, vocabulary.blocks, vocabulary.batch
+    shared = coded.sparkSession.sparkContext.broadcast((weights, tree))
     step = -(-rows_in_all // blocks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, bias, of = shared.value
+        start, tree = shared.value
         now = start.copy()
         uses = np.zeros(rows_in_all, dtype=np.float32)
-        for _, ids, before, second in _streams(batches, rare, kind):
-            for at in range(0, len(ids), BATCH):
-                here = slice(at, at + BATCH)
-                target = of[ids[here]]
-                features = _features(before[here], second[here], rows_in_all)
-                push = np.exp(_logits(now, bias, features))
-                push /= push.sum(axis=1, keepdims=True)
-                push[np.arange(len(target)), target] -= 1.0
-                for f in features:
-                    both = np.sort(f * BATCH + np.arange(len(f)))  # by row, then place: one sort of plain numbers
-                    by_row = both // BATCH
-                    first = np.flatnonzero(np.diff(by_row, prepend=-1))
-                    rows, n = by_row[first], np.diff(first, append=len(f))
-                    change = np.add.reduceat(push[both % BATCH], first, axis=0)
-                    # The step falls with the uses of a row, as its error does.
-                    size = rate / np.sqrt(n * (1.0 + uses[rows] / 64.0))
-                    now[rows] -= (size[:, None] * change).astype(np.float32)
-                    uses[rows] += n
+        for _, ids, before, second in _streams(batches, begin, kind):
+            for at in range(0, len(ids), batch_size):
+                here = slice(at, at + batch_size)
+                token, node, branch = tree.steps(ids[here])
+                features = _features(before[here][token], second[here][token], node, rows_in_all)
+                push = _logits(now, tree.bias[node], features)
+                np.exp(push, out=push)
+                push /= push.sum(axis=0)
+                push[branch, np.arange(len(token))] -= 1.0
+                every = np.concatenate(features)
+                n = np.bincount(every, minlength=rows_in_all)
+                # The step falls with the uses of a row, as its error does.
+                size = rate / np.sqrt(np.maximum(n, 1) * (1.0 + uses / 64.0))
+                for k in range(width):
+                    now[:, k] -= size * np.bincount(every, np.tile(push[k], len(features)), rows_in_all)
+                uses += n
         delta = (now - start) * uses[:, None]
         table = np.concatenate([delta, uses[:, None]], axis=1).astype(np.float32)
         yield pd.DataFrame({"block": range(blocks), "part": [table[k * step : (k + 1) * step].tobytes() for k in range(blocks)]})
@@ -328,37 +414,32 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
 
     if n:
         train = coded.filter("not held_out").select("row_id", "ids")
-        classes = classes_of(_company(train, known), known)
-        width = CLASSES + 2
-        mass = np.zeros(width)
-        by_place = np.zeros(rare + 1)
-        for word, k in known.place.items():
-            by_place[k] = known.counts[word]
-        by_place[rare] = known.rare_tokens
-        np.add.at(mass, classes, by_place)
-        bias = np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32)
-        weights = np.zeros((known.feature_rows, width), dtype=np.float32)
+        of_leaf = leaf_totals(counts, known)
+        mass = np.concatenate([np.array([known.counts[w] for w in known.place], dtype=np.float64), of_leaf])
+        tree = tree_of(classes_of(_company(train, known), known), mass, known.rare_tokens)
+        weights = np.zeros((known.feature_rows, WIDTH), dtype=np.float32)
         for k in range(ROUNDS):
             part = train.filter(F.pmod(F.xxhash64("row_id"), F.lit(ROUNDS)) == k)
-            weights = _train(part, weights, bias, classes, known, RATE / (k + 1)).astype(np.float32)
-        inside = np.zeros(rare + 1)  # log P(word | class); the rare class divides by its smoothed total
-        inside[:rare] = np.log(by_place[:rare] / mass[classes[:rare]])
-        inside[rare] = -math.log(known.rare_tokens + known.rare_types + 1)
-        shared = spark.sparkContext.broadcast((weights, bias, classes, inside))
+            weights = _train(part, weights, tree, known, RATE / (k + 1)).astype(np.float32)
+        inside = np.zeros(len(mass))  # a word of a leaf has its smoothed count of the leaf's
+        inside[rare:] = -np.log(of_leaf)
+        shared = spark.sparkContext.broadcast((weights, tree, inside))
 
-    kind = known.place_type
+    kind, begin = known.place_type, known.start
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, ids, before, second in _streams(batches, rare, kind):
+        for batch, ids, before, second in _streams(batches, begin, kind):
             totals = np.zeros(len(batch))
             if n:
-                weights, bias, classes, inside = shared.value
+                weights, tree, inside = shared.value
                 doc = np.repeat(np.arange(len(batch)), batch["n_tokens"].to_numpy())
+                totals += np.bincount(doc, weights=inside[ids], minlength=len(batch))
                 for at in range(0, len(ids), BATCH):
                     here = slice(at, at + BATCH)
-                    z = _logits(weights, bias, _features(before[here], second[here], len(weights)))
-                    value = z[np.arange(len(z)), classes[ids[here]]] - np.log(np.exp(z).sum(axis=1)) + inside[ids[here]]
-                    totals += np.bincount(doc[here], weights=value, minlength=len(batch))
+                    token, node, branch = tree.steps(ids[here])
+                    z = _logits(weights, tree.bias[node], _features(before[here][token], second[here][token], node, len(weights)))
+                    value = z[branch, np.arange(len(token))] - np.log(np.exp(z).sum(axis=0))
+                    totals += np.bincount(doc[here][token], weights=value, minlength=len(batch))
             out = batch.drop(columns="ids")
             out["doc_id"] = out["doc_id"].astype("Int64")
             out["model_log"] = totals / math.log(10)

@@ -24,6 +24,7 @@ from wayfare.session import written
 HOT_ROWS = 1_000_000  # rows a single task may hold for one key; spark.wayfare.hotRows overrides
 TRACKED = 65_536  # items of a frequent-items sketch
 MISSED = 8  # no key with more than MISSED / TRACKED of the rows of a sketch is ever missed; the bound is 3.5 / (TRACKED / 0.75) twice
+TASK_ROWS = 125_000  # rows that one task sorts and groups by session; more rows make more tasks, not larger ones
 BROADCAST_ROWS = 1_000_000  # hashes of hot keys sent to every executor: 8 MB
 FIND = object()  # in place of hot keys: look for them
 SLICE = "__slice"
@@ -35,6 +36,16 @@ def row_threshold(df: DataFrame, hot_rows: int | None = None) -> int:
     return int(named) if hot_rows is None else hot_rows
 
 
+def dealt(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """`df` dealt by `keys` to as many partitions as its rows need, so that a task's memory does not grow with the input.
+
+    A small table is left to Spark, which merges its partitions down to the number of cores at any size below.
+    """
+    parts = -(-df.count() // task_rows)
+    few = parts <= df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if few else df.repartition(parts, *keys)
+
+
 def _sketched(rows: DataFrame, names: list[str], tracked: int) -> list[tuple[str, int, list]]:
     """(name, rows, frequent hashes with an upper bound of their rows) over all rows; one scan for all names."""
     sketch = [F.expr(f"approx_top_k_estimate(approx_top_k_accumulate(`{n}`, {tracked}), {tracked})").alias(n) for n in names]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import hot_keys, keys_named, previous_sliced, quantiles, split_hot
+from wayfare.operators.ordered import dealt, hot_keys, keys_named, previous_sliced, quantiles, split_hot
 from wayfare.operators.staging import INSTANT, SESSION, TS, dedup_events, usable_events
 from wayfare.operators.tables import one_row, stacked
 
@@ -153,7 +153,7 @@ def session_profile(
     events = browsing.select(*c.EVENT_COLUMNS, "file_row_idx")
     found = hot_keys(events, [SESSION], hot_rows) if heavy is None else keys_named(heavy, "session")
     hot, ordinary = split_hot(events, [SESSION], found)
-    profile = _profile(_with_neighbours(ordinary.repartition(SESSION)))
+    profile = _profile(_with_neighbours(dealt(ordinary, [SESSION])))
     if hot is None:
         return profile
     return profile.unionByName(_profile(_with_neighbours_sliced(hot, slices)))

@@ -6,7 +6,7 @@ from functools import partial
 
 from conftest import rows
 
-from wayfare.operators import ordered, quality
+from wayfare.operators import ordered, quality, staging
 from wayfare.sources import driver_tables
 
 
@@ -16,10 +16,11 @@ def test_partitions_grow_with_the_rows(spark):
     assert ordered.dealt(spark.range(0), ["id"], 100).count() == 0
 
 
-def test_profile_in_many_small_tasks(spark, sf_dir, monkeypatch):
+def test_profile_and_staging_in_many_small_tasks(spark, sf_dir, monkeypatch):
     raw = driver_tables.raw_browsing(spark, sf_dir)
-    plain = quality.session_profile(raw)
-    monkeypatch.setattr(quality, "dealt", partial(ordered.dealt, task_rows=25))
-    small = quality.session_profile(raw)
-    assert plain.rdd.getNumPartitions() <= 8 < small.rdd.getNumPartitions()
-    assert rows(small) == rows(plain)
+    for module, make in ((quality, quality.session_profile), (staging, staging.stage_browsing)):
+        plain = make(raw)
+        monkeypatch.setattr(module, "dealt", partial(ordered.dealt, task_rows=25))
+        small = make(raw)
+        assert plain.rdd.getNumPartitions() <= 8 < small.rdd.getNumPartitions()
+        assert rows(small) == rows(plain)

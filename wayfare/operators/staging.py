@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
-from wayfare.operators.ordered import hot_keys, keys_named, number_sliced, sent, split_hot
+from wayfare.operators.ordered import dealt, hot_keys, keys_named, number_sliced, sent, split_hot
 from wayfare.session import written
 
 SESSION = "session_id_hash"
@@ -135,8 +135,8 @@ def _first_add() -> Column:
 
 
 def _stage_ordinary(events: DataFrame, parts: int | None = None) -> DataFrame:
-    dealt = events.repartition(SESSION) if parts is None else events.repartition(parts, SESSION)
-    together = describe_events(collapse_double_fire(dedup_events(dealt)))
+    by_parts = dealt(events, [SESSION]) if parts is None else events.repartition(parts, SESSION)
+    together = describe_events(collapse_double_fire(dedup_events(by_parts)))
     by_session = Window.partitionBy(SESSION)
     in_order = by_session.orderBy(TS, "file_row_idx")
     sequenced = together.withColumn("event_seq", F.row_number().over(in_order).cast("bigint"))

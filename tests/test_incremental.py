@@ -69,3 +69,12 @@ def test_a_sku_goes_with_its_last_event(spark):
     assert kept["dim_product"].filter("product_sku_hash = 'gone'").count() == 1
     for name in incremental.KEPT:
         assert rows(found[name].select(*full[name].columns)) == rows(full[name]), name
+
+
+def test_touched_sessions_are_not_broadcast(spark):
+    """However small they are now: they grow with the log, and a broadcast goes through the driver."""
+    table = spark.range(1000).selectExpr("cast(id as string) as session_id_hash", "id")
+    touched = table.filter("id % 10 = 0").select("session_id_hash")
+    for found, n in ((incremental.of_sessions(table, touched), 100), (incremental.upsert(table, table.limit(0), touched), 900)):
+        assert found.count() == n
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -41,12 +41,13 @@ def touched_sessions(new_browsing: DataFrame, new_search: DataFrame) -> DataFram
 
 
 def of_sessions(table: DataFrame, sessions: DataFrame) -> DataFrame:
-    return table.join(sessions, SESSION, "left_semi")
+    """Touched sessions are a share of all sessions, so they never go through the driver to all executors."""
+    return table.join(sessions.hint("merge"), SESSION, "left_semi")
 
 
 def upsert(table: DataFrame, fresh: DataFrame, sessions: DataFrame) -> DataFrame:
     """`table` with the rows of `sessions` replaced by `fresh`."""
-    return table.join(sessions, SESSION, "left_anti").unionByName(fresh)
+    return table.join(sessions.hint("merge"), SESSION, "left_anti").unionByName(fresh)
 
 
 def change(

@@ -28,6 +28,7 @@ TASK_ROWS = 125_000  # rows that one task sorts and groups by session; more rows
 BROADCAST_ROWS = 1_000_000  # hashes of hot keys sent to every executor: 8 MB
 FIND = object()  # in place of hot keys: look for them
 SLICE = "__slice"
+PLACE, PLACE_BITS = "__place", 33
 KEY_HASH = "__key_hash"
 
 
@@ -177,16 +178,20 @@ def number_sliced(
 ) -> DataFrame:
     """1-based row number of each row within `keys` by `order`, over range slices.
 
-    `order` must be a total order within a key. `keys` may be empty for a global number.
+    `order` must be a total order within a key. `keys` may be empty for a global number. Rows move once: each slice is
+    sorted where it is written, so a row's place in it is known and needs no window afterwards.
     """
-    sliced = _sliced(df, keys, order, slices)
+    count = [] if slices is None else [slices]
+    ranged = df.repartitionByRange(*count, *keys, *order).sortWithinPartitions(*keys, *order)
+    # Spark's id holds the partition above PLACE_BITS bits and the place inside the partition below.
+    placed = written(ranged.withColumn(PLACE, F.monotonically_increasing_id()), "slices")
+    inside = F.col(PLACE).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    sliced = placed.withColumns({SLICE: F.shiftright(PLACE, PLACE_BITS), PLACE: inside})
     before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    edges = _edges(sliced, keys, [F.count(F.lit(1)).alias("__n")])
+    edges = _edges(sliced, keys, [F.count(F.lit(1)).alias("__n"), F.min(PLACE).alias("__first")])
     edges = edges.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    numbered = _on_edges(sliced, edges, keys).withColumn(
-        name, F.row_number().over(_inner_window(keys, order)).cast("bigint") + F.col("__before")
-    )
-    return numbered.drop(SLICE, "__before")
+    numbered = _on_edges(sliced, edges, keys).withColumn(name, F.col(PLACE) - F.col("__first") + F.col("__before") + 1)
+    return numbered.drop(SLICE, PLACE, "__first", "__before")
 
 
 def number_rows(

@@ -7,12 +7,13 @@ keys; results get their texts back at the end. New texts are appended with highe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.operators.ordered import FIND, hot_keys, join_unique, number_sliced
+from wayfare.operators.ordered import FIND, heavy_keys, hot_keys, join_unique, keys_named, number_sliced
 from wayfare.operators.staging import SESSION
 from wayfare.session import written
 
@@ -47,14 +48,42 @@ def encode(df: DataFrame, column: str, dictionary: DataFrame, hot: DataFrame | o
     return joined.withColumn(column, F.col("__id")).drop("__id").select(*df.columns)
 
 
-def encode_list(df: DataFrame, column: str, dictionary: DataFrame, row: str) -> DataFrame:
-    """The same for a list column, in order; `row` is a column without nulls that tells the rows apart."""
-    place = df.select(F.col(row).alias("__row"), F.posexplode(column).alias("__at", "__text"))
+def encode_lists(
+    df: DataFrame,
+    columns: list[str],
+    dictionary: DataFrame,
+    row: str,
+    others: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """The same for list columns, in order; `row` is a column without nulls that tells the rows apart.
+
+    The entries of all lists meet the dictionary in one join and come back in one grouping. The texts of the lists move
+    with no row: `others`, which may encode further columns, and the last join have the other columns only.
+    """
+    none, empty = F.array().cast("array<string>"), F.array().cast("array<bigint>")
+
+    def entries(k: int, column: str) -> Column:
+        return F.transform(
+            F.coalesce(column, none), lambda text, at: F.struct(F.lit(k).alias("list"), at.alias("at"), text.alias("text"))
+        )
+
+    every = F.concat(*[entries(k, column) for k, column in enumerate(columns)])
+    place = df.select(F.col(row).alias("__row"), F.inline(every).alias("__list", "__at", "__text"))
     found = place.join(dictionary.select(F.col("text").alias("__text"), "id"), "__text", "left")
-    lists = found.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "id"))).alias("__list"))
-    joined = df.join(lists, df[row] == F.col("__row"), "left")
-    empty = F.when(F.col(column).isNotNull(), F.array().cast("array<bigint>"))
-    return joined.withColumn(column, F.coalesce(F.col("__list.id"), empty)).select(*df.columns)
+    pair = F.struct("__at", "id")
+    lists = found.select("__row", "__list", "__at", "id").repartition("__row").groupBy("__row").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("__list") == k, pair))).alias(f"__list_{k}") for k in range(len(columns))]
+    )
+    rest = others(df.withColumns({column: F.col(column).isNotNull() for column in columns}))
+    joined = rest.join(lists, rest[row] == F.col("__row"), "left")
+    listed = {
+        column: F.when(F.col(column), F.coalesce(F.col(f"__list_{k}")["id"], empty)) for k, column in enumerate(columns)
+    }
+    return joined.withColumns(listed).select(*df.columns)
+
+
+def encode_list(df: DataFrame, column: str, dictionary: DataFrame, row: str) -> DataFrame:
+    return encode_lists(df, [column], dictionary, row)
 
 
 def decode(df: DataFrame, column: str, dictionary: DataFrame, hot: DataFrame | object | None = FIND) -> DataFrame:
@@ -76,10 +105,16 @@ def encode_raw(
         SKU: dictionary(browsing.select(SKU), catalog.select(SKU), *listed, slices=slices),
         PAGE: dictionary(browsing.select(PAGE), slices=slices),
     }
-    log = reduce(lambda df, c: encode(df, c, dictionaries[c]), dictionaries, browsing)
-    asked = encode(search, SESSION, dictionaries[SESSION])
-    for column in ("product_skus", "clicked_skus"):
-        asked = encode_list(asked, column, dictionaries[SKU], "file_row_idx")
+    # The hot texts of all columns from one scan of the log.
+    heavy = heavy_keys(browsing, {c: [c] for c in dictionaries})
+    log = reduce(lambda df, c: encode(df, c, dictionaries[c], keys_named(heavy, c)), dictionaries, browsing)
+    asked = encode_lists(
+        search,
+        ["product_skus", "clicked_skus"],
+        dictionaries[SKU],
+        "file_row_idx",
+        lambda rows: encode(rows, SESSION, dictionaries[SESSION]),
+    )
     tables = {
         "raw_browsing": written(log, "encoded-browsing"),
         "raw_search": written(asked, "encoded-search"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as c
+from wayfare.operators.ordered import dealt
 
 # Fixed values of the adapter.
 BLOCK = 1024  # file order is scrambled inside blocks of this many events
@@ -19,6 +20,7 @@ COPY_EVERY = 50
 RANGE = 100  # each group of ten users browses and searches its own hundred SKUs; bounds every result list
 PHANTOM_SKU = "phantom"
 SEARCH_START_MS = 1_704_067_200_000
+TASK_LINES = 500_000  # lines of orders that one task groups; more lines make more tasks, not larger ones
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +66,19 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as queries; the SKUs of the order's lines, by first line, as the result list.
 
     Lines are merged to one row per (order, place in the hundred) before any list is built, so a list holds
-    at most RANGE entries however many lines an order has. A customer searches as user `o_custkey div 10`.
+    at most RANGE entries however many lines an order has. They move once, by order: both groupings and the join
+    with the orders find them together. A customer searches as user `o_custkey div 10`.
     """
-    lines = table(spark, sf_dir, "lineitem")
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-    entries = lines.groupBy("l_orderkey", (F.col("l_partkey") % RANGE).alias("sku")).agg(
-        F.min("l_linenumber").alias("place"), F.max(returned).alias("clicked")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_partkey") % RANGE).alias("sku"), "l_linenumber", returned.alias("returned")
     )
+    entries = dealt(lines, ["l_orderkey"], TASK_LINES).groupBy("l_orderkey", "sku").agg(
+        F.min("l_linenumber").alias("place"), F.max("returned").alias("clicked")
+    )
+    # `sort_array` compares structs itself; `array_sort` would call a comparator for every pair.
     lists = entries.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("place", "sku", "clicked"))).alias("entries")
+        F.sort_array(F.collect_list(F.struct("place", "sku", "clicked"))).alias("entries")
     )
     key = F.col("o_orderkey")
     group = F.expr(f"o_custkey div 100 * {RANGE}")

@@ -191,6 +191,14 @@ def repeated_by_induction(
     return repeated
 
 
+def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and length of the runs of true cells in the rows of a table; only the ends of runs are listed."""
+    edge = np.zeros((len(marked), 1), dtype=bool)
+    bounded = np.hstack([edge, marked, edge])
+    row, at = np.nonzero(bounded[:, 1:] != bounded[:, :-1])  # begin and end of each run in turn
+    return row[0::2], at[0::2], at[1::2] - at[0::2]
+
+
 def _sorted_runs(length: int):
     """Segments in order of their gram -> runs of repeated windows, as ranges of window starts."""
 
@@ -198,16 +206,14 @@ def _sorted_runs(length: int):
         rel, nw = rows["rel"].to_numpy().astype(np.int64), rows["nw"].to_numpy().astype(np.int64)
         repeated = repeated_by_induction(rows["part"].tolist(), rel, nw, length)
         repeated &= (rows["n"].to_numpy() == 1)[:, None]  # the others are settled
-        row, d = np.nonzero(repeated[:, ::-1])  # ascending window starts
-        start = rows["lo"].to_numpy()[row] + rel[row] - (repeated.shape[1] - 1 - d)
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(start) != 1)])) if len(row) else row
-        head = rows.iloc[row[begin]]
+        row, first, size = runs_of(repeated[:, ::-1])  # ascending window starts
+        head = rows.iloc[row]
         return pd.DataFrame(
             {
                 "k1": head["k1"].to_numpy(),
                 "k2": head["k2"].to_numpy(),
-                "lo": start[begin],
-                "nw": np.diff(np.append(begin, len(row))),
+                "lo": head["lo"].to_numpy() + rel[row] - (repeated.shape[1] - 1 - first),
+                "nw": size,
             }
         )
 

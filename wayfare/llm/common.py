@@ -62,12 +62,28 @@ def let_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the large table that was asked for last, and no other.
+
+    A worker serves one stage after the other, so the tables of all stages of a job would pile up in it.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def mapped(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """`mapInPandas` without empty batches, whose columns have no types."""
+    """`mapInPandas` without empty batches, whose columns have no types. A worker that waits for its next task holds no
+    freed Arrow memory."""
     let_workers_import(df.sparkSession)
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return (out for out in function(batches) if len(out))
+        yield from (out for out in function(batches) if len(out))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInPandas(filled, schema)
 

@@ -12,14 +12,13 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import mapped, numbered, slices
+from wayfare.llm.common import kept, mapped, numbered, slices
 from wayfare.session import written
 
 WIDTH = 8
@@ -87,9 +86,8 @@ class _Vocabulary:
         return np.array(found, dtype=np.int64)
 
 
-@lru_cache(maxsize=1)
 def _vocabulary() -> _Vocabulary:
-    return _Vocabulary()
+    return kept(_Vocabulary, _Vocabulary)
 
 
 class Templates:

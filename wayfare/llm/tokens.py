@@ -11,13 +11,14 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wayfare.llm.common import kept
+
 BATCH_BYTES = 2 << 20  # of text worked on at a time
 CACHE_WORDS = 600_000  # forgotten when full; bounds the memory of a worker, never the result
 # A comma or full stop after a letter and before white space is a token run of its own.
@@ -127,10 +128,9 @@ class WordEncoder:
         return self.many([text])[0].tobytes()
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
-    """One encoder per Python worker, vocabulary and size of its cache."""
-    return WordEncoder(path, cache_words)
+    """The encoder of a Python worker, kept from task to task."""
+    return kept((WordEncoder, path, cache_words), lambda: WordEncoder(path, cache_words))
 
 
 def vocabulary(name: str) -> str:

@@ -497,7 +497,7 @@ on_tables("anti_join_orphans", without_catalog, "stg_browsing", "raw_catalog")
 
 # --- reports ----------------------------------------------------------------------------------------
 
-for _group in ("data_quality", "funnel", "search", "product"):
+for _group in ("data_quality", "funnel", "entry", "search", "product"):
     for _name, (_operator, _tables) in REPORTS[_group].items():
         on_tables(_name, _operator, *_tables)
 QUERIES["category_performance_view"] = QUERIES["v_category_performance"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.metrics import evaluate
-from wayfare.operators.ordered import hot_keys, join_unique, number_sliced, running_totals
+from wayfare.operators.ordered import dealt_evenly, hot_keys, join_unique, number_sliced, running_totals
 from wayfare.operators.selection import quantiles_by_group
 from wayfare.operators.staging import SESSION
 from wayfare.operators.tables import stacked
@@ -142,9 +142,10 @@ def prepared(carts: DataFrame, slices: int | None = None) -> DataFrame:
     )
     hot = _one_hot(encoded, int(width))
     assembled = VectorAssembler(inputCols=[*NUMERIC, "level_vector"], outputCol="features").transform(hot)
-    return assembled.select(
+    ready = assembled.select(
         SESSION, "add_ts", "is_train", "features", F.col("purchased").cast("double").alias("label")
     )
+    return dealt_evenly(ready, [SESSION], carts.count())
 
 
 def _one_hot(rows: DataFrame, width: int) -> DataFrame:
@@ -321,7 +322,8 @@ def leaky_rows(sessions: DataFrame, names: list[str], slices: int | None = None)
     statistics = numeric_statistics(split.filter("is_train"), names, slices)
     scaled = impute_scale(split, statistics, names)
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-    return assembled.select(SESSION, "is_train", "features", "label")
+    ready = assembled.select(SESSION, "is_train", "features", "label")
+    return dealt_evenly(ready, [SESSION], carts.count())
 
 
 def leaky_scores(rows: DataFrame) -> DataFrame:

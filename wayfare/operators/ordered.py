@@ -25,6 +25,7 @@ HOT_ROWS = 1_000_000  # rows a single task may hold for one key; spark.wayfare.h
 TRACKED = 65_536  # items of a frequent-items sketch
 MISSED = 8  # no key with more than MISSED / TRACKED of the rows of a sketch is ever missed; the bound is 3.5 / (TRACKED / 0.75) twice
 TASK_ROWS = 125_000  # rows that one task sorts and groups by session; more rows make more tasks, not larger ones
+FIT_ROWS = 500_000  # rows of a task of a fit, which reads them in every stage
 BROADCAST_ROWS = 1_000_000  # hashes of hot keys sent to every executor: 8 MB
 FIND = object()  # in place of hot keys: look for them
 SLICE = "__slice"
@@ -47,6 +48,15 @@ def dealt(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFra
     return df.repartition(*keys) if few else df.repartition(parts, *keys)
 
 
+def dealt_evenly(df: DataFrame, keys: list[str], rows: int, task_rows: int = FIT_ROWS) -> DataFrame:
+    """`df`, of about so many `rows`, dealt by `keys` to full rounds of all cores, for what reads it many times.
+
+    Equal parts and a whole number of them per core: a fit of a thousand short stages waits for its largest task in each.
+    """
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return df.repartition(cores * max(1, -(-rows // (cores * task_rows))), *keys)
+
+
 def _sketched(rows: DataFrame, names: list[str], tracked: int) -> list[tuple[str, int, list]]:
     """(name, rows, frequent hashes with an upper bound of their rows) over all rows; one scan for all names."""
     sketch = [F.expr(f"approx_top_k_estimate(approx_top_k_accumulate(`{n}`, {tracked}), {tracked})").alias(n) for n in names]

@@ -58,10 +58,13 @@ def change(
     hot_rows: int | None = None,
     slices: int | None = None,
 ) -> Change:
-    """The change set of new raw rows. Old raw rows are read once, and only those of touched sessions move."""
+    """The change set of new raw rows. Old raw rows are read and joined once: staging reads its input several times, so
+    the rows of touched sessions are written before it.
+    """
     sessions = written(touched_sessions(new_browsing, new_search), "touched")
     columns = new_browsing.columns
     raw = of_sessions(old_browsing, sessions).select(*columns).unionByName(new_browsing.select(*columns))
+    raw = written(raw, "touched-raw")
     after = written(staging.stage_browsing(raw, hot_rows, slices), "touched-events")
     new_searches = written(staging.stage_search(new_search), "new-searches")
     searches = of_sessions(kept["stg_search"], sessions).unionByName(new_searches)
